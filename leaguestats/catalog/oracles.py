@@ -262,13 +262,18 @@ ORACLES["league_complete_rows"] = _profile(
 
 
 def _describe(head: str, long: str, by: str, ids: str) -> str:
-    def moment(expression: str) -> str:
-        return _round(expression, 6)
+    """Compensated sums, and the deviation around the mean in a second pass."""
 
-    return f"""{head} q AS {_placed(by, long)}
-SELECT {ids} stat AS "Stat", count(*) AS count, {moment("avg(val)")} AS mean, {moment("stddev_samp(val)")} AS std,
-  min(val) AS min, {moment(_quantile(0.25))} AS q25, {moment(_quantile(0.5))} AS q50, {moment(_quantile(0.75))} AS q75, max(val) AS max
-FROM q GROUP BY {by}"""
+    def quartile(q: float) -> str:
+        return _round(_quantile(q), 6)
+
+    return f"""{head} q AS {_placed(by, long)},
+m AS (SELECT {by}, favg(val) AS mean_ FROM q GROUP BY {by}),
+d AS (SELECT q.*, mean_ FROM q JOIN m USING ({by}))
+SELECT {ids} stat AS "Stat", count(*) AS count, {_round("any_value(mean_)", 8)} AS mean,
+  {_round("sqrt(fsum((val - mean_) * (val - mean_)) / nullif(count(*) - 1, 0))", 6)} AS std,
+  min(val) AS min, {quartile(0.25)} AS q25, {quartile(0.5)} AS q50, {quartile(0.75)} AS q75, max(val) AS max
+FROM d GROUP BY {by}"""
 
 
 FACTS = {c: c for c in ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]}

@@ -198,22 +198,24 @@ def league_complete_rows(spark, sf_dir):
     return profile.league_profile(_pitchers(spark, sf_dir), PROFILE_P, by=["Year"], complete_rows=True)
 
 
-_MOMENTS = ["mean", "std", "q25", "q50", "q75"]
+def _described(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    made = profile.describe_stats(df, columns, by=by)
+    return _rounded(_rounded(made, ["std", "q25", "q50", "q75"]), ["mean"], 8)
 
 
 @query
 def describe_batting(spark, sf_dir):
-    return _rounded(profile.describe_stats(_hitters(spark, sf_dir), PROFILE_H), _MOMENTS)
+    return _described(_hitters(spark, sf_dir), PROFILE_H, [])
 
 
 @query
 def describe_pitching(spark, sf_dir):
-    return _rounded(profile.describe_stats(_pitchers(spark, sf_dir), PROFILE_P, by=["Year"]), _MOMENTS)
+    return _described(_pitchers(spark, sf_dir), PROFILE_P, ["Year"])
 
 
 @query
 def describe_facts(spark, sf_dir):
-    return _rounded(profile.describe_stats(standins.table(spark, sf_dir, "lineitem"), FACTS), _MOMENTS)
+    return _described(standins.table(spark, sf_dir, "lineitem"), FACTS, [])
 
 
 @query

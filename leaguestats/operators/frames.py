@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.exprs import no_nan
 from ..functions.schemas import labels
 
 
@@ -44,10 +43,9 @@ def stack_frames(*frames: DataFrame) -> DataFrame:
 
 
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per id and column: (ids..., Stat, Value), values as double."""
-    return df.select(
-        *[F.col(f"`{i}`") for i in ids], *[no_nan(F.col(f"`{c}`")).alias(c) for c in columns]
-    ).unpivot(list(ids), list(columns), "Stat", "Value")
+    """One row per id and column: (ids..., Stat, Value), values as double, NaN as NULL."""
+    values = [f"nanvl(cast(`{c}` as double), cast(null as double)) as `{c}`" for c in columns]
+    return df.selectExpr(*[f"`{i}`" for i in ids], *values).unpivot(list(ids), list(columns), "Stat", "Value")
 
 
 def _spread(names: Sequence[str], by: str, value: str) -> list[Column]:

@@ -21,6 +21,12 @@ def _counted(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[
     return counted_values(to_long(df, by, columns), keys), keys
 
 
+def _sum_of_billionths() -> Column:
+    """Sum of the values in whole billionths: exact, whatever order partitions arrive in."""
+    whole = F.rint(F.col("Value") * 1e9).cast("decimal(22,0)")
+    return F.sum(whole * F.col("n").cast("decimal(15,0)")).cast("double")
+
+
 def league_profile(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), complete_rows: bool = False
 ) -> DataFrame:
@@ -33,9 +39,8 @@ def league_profile(
     if complete_rows:
         df = df.na.drop(subset=list(columns))
     counted, keys = _counted(df, columns, by)
-    billionths = F.rint(F.col("Value") * 1e9).cast("decimal(22,0)") * F.col("n").cast("decimal(15,0)")
     profile = order_statistics(
-        positions(counted, keys), keys, {"median": 0.5}, extra=[F.sum(billionths).cast("double").alias("billionths")]
+        positions(counted, keys), keys, {"median": 0.5}, extra=[_sum_of_billionths().alias("billionths")]
     )
     return profile.select(
         *keys,
@@ -51,12 +56,15 @@ def describe_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     counts, which loses no digits to cancellation.
     """
     counted, keys = _counted(df, columns, by)
+    scaled = F.col("Value") * 1e9
+    # What the whole billionths leave over; too small for its order to matter.
+    rest = F.sum((scaled - F.rint(scaled)) * F.col("n"))
     stats = order_statistics(
         positions(counted, keys),
         keys,
         {"q25": 0.25, "q50": 0.5, "q75": 0.75},
         extra=[
-            (F.sum(F.col("Value") * F.col("n")) / F.sum("n")).alias("mean"),
+            ((_sum_of_billionths() + rest) / 1e9 / F.sum("n")).alias("mean"),
             F.min("Value").alias("min"),
             F.max("Value").alias("max"),
         ],

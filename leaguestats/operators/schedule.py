@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Words and labels of the schedule pages.
@@ -13,15 +15,14 @@ NOT_PLAYED, DRAW = "경기전", "무"
 WIN, LOSS, CALLED_LOSS = "승", "패", "콜드패"
 
 
-def _score_text(token: Column) -> Column:
-    """Score token without its win word; NULL when blank."""
-    bare = token
+def _bare_score(token: Column) -> Column:
+    """Score token without its win word."""
     for prefix in WIN_PREFIXES:
-        bare = F.replace(bare, F.lit(prefix), F.lit(""))
-    return F.nullif(F.regexp_replace(bare, r"^\s+$", ""), F.lit(""))
+        token = F.replace(token, F.lit(prefix), F.lit(""))
+    return token
 
 
-def parse_schedule(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_schedule(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Raw schedule rows to typed games.
 
     The game cell is a newline-separated list: away team first, then its score,
@@ -29,50 +30,39 @@ def parse_schedule(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     blank or missing score is 0.  ``error`` names a score that is not a number.
     """
     tokens = F.split(F.col("게임"), "\n")
-    columns = {"away": 0, "away_token": 1, "home": 5, "home_token": 6}
+    places = {"away": 0, "away_token": 1, "home": 5, "home_token": 6}
     cells = raw.select(
         *keep,
         F.col("일시").alias("date"),
         F.replace(F.col("구장"), F.lit(VENUE_SUFFIX), F.lit("")).alias("venue"),
         F.col("결과").alias("status"),
-        *[F.get(tokens, F.lit(i)).alias(name) for name, i in columns.items()],
+        *[F.get(tokens, F.lit(i)).alias(name) for name, i in places.items()],
     )
-    scored = cells.select(
-        *keep,
-        "date",
-        "venue",
-        "away",
-        "home",
-        "status",
-        *[
-            made
-            for side in ("away", "home")
-            for made in (
-                _score_text(F.col(f"{side}_token")).alias(f"{side}_text"),
-                F.coalesce(F.contains(F.col(f"{side}_token"), F.lit(CALLED_WIN)), F.lit(False)).alias(f"{side}_called"),
-            )
-        ],
-    )
-
-    def score(side: str) -> Column:
-        return F.coalesce(F.col(f"{side}_text").try_cast("int"), F.lit(0))
 
-    unread = [
-        F.when(F.col(f"{side}_text").isNotNull() & F.col(f"{side}_text").try_cast("int").isNull(), F.lit(f"{side} score"))
-        for side in ("away", "home")
-    ]
+    def read(side: str) -> list[Column]:
+        token = F.col(f"{side}_token")
+        number = _bare_score(token).try_cast("int")
+        unread = F.when(number.isNull() & (F.trim(_bare_score(token)) != ""), F.lit(f"{side} score"))
+        return [
+            F.coalesce(number, F.lit(0)).alias(f"{side}_score"),
+            F.coalesce(F.contains(token, F.lit(CALLED_WIN)), F.lit(False)).alias(f"{side}_called"),
+            unread.alias(f"{side}_unread"),
+        ]
+
+    scored = cells.select(*keep, "date", "venue", "away", "home", "status", *read("away"), *read("home"))
+    problems = F.concat_ws(", ", "away_unread", "home_unread")
     return scored.select(
         *keep,
         "date",
         "venue",
         "away",
-        score("away").alias("away_score"),
+        "away_score",
         "home",
-        score("home").alias("home_score"),
+        "home_score",
         "status",
         "away_called",
         "home_called",
-        F.nullif(F.concat_ws(", ", *unread), F.lit("")).alias("error"),
+        F.when(problems != "", problems).alias("error"),
     )
 
 
@@ -111,7 +101,7 @@ def result_for(results: DataFrame, team: str) -> DataFrame:
     return results.withColumn("result", _seen_by(F.lit(team)))
 
 
-def results_by_team(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def results_by_team(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Each game from both sides: team, opponent, runs and result.
 
     A row becomes two without a shuffle.
@@ -139,18 +129,27 @@ def results_by_team(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def schedule_table(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def schedule_table(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The displayed schedule, by date."""
     return results.select(
         *keep, "date", "venue", "away", "away_score", "home", "home_score", "result"
     ).orderBy("date", "venue", "away", "home")
 
 
+def not_played() -> Column:
+    """Whether a game lies ahead: still waiting and level.
+
+    Says the same as its result label, from the columns the label is made of,
+    so a filter on it stays small when it moves below the label.
+    """
+    return F.col("status").eqNullSafe(WAITING) & (F.col("away_score") == F.col("home_score"))
+
+
 def next_game(results: DataFrame, team: str) -> DataFrame:
     """First game of a team not played yet, with the opponent; empty if none."""
     mine = (F.col("away") == team) | (F.col("home") == team)
     return (
-        results.where((F.col("result") == NOT_PLAYED) & mine)
+        results.where(not_played() & mine)
         .orderBy("date", "venue", "away", "home")
         .limit(1)
         .select(
@@ -161,6 +160,6 @@ def next_game(results: DataFrame, team: str) -> DataFrame:
 
 def next_games(results: DataFrame) -> DataFrame:
     """First game not played yet of every team, by one partial aggregation."""
-    waiting = results_by_team(results, keep=("away", "home")).where(F.col("result") == NOT_PLAYED)
+    waiting = results_by_team(results.where(not_played()), keep=("away", "home"))
     first = F.min(F.struct("date", "venue", "away", "home", "opponent"))
     return waiting.groupBy("team").agg(first.alias("game")).select("team", "game.*")

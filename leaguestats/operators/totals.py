@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import no_nan, repair_innings
+from ..functions.exprs import repair_innings
 from ..functions.registry import CAREER, CAREER_SUMS, METRICS, ORDER, PLAYER, SUMS, TEAM
 from ..functions.schemas import PLAYER_KEY
 from .frames import select_existing
@@ -37,9 +37,11 @@ def add_dimension(df: DataFrame, dimension: DataFrame, on: str, wanted: str, kee
 
 def add_metrics(df: DataFrame, kind: str, grain: str) -> DataFrame:
     """Add each metric of the registry whose inputs the frame has."""
+    present = set(df.columns)
     for metric in METRICS[kind]:
-        if grain in metric.grains and set(metric.inputs) <= set(df.columns):
+        if grain in metric.grains and present.issuperset(metric.inputs):
             df = df.withColumn(metric.name, metric.formula())
+            present.add(metric.name)
     return df
 
 
@@ -49,10 +51,10 @@ def player_rates(pitchers_or_hitters: DataFrame, kind: str) -> DataFrame:
 
 
 def _total(name: str) -> Column:
-    value = F.col(f"`{name}`")
     if name in EXACT_SUMS:
-        return F.coalesce(F.sum(no_nan(value).cast(EXACT_SUMS[name])).cast("double"), F.lit(0.0)).alias(name)
-    return F.coalesce(F.sum(value), F.lit(0)).alias(name)
+        exact = f"cast(nanvl(`{name}`, null) as {EXACT_SUMS[name]})"
+        return F.expr(f"coalesce(cast(sum({exact}) as double), 0d) as `{name}`")
+    return F.expr(f"coalesce(sum(`{name}`), 0) as `{name}`")
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], columns: Iterable[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def schedule_games(pages: DataFrame, css_class: str, keep: Sequence[str] = (), h
     extracted = extract_tables(pages.where(F.col("kind") == SCHEDULE), html_col, keep, css_class, collapse_space=False)
     first = extracted.where(F.col("error").isNull() & (F.col("table_no") == 0)).drop("error")
     raw = spread_cells(first, SCHEDULE, SCHEDULE_HEADERS)
-    return game_result(parse_schedule(raw, tuple(keep)))
+    return game_result(parse_schedule(raw, keep))
 
 
 __all__ = [

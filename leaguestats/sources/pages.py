@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -29,57 +29,80 @@ _EXTRACTED = T.StructType(
 )
 
 
-class _Tables(HTMLParser):
-    """Collects the cells of every table: ``tables`` holds (classes, rows)."""
+# Attributes may hold ">" inside quotes.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<skip>script|style)\b.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>table|thead|tbody|tfoot|tr|td|th)\b(?P<attributes>{_INSIDE})>|</?[a-z!?]{_INSIDE}>",
+    re.IGNORECASE | re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    if not text or text.isspace():
+        return {}
+    return {name.lower(): unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)}
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tables: list[tuple[list[str], list[list[dict]]]] = []
-        self._open: list[dict] = []  # enclosing tables, innermost last
 
-    def handle_starttag(self, tag, attrs):
+def _tables(html: str) -> list[tuple[list[str], list[list[dict]]]]:
+    """Every table as (classes, rows of cells), nested ones included.
+
+    Text counts for all cells it lies in; end tags may be missing.
+    """
+    found: list[tuple[list[str], list[list[dict]]]] = []
+    enclosing: list[dict] = []  # innermost last
+    position = 0
+
+    def take(text: str) -> None:
+        for table in enclosing:
+            if table["cell"] is not None:
+                table["cell"]["text"].append(text)
+
+    for token in _TOKEN.finditer(html):
+        take(html[position : token.start()])
+        position = token.end()
+        tag = token["tag"]
+        if tag is None:
+            continue
+        tag, ends = tag.lower(), bool(token["end"])
         if tag == "table":
-            attributes = dict(attrs)
-            entry = ((attributes.get("class") or "").split(), [])
-            self.tables.append(entry)
-            self._open.append({"rows": entry[1], "cell": None, "head": False})
-            return
-        if not self._open:
-            return
-        table = self._open[-1]
-        if tag in ("thead", "tbody", "tfoot"):
-            table["head"] = tag == "thead"
+            if not ends:
+                rows: list[list[dict]] = []
+                found.append((_attributes(token["attributes"]).get("class", "").split(), rows))
+                enclosing.append({"rows": rows, "cell": None, "head": False})
+            elif enclosing:
+                enclosing.pop()
+            continue
+        if not enclosing:
+            continue
+        table = enclosing[-1]
+        if tag in ("td", "th"):
+            table["cell"] = None
+            if not ends:
+                attributes = _attributes(token["attributes"])
+                table["cell"] = {
+                    "text": [],
+                    "heading": tag == "th" or table["head"],
+                    "across": _span(attributes.get("colspan")),
+                    "down": _span(attributes.get("rowspan")),
+                }
+                if not table["rows"]:
+                    table["rows"].append([])
+                table["rows"][-1].append(table["cell"])
         elif tag == "tr":
             table["cell"] = None
-            table["rows"].append([])
-        elif tag in ("td", "th"):
-            if not table["rows"]:
+            if not ends:
                 table["rows"].append([])
-            attributes = dict(attrs)
-            table["cell"] = {
-                "text": [],
-                "heading": tag == "th" or table["head"],
-                "across": _span(attributes.get("colspan")),
-                "down": _span(attributes.get("rowspan")),
-            }
-            table["rows"][-1].append(table["cell"])
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self._open:
-            self._open.pop()
-        elif self._open and tag in ("td", "th", "tr"):
-            self._open[-1]["cell"] = None
-        elif self._open and tag == "thead":
-            self._open[-1]["head"] = False
-
-    def handle_data(self, data):
-        for table in self._open:
-            if table["cell"] is not None:
-                table["cell"]["text"].append(data)
+        else:
+            table["cell"] = None
+            table["head"] = tag == "thead" and not ends
+    take(html[position:])
+    return found
 
 
 def _span(text: str | None) -> int:
-    return int(text) if text and text.isdigit() and int(text) > 0 else 1
+    return max(int(text), 1) if text and text.isascii() and text.isdigit() else 1
 
 
 def _grid(rows: list[list[dict]], collapse: bool) -> list[tuple[bool, list[str]]]:
@@ -99,7 +122,7 @@ def _grid(rows: list[list[dict]], collapse: bool) -> list[tuple[bool, list[str]]
         below: dict[int, tuple[int, str]] = {}
         for cell in row:
             fill_carried()
-            text = "".join(cell["text"]).strip()
+            text = unescape("".join(cell["text"])).strip()
             text = _BREAKS.sub(" ", text) if collapse else text
             for _ in range(cell["across"]):
                 if cell["down"] > 1:
@@ -111,32 +134,30 @@ def _grid(rows: list[list[dict]], collapse: bool) -> list[tuple[bool, list[str]]
     return grid
 
 
+def _numbered(names: list[str]) -> list[str]:
+    """A repeated header gets a numbered name."""
+    return [f"{name}.{names[:at].count(name)}" if name in names[:at] else name for at, name in enumerate(names)]
+
+
 def _records(html: str | None, css_class: str | None, collapse: bool) -> Iterator[tuple]:
     """(table_no, row_no, cells, error) of one page."""
     if html is None or "<table" not in html.lower():
         yield None, None, None, NO_TABLE
         return
-    reader = _Tables()
-    reader.feed(html)
-    reader.close()
-    wanted = [rows for classes, rows in reader.tables if css_class is None or css_class in classes]
+    wanted = [rows for classes, rows in _tables(html) if css_class is None or css_class in classes]
     if not wanted:
         yield None, None, None, NO_TABLE
     for table_no, rows in enumerate(wanted):
-        names: list[str] | None = None
+        names: list[str] = []
         row_no = 0
         for heading, texts in _grid(rows, collapse):
             if heading:
                 if row_no == 0:
-                    names = texts
+                    names = _numbered(texts)
                 continue
-            cells = {}
-            for at, text in enumerate(texts):
-                name = names[at] if names and at < len(names) else str(at)
-                # A repeated header gets a numbered name.
-                copies = sum(1 for n in names[:at] if n == name) if names else 0
-                cells[f"{name}.{copies}" if copies else name] = text
-            yield table_no, row_no, cells, None
+            if len(texts) > len(names):
+                names = names + [str(at) for at in range(len(names), len(texts))]
+            yield table_no, row_no, dict(zip(names, texts)), None
             row_no += 1
 
 

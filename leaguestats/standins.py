@@ -164,14 +164,22 @@ def _row(cells: list[Column], tag: str = "td") -> Column:
     return F.concat(*parts, F.lit("</tr>\n"))
 
 
-def _page(rows: DataFrame, by: list[Column], headings: list[str], css_class: str) -> DataFrame:
-    """Rows (at, html) to pages; ``by`` holds a number block, so a page is bounded."""
+def _page(rows: DataFrame, by: list[str], headings: list[str], css_class: str) -> DataFrame:
+    """Rows (at, row) to pages; ``by`` holds a number block, so a page is bounded.
+
+    The partition number is given because parsing pages costs far more than
+    their bytes suggest: adaptive execution would merge them onto one task.
+    """
+    spark = rows.sparkSession
+    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
     head = "".join(f"<th>{h}</th>" for h in headings)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), "")
     html = F.concat(
-        F.lit(f'<html><body><table class="{css_class}"><thead><tr>{head}</tr></thead><tbody>\n'), body, F.lit("</tbody></table></body></html>")
+        F.lit(f'<html><body><table class="{css_class}"><thead><tr>{head}</tr></thead><tbody>\n'),
+        body,
+        F.lit("</tbody></table></body></html>"),
     )
-    return rows.groupBy(*by).agg(html.alias("html"))
+    return spread.groupBy(*by).agg(html.alias("html"))
 
 
 # Page columns of a rendered hitter row: name cell and rank number come first,
