@@ -35,7 +35,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_small(frame: DataFrame, max_rows: int = 200_000) -> bool:
+# Rows of a handful of columns that may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def is_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     """Whether a frame from ``durable`` may be broadcast; counting it is one cheap read.
 
     A larger frame joins by shuffle, where adaptive execution splits hot keys.

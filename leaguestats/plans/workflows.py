@@ -88,10 +88,13 @@ def career_view(spark: SparkSession, root: str, kind: str, years: Sequence[int]
 
 
 def schedule_games(pages: DataFrame, css_class: str, keep: Sequence[str] = (), html_col: str = "html") -> DataFrame:
-    """Schedule pages to games with results; the first table of the class counts."""
+    """Schedule pages to games with results; the first table of the class counts.
+
+    The raw rows are written out, so a later sort does not parse pages again.
+    """
     extracted = extract_tables(pages.where(F.col("kind") == SCHEDULE), html_col, keep, css_class, collapse_space=False)
     first = extracted.where(F.col("error").isNull() & (F.col("table_no") == 0)).drop("error")
-    raw = spread_cells(first, SCHEDULE, SCHEDULE_HEADERS)
+    raw = durable(spread_cells(first, SCHEDULE, SCHEDULE_HEADERS))
     return game_result(parse_schedule(raw, keep))
 
 

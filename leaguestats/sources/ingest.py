@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import innings_to_decimal, no_nan
+from ..functions.exprs import innings_to_decimal
 from ..functions.schemas import COLUMNS, HEADER_ALIASES, PITCHER
 
 # The name cell "name(number)", and the marks for a missing value.
@@ -84,41 +84,43 @@ def null_sentinels(df: DataFrame, columns: Sequence[str], values: Sequence[str]
     )
 
 
-def _typed(raw: Column, type_: str) -> Column:
+def _typed(column: str, type_: str) -> str:
     """Text to number as a table reader would: thousands commas, whole decimals."""
-    if type_ == "string":
-        return raw
-    text = F.replace(raw, F.lit(","), F.lit(""))
-    number = no_nan(text.try_cast("double"))
-    return number if type_ == "double" else F.coalesce(text.try_cast("bigint"), number.try_cast("bigint"))
+    text = f"replace(`{column}`, ',', '')"
+    number = f"nanvl(try_cast({text} as double), null)"
+    return number if type_ == "double" else f"coalesce(try_cast({text} as bigint), try_cast({number} as bigint))"
 
 
 def conform(df: DataFrame, kind: str, keep: Sequence[str] = ()) -> DataFrame:
     """Select the declared columns by page header, rename and type them.
 
-    The result is (columns of the kind, keep..., error).  A value that is
-    present but does not read as its type is an error, as is an empty integer
-    cell; an empty fraction is NULL.  A missing header is an error on each row.
+    The input columns are text; the result is (columns of the kind, keep...,
+    error).  A value that is present but does not read as its type is an error,
+    as is an empty integer cell; an empty fraction is NULL.  A missing header is
+    an error on each row.
     """
+    present = set(df.columns)
     made, problems = [], []
     for header, name, type_ in COLUMNS[kind]:
-        source = next((c for c in (header, name) if c in df.columns), None)
+        source = next((c for c in (header, name) if c in present), None)
         if source is None:
             made.append(F.lit(None).cast(type_).alias(name))
             problems.append(F.lit(f"no column {header}"))
             continue
-        raw = F.col(f"`{source}`")
         if type_ == "string":
-            made.append(raw.cast("string").alias(name))
+            made.append(F.col(f"`{source}`").alias(name))
             continue
-        text = raw.cast("string")
-        value = _typed(text, type_)
-        bad = value.isNull() & text.isNotNull()
-        if type_ == "double":
-            bad = bad & (F.trim(text) != "") & (F.lower(F.trim(text)) != "nan")
-        made.append(value.alias(name))
-        problems.append(F.when(bad, F.concat(F.lit(f"{header} is not {type_}: "), text)))
-    earlier = [F.col("error")] if "error" in df.columns else []
+        value = _typed(source, type_)
+        made.append(F.expr(f"{value} as `{name}`"))
+        # An empty cell or NaN is a missing fraction, not a wrong one.
+        missing = f"or lower(trim(`{source}`)) in ('', 'nan')" if type_ == "double" else ""
+        problems.append(
+            F.expr(
+                f"case when `{source}` is null or {value} is not null {missing} then null "
+                f"else concat('{header} is not {type_}: ', `{source}`) end"
+            )
+        )
+    earlier = [F.col("error")] if "error" in present else []
     return df.select(*made, *keep, F.nullif(F.concat_ws("; ", *earlier, *problems), F.lit("")).alias("error"))
 
 
@@ -129,8 +131,7 @@ def typed_records(extracted: DataFrame, kind: str, team_col: str = "Team", keep:
     """
     cells = spread_cells(extracted, kind)
     named = split_name_no(cells.withColumnRenamed(team_col, "팀"))
-    unread = F.col("팀").isNull()
-    named = _add_error(named, F.when(unread, F.lit("no team")))
+    named = _add_error(named, F.when(F.col("팀").isNull(), F.lit("no team")))
     records = conform(null_sentinels(named, DASHED[kind]), kind, keep)
     if kind == PITCHER:
         records = records.withColumn("IP", innings_to_decimal(F.col("IP")))

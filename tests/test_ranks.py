@@ -48,8 +48,11 @@ def test_ranks_over_many_value_ranges(spark, many_ranges):
     _same(ranks.rank_metrics(df, HITTER), _expected(frame))
 
 
-def test_ranks_by_shuffle_join(spark, monkeypatch, many_ranges):
-    monkeypatch.setattr(ranks, "is_small", lambda frame: False)
+@pytest.mark.parametrize("share", [1, 5, 10_000])
+def test_ranks_by_shuffle_join(spark, monkeypatch, many_ranges, share):
+    """Beyond the broadcast size, with no, some and all values counting as frequent."""
+    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+    monkeypatch.setattr(ranks, "_SHARE", share)
     frame = _random(3)
     _same(ranks.rank_metrics(spark.createDataFrame(frame), HITTER), _expected(frame))
 
