@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,19 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="leaguestats-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="leaguestats-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it from there afterwards.
+    """Write ``df`` once as a table in the shared folder and read it from there.
 
     Used where a frame feeds several branches: the work is done once, a lost
-    executor costs a re-read, and non-deterministic columns stay fixed.
+    executor costs a re-read, and non-deterministic columns stay fixed.  Being
+    Parquet, each branch reads its own columns only, a count needs no data, and
+    Spark knows the true size when it picks a join.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/leaguestats-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Rows of a handful of columns that may be broadcast.
@@ -40,7 +44,7 @@ SMALL_ROWS = 200_000
 
 
 def is_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a frame from ``durable`` may be broadcast; counting it is one cheap read.
+    """Whether a frame from ``durable`` may be broadcast; its count comes from file footers.
 
     A larger frame joins by shuffle, where adaptive execution splits hot keys.
     """
