@@ -395,6 +395,11 @@ SELECT team AS "Team", {_CSV_TEXT} FROM p WHERE place <= 30 GROUP BY team"""
 ORACLES["league_context"] = f"""{PLAYER_H}, p AS (SELECT *, row_number() OVER ({_LEADERS}) AS place FROM v)
 SELECT {_CSV_TEXT} FROM p WHERE place <= 30"""
 
+_MEDIANS = "concat_ws(',', " + ", ".join(f"CAST(max(CASE WHEN stat = '{k}' THEN median END) AS VARCHAR)" for k in _DIGEST_H) + ")"
+ORACLES["median_context"] = f"""{PLAYER_H}, q AS {_placed("yr, stat", _long("yr", _DIGEST_H))},
+m AS (SELECT yr, stat, {_round(_quantile(0.5), 3)} AS median FROM q GROUP BY yr, stat)
+SELECT yr AS "Year", concat('{",".join(H_LABELS[k] for k in _DIGEST_H)}', chr(10), {_MEDIANS}, chr(10)) AS context FROM m GROUP BY yr"""
+
 # --- schedule ---------------------------------------------------------------
 
 _AWAY, _HOME = "o_orderkey % 9", f"{_PRICE} % 9"

@@ -339,6 +339,13 @@ def league_context(spark, sf_dir):
     return compare.team_context(_hitters(spark, sf_dir), [], _context_order(), _CONTEXT, n=30)
 
 
+@query
+def median_context(spark, sf_dir):
+    columns = ["AVG", "OBP", "SLG", "OPS", "PA", "H", "SO"]
+    made = profile.league_profile(_hitters(spark, sf_dir), columns, by=["Year"])
+    return compare.profile_context(made, HITTER, columns, ["Year"])
+
+
 # --- schedule ---------------------------------------------------------------
 
 

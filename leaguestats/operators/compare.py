@@ -144,3 +144,19 @@ def team_context(
     ordered = F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"])
     text = F.concat(F.lit(header + "\n"), F.array_join(ordered, "\n"), F.lit("\n"))
     return lines.groupBy(*by).agg(text.alias("context"))
+
+
+def profile_context(
+    profile: DataFrame, kind: str, columns: Sequence[str], by: Sequence[str] = (), statistic: str = "median"
+) -> DataFrame:
+    """League means or medians as CSV: a line of labels and a line of values.
+
+    A group holds one value per metric.
+    """
+    names = labels(kind)
+    titles = {c: names.get(c, c) for c in columns}
+    wide = profile.groupBy(*by).agg(
+        *[F.max(F.when(F.col("Stat") == c, F.col(statistic))).alias(title) for c, title in titles.items()]
+    )
+    line = F.to_csv(F.struct(*[F.col(f"`{title}`") for title in titles.values()]), _CSV)
+    return wide.select(*by, F.concat(F.lit(",".join(titles.values()) + "\n"), line, F.lit("\n")).alias("context"))

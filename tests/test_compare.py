@@ -90,3 +90,10 @@ def test_columns(spark):
     assert frames.select_existing(df, ["SB%", "none", "Team"]).columns == ["SB%", "Team"]
     stacked = frames.stack_frames(df.select("Team"), df.select("PA", "Team"))
     assert stacked.columns == ["Team", "PA"] and stacked.count() == 2
+
+
+def test_profile_context(spark):
+    df = spark.createDataFrame([(1.0, 2, 0.25), (2.0, 4, 0.75)], "ERA double, SO long, `SO/IP` double")
+    made = profile.league_profile(df, ["SO", "ERA", "SO/IP"])
+    text = compare.profile_context(made, PITCHER, ["ERA", "SO", "SO/IP"]).first().context
+    assert text == pd.DataFrame([{"방어율": 1.5, "탈삼진": 3.0, "SO/IP": 0.5}]).to_csv(index=False)
