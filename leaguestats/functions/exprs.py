@@ -71,6 +71,14 @@ def format_stat(c: Column) -> Column:
     return F.call_function("format_number", value, pattern)
 
 
+def plain_number(c: Column) -> Column:
+    """A fraction as text without an exponent: 12345678.0, 0.0005."""
+    text = c.cast("string")
+    digits = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    spelled = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.contains(text, F.lit("E")), F.coalesce(spelled, text)).otherwise(text)
+
+
 def lookup(c: Column, mapping: dict[str, str], keep_unknown: bool = False) -> Column:
     """Translate a string through a small fixed dictionary.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..checkpoints import statistics_side
-from ..functions.exprs import finite, lookup
+from ..functions.exprs import finite, lookup, plain_number
 from ..functions.registry import COMPARE_DEFAULT, LOW_IS_GOOD, MAX_COMPARED, ORDER
 from ..functions.schemas import labels
 from .frames import numeric_columns, select_existing, to_long
@@ -86,7 +86,7 @@ def team_digest(sheet: DataFrame, kind: str, within: Sequence[str] = ()) -> Data
     entry = F.concat(
         lookup(F.col("Stat"), labels(kind), keep_unknown=True),
         F.lit(": "),
-        F.coalesce(F.col("Value").cast("string"), F.lit("-")),
+        F.coalesce(plain_number(F.col("Value")), F.lit("-")),
         F.lit(" ["),
         F.coalesce(F.col("Rank").cast("string"), F.lit("-")),
         F.lit("위]"),
@@ -104,7 +104,7 @@ def profile_digest(profile: DataFrame, kind: str, by: Sequence[str] = ()) -> Dat
     label = lookup(F.col("Stat"), labels(kind), keep_unknown=True)
 
     def line(column: str) -> Column:
-        text = F.concat(label, F.lit(": "), F.coalesce(F.col(column).cast("string"), F.lit("-")))
+        text = F.concat(label, F.lit(": "), F.coalesce(plain_number(F.col(column)), F.lit("-")))
         item = F.struct(F.array_position(order, F.col("Stat")).alias("at"), text.alias("text"))
         return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), ", ")
 
@@ -120,6 +120,15 @@ _CSV = {
 }
 
 
+def _csv_line(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The columns of a row as one CSV line; fractions without an exponent."""
+    cells = []
+    for c in columns:
+        cell = F.col(f"`{c}`")
+        cells.append((plain_number(cell) if isinstance(df.schema[c].dataType, T.FractionalType) else cell).alias(c))
+    return F.to_csv(F.struct(*cells), _CSV)
+
+
 def team_context(
     df: DataFrame,
     by: Sequence[str],
@@ -133,7 +142,7 @@ def team_context(
     the shuffle.  With an empty ``by`` the whole table gives one text.
     """
     header = ",".join(columns)
-    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns]), _CSV)
+    line = _csv_line(df, columns)
     if by:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         top = df.withColumn("place", place).where(F.col("place") <= n)
@@ -158,5 +167,5 @@ def profile_context(
     wide = profile.groupBy(*by).agg(
         *[F.max(F.when(F.col("Stat") == c, F.col(statistic))).alias(title) for c, title in titles.items()]
     )
-    line = F.to_csv(F.struct(*[F.col(f"`{title}`") for title in titles.values()]), _CSV)
+    line = _csv_line(wide, list(titles.values()))
     return wide.select(*by, F.concat(F.lit(",".join(titles.values()) + "\n"), line, F.lit("\n")).alias("context"))

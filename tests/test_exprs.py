@@ -60,3 +60,12 @@ def test_format_stat_is_python_format(spark):
 def test_lookup(spark, keep, expected):
     made = apply(spark, ["alpha", "other", None], lambda c: exprs.lookup(c, {"alpha": "A"}, keep), "string")
     assert made == expected
+
+
+def test_plain_number_is_python_text(spark):
+    random.seed(3)
+    values = [0.0, 1.0, 450.0, 0.321, 12345678.0, 98765432.25, 0.0005, 0.00025, -0.0005, -23456789.5]
+    values += [float(random.randint(10**7, 10**12)) for _ in range(200)] + [random.randint(1, 99) / 10**5 for _ in range(50)]
+    expected = [repr(v) if "e" not in repr(v) else f"{v:.18f}".rstrip("0") for v in values]
+    assert apply(spark, values, exprs.plain_number) == expected
+    assert apply(spark, [None], exprs.plain_number) == [None]
