@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -25,18 +26,86 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class Scratch:
+    """A folder of intermediate tables in the shared folder, with an owner.
+
+    ``keep`` writes a frame once and reads it back; ``drop`` removes one table,
+    ``release`` all of them.  As a context manager it releases at the end, so a
+    frame that is returned must be kept elsewhere::
+
+        with Scratch(spark) as scratch:
+            placed = scratch.keep(rows)
+            return durable(report(placed))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/leaguestats-{uuid.uuid4().hex}"
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once as a table of this folder and read it from there.
+
+        The work is done once, a lost executor costs a re-read, and
+        non-deterministic columns stay fixed.  Being Parquet, each branch reads
+        its own columns only, a count needs no data, and Spark knows the true
+        size when it picks a join.
+        """
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables this folder keeps; frames read from them end with them."""
+        for table in tables:
+            _delete(self.spark, self._paths.pop(id(table))[1])
+
+    def release(self) -> None:
+        """Remove the folder."""
+        self._paths.clear()
+        _delete(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_results: dict[str, Scratch] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it from there.
+    """``df`` written once as a table that lives until ``release`` or the end of the program.
 
-    Used where a frame feeds several branches: the work is done once, a lost
-    executor costs a re-read, and non-deterministic columns stay fixed.  Being
-    Parquet, each branch reads its own columns only, a count needs no data, and
-    Spark knows the true size when it picks a join.
+    Used where a frame feeds several branches of a result that is read later.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leaguestats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    application = df.sparkSession.sparkContext.applicationId
+    if application not in _results:
+        _results[application] = Scratch(df.sparkSession)
+    return _results[application].keep(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table ``durable`` wrote in this application; frames built on them end with them."""
+    scratch = _results.pop(spark.sparkContext.applicationId, None)
+    if scratch:
+        scratch.release()
+
+
+@atexit.register
+def _release_all() -> None:
+    """At the end of the program, remove the tables of applications that still run."""
+    session = SparkSession.getActiveSession()
+    if session and session.sparkContext._jsc and not session.sparkContext._jsc.sc().isStopped():
+        release(session)
 
 
 # Rows of a handful of columns that may be broadcast.
