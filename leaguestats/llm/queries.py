@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, sharding
+from leaguestats.llm import chat, exact, packing, sharding
 from leaguestats.llm.common import documents
 
 
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in sequences of 1024, packed along a Hilbert curve."""
+    return packing.pack_along_curve(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=1024, end_id=0
+    ).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     placed = sharding.kd_shards(documents(spark, sf_dir), sharding.document_dims(), shards=40)
@@ -34,5 +42,5 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op3_kd_shards, op6_exact_dedup, op8_reply_trees)
+    q.__name__: q for q in (op1_hilbert_packing, op3_kd_shards, op6_exact_dedup, op8_reply_trees)
 }
