@@ -6,6 +6,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leaguestats.checkpoints import is_small
+
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,3 +31,20 @@ def literals(values: Sequence, kind: str) -> Column:
 def id_hash(name: str = "doc_id") -> Column:
     """crc32 of an id written as text; the folds of the labelled tables are built on it."""
     return F.crc32(F.encode(F.col(name).cast("string"), "UTF-8"))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Columns that tell a row apart when ids may be null or repeated."""
+    return [F.col(f"`{doc_id}`").alias("_k_id"), F.xxhash64(F.col(f"`{text}`")).alias("_k_text")]
+
+
+def less(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``dropped``, a written table of (_k_id, _k_text), names.
+
+    A table of at most ``SMALL_ROWS`` rows is broadcast; a larger one joins by shuffle.
+    """
+    side = F.broadcast(dropped) if is_small(dropped) else dropped
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumns({"_k_id_": F.col(f"`{doc_id}`"), "_k_text_": F.xxhash64(F.col(f"`{text}`"))})
+    same = keyed["_k_id_"].eqNullSafe(side["_k_id"]) & (keyed["_k_text_"] == side["_k_text"])
+    return keyed.join(side, same, "left_anti").select(*columns)

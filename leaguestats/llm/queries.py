@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, packing, sharding
+from leaguestats.llm import chat, exact, packing, quality, sharding
 from leaguestats.llm.common import documents
 
 
@@ -18,6 +18,17 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def fertility(docs: DataFrame) -> DataFrame:
+    """The quality rules with the public vocabularies."""
+    path = public_tokenizers.path
+    return quality.judge_fertility(docs, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and token bands over every document."""
+    return fertility(documents(spark, sf_dir)).drop("key")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     placed = sharding.kd_shards(documents(spark, sf_dir), sharding.document_dims(), shards=40)
@@ -42,5 +53,5 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_hilbert_packing, op3_kd_shards, op6_exact_dedup, op8_reply_trees)
+    q.__name__: q for q in (op1_hilbert_packing, op2_tokenizer_fertility, op3_kd_shards, op6_exact_dedup, op8_reply_trees)
 }
