@@ -185,9 +185,12 @@ def judge_fertility(
         .where(F.col("n") >= least_rows)
         .drop("n")
     )
+    bands = F.broadcast(bands) if is_small(bands) else bands
+    judged = rows.join(bands, "band", "left").join(F.broadcast(overall))  # overall has one row
+
     def inside(measure: str, floor: float = 0.0, wider: Column | float = 1.0) -> Column:
         low, high = (F.coalesce(F.col(f"bands_{measure}"), F.col(f"all_{measure}"))[i] for i in (0, 1))
-        reach = lambda width: F.greatest(F.lit(floor), F.lit(width) * (high - low) * wider)
+        reach = lambda width: F.greatest(F.lit(floor), F.lit(width) * (high - low) * F.lit(wider))
         below, above = widths[measure]
         sound = F.lit(True)
         if below is not None:
