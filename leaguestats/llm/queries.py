@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, packing, quality, sharding
-from leaguestats.llm.common import documents
+from leaguestats.llm import chat, exact, language, packing, quality, sharding, toxicity
+from leaguestats.llm.common import documents, id_hash
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds that are not held out."""
+    docs = documents(spark, sf_dir)
+    held_out = id_hash() % 4 == 2
+    found = language.identify_languages(docs, docs.where(~held_out).select("lang", "text"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one full of control strings, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -52,6 +60,25 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_reply_trees(trees))
 
 
+def op10_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the folds that are not held out."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    held_out = id_hash() % 3 == 1
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels.where(~held_out), "doc_id").select("text", "label")
+    found = toxicity.score_toxicity(docs, labelled)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_hilbert_packing, op2_tokenizer_fertility, op3_kd_shards, op6_exact_dedup, op8_reply_trees)
+    q.__name__: q
+    for q in (
+        op1_hilbert_packing,
+        op2_tokenizer_fertility,
+        op3_kd_shards,
+        op6_exact_dedup,
+        op7_cross_parsing,
+        op8_reply_trees,
+        op10_nb_ngrams,
+    )
 }
