@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, language, packing, quality, sharding, toxicity
+from leaguestats.llm import chat, exact, jaccard, language, packing, quality, sharding, toxicity
 from leaguestats.llm.common import documents, id_hash
 
 
@@ -37,6 +37,11 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree to 90 % or more."""
+    return jaccard.near_copies(documents(spark, sf_dir), size=3, part=9, whole=10).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of identical texts and the row of each that stays."""
     marked = exact.mark_exact_copies(documents(spark, sf_dir), carry=["doc_id"])
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_hilbert_packing,
         op2_tokenizer_fertility,
         op3_kd_shards,
+        op4_jaccard_join,
         op6_exact_dedup,
         op7_cross_parsing,
         op8_reply_trees,
