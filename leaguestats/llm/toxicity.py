@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from leaguestats.checkpoints import Scratch
 from leaguestats.llm.tokens import small_batches
 
 BITS = 18  # of a feature's number
-SIZES = (3, 4, 5)  # of the n-grams
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+SIZES = (4, 5, 6)  # of the n-grams
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 class NGrams:
@@ -41,59 +42,62 @@ class NGrams:
         return grams[self.seen[grams] == place]
 
 
-def training_features(labelled: DataFrame, sample_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """N-grams and labels of up to ``sample_rows`` rows of each label, taken in order of a hash.
+def sampled_grams(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """(label, grams) of up to ``sample_rows`` rows of each label, taken in order of a hash; the n-grams are found in the workers.
 
-    ``labelled``: text, label (0 or 1).  Texts become n-gram numbers in the workers.
+    The rank keeps its first rows in each task before it shuffles.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_grams = NGrams()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([n_grams.of(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["label", "grams"]
-            )
+            texts = batch.column("text").to_pylist()
+            for a, b in small_batches(texts):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label").slice(a, b - a), pa.array([n_grams.of(t) for t in texts[a:b]], pa.list_(pa.int32()))], ["label", "grams"]
+                )
 
     order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    rows = (
+    return (
         labelled.where("text is not null and label in (0, 1)")
         .select(F.col("label").cast("int").alias("label"), "text")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= sample_rows)
         .select("label", "text")
-        .mapInArrow(grams, "label int, grams binary")
-        .collect()
+        .mapInArrow(grams, "label int, grams array<int>")
     )
-    return [np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["label"] for r in rows], float)
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weight of each n-gram, ratio included, and the intercept.
+def log_count_ratios(sample: DataFrame, smoothing: float, least_ratio: float, least_texts: int) -> np.ndarray:
+    """For each n-gram, log of its smoothed share among n-grams of label-1 texts over that of label-0 texts.
 
-    The ratio of an n-gram is log of its smoothed share among n-grams of label-1
-    texts over that of label-0 texts; logistic regression with a squared penalty,
-    classes weighing alike, runs on n-grams scaled by it.
+    0 for n-grams of fewer than ``least_texts`` texts or with a smaller ratio than ``least_ratio`` either way.
     """
     size = 1 << BITS
-    lengths = np.array([len(f) for f in features])
+    counted = sample.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("label").alias("one"), F.count(F.lit(1)).alias("all"))
+    share = np.full((2, size), smoothing)
+    for gram, one, both in counted.collect():  # 2^BITS rows at most
+        share[0, gram] += both - one
+        share[1, gram] += one
+    ratio = np.log(share[1] / share[1].sum()) - np.log(share[0] / share[0].sum())
+    rare = share.sum(axis=0) < 2 * smoothing + least_texts
+    ratio[rare | (np.abs(ratio) < least_ratio)] = 0.0
+    return ratio
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float, rounds: int = 80) -> tuple[np.ndarray, float]:
+    """Logistic regression with a squared penalty on n-grams scaled by ``ratio``, classes weighing alike: weights, ratio included, and intercept."""
     if not len(labels) or labels.min() == labels.max():
-        return np.zeros(size, np.float32), float(-5.0 if not labels.any() else 5.0)
+        return np.zeros(len(ratio), np.float32), 5.0 if labels.any() else -5.0
     grams = np.concatenate(features)
-    owner = np.repeat(np.arange(len(features)), lengths)
-    toxic = labels[owner]
-    share = [smoothing + np.bincount(grams, toxic == c, size) for c in (0, 1)]
-    ratio = np.log(share[1] / share[1].sum()) - np.log(share[0] / share[0].sum())
-    kept = (np.abs(ratio) > 0.4) & (share[0] + share[1] >= 2 * smoothing + 3)
-    inside = kept[grams]
-    grams, owner = grams[inside], owner[inside]
-    ratio = np.where(kept, ratio, 0.0)
+    owner = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     weigh = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
-    weights, bias = np.zeros(size), 0.0
-    first, second = np.zeros(size + 1), np.zeros(size + 1)
+    weights, bias = np.zeros(len(ratio)), 0.0
+    first, second = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(owner, (weights * ratio)[grams], len(labels)) + bias
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * weigh
-        slope = np.append(np.bincount(grams, off[owner], size) * ratio + penalty * weights, off.sum())
+        slope = np.append(np.bincount(grams, off[owner], len(ratio)) * ratio + penalty * weights, off.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope * slope
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -102,15 +106,55 @@ def fit(features: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0,
     return (weights * ratio).astype(np.float32), float(bias)
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, sample_rows: int = 2_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def decision_point(z: np.ndarray, labels: np.ndarray) -> float:
+    """The value that parts label 1 from label 0 best, a wrong 1 counting as five missed ones; midway between its neighbours."""
+    order = np.argsort(-z)
+    hits, wrong = np.cumsum(labels[order] == 1), np.cumsum(labels[order] == 0)
+    best = int(np.argmax(hits - 5 * wrong))
+    return float(z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2
+
+
+def train(
+    labelled: DataFrame, sample_rows: int, accept: float, smoothing: float = 1.0, least_ratio: float = 1.5, least_texts: int = 3, penalty: float = 0.01
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept, set so that the point which parts left-out halves of the sample best scores ``accept``."""
+    with Scratch(labelled.sparkSession) as scratch:
+        sample = scratch.keep(sampled_grams(labelled, sample_rows))
+        ratio = log_count_ratios(sample, smoothing, least_ratio, least_texts)
+        telling = ratio != 0
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.asarray(g, np.int32) for g in batch.column("grams").to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[telling[g]].tobytes() for g in found], pa.binary())], ["label", "grams"])
+
+        rows = sample.mapInArrow(tell, "label int, grams binary").orderBy(F.xxhash64("grams"), "label").collect()
+    features = [np.frombuffer(r["grams"], np.int32) for r in rows]
+    labels = np.array([r["label"] for r in rows], float)
+    weights, bias = fit(features, labels, ratio, penalty)
+    if len(set(labels)) < 2:
+        return weights, bias
+    z = np.zeros(len(labels))
+    for half in (0, 1):
+        seen, left = np.arange(half, len(labels), 2), np.arange(1 - half, len(labels), 2)
+        w, b = fit([features[i] for i in seen], labels[seen], ratio, penalty)
+        z[left] = [float(w[features[i]].sum(dtype=np.float64)) + b for i in left]
+    return weights, bias - decision_point(z, labels) + float(np.log(accept / (1 - accept)))
+
+
+def score_toxicity(
+    docs: DataFrame, labelled: DataFrame, sample_rows: int = 2_000, accept: float = 0.7, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
     """Score every whole text between 0 and 1, higher where label 1 is likelier.
 
-    The classifier is fitted on a bounded sample of ``labelled`` (text, label).
+    The classifier is fitted on a sample of ``labelled`` (text, label), of
+    ``sample_rows`` rows of each label at most; scores from ``accept`` on are
+    meant to be taken for label 1.
     A null or empty text has no n-grams but those of its edges and is scored
     like any other; without labels of both kinds all scores are near 0 (or 1).
     Returns doc_id and ``score``.
     """
-    weights, bias = fit(*training_features(labelled, sample_rows))
+    weights, bias = train(labelled, sample_rows, accept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_grams = NGrams()
