@@ -16,6 +16,7 @@ from leaguestats.llm.tokens import small_batches
 
 ALPHABET = 60  # letters told apart; rarer ones match nothing
 CHUNK = 256  # a phrase ends at the latest where a chunk of so many characters does
+RUN = 5  # words in a row that several sampled texts may share
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -130,12 +131,23 @@ def training_samples(labelled: DataFrame, sample_chars: int, sample_docs: int) -
         .orderBy("lang", "rank")
         .collect()
     )
+    # What several sampled texts share, whatever their language, tells languages apart badly.
+    runs = [_word_runs(row["text"]) for row in rows]
+    held = Counter(run for found in runs for run in set(found))
     texts: dict[str, str] = {}
-    for row in rows:
-        texts[row["lang"]] = (texts.get(row["lang"], "") + row["text"] + " ")[:sample_chars]
+    for row, found in zip(rows, runs):
+        words = row["text"].split()
+        shared = {j for i, run in enumerate(found) if held[run] > 1 for j in range(i, i + RUN)}
+        own = " ".join(w for j, w in enumerate(words) if j not in shared)
+        texts[row["lang"]] = (texts.get(row["lang"], "") + own + " ")[:sample_chars]
     return tuple((lang, text) for lang, text in sorted(texts.items()) if _LETTER.search(text))
 
 
+def _word_runs(text: str) -> list[tuple[str, ...]]:
+    words = text.split()
+    return [tuple(words[i : i + RUN]) for i in range(len(words) - RUN + 1)]
+
+
 def identify_languages(
     docs: DataFrame,
     labelled: DataFrame,
