@@ -84,7 +84,7 @@ class JaccardJoin:
         return differ * (self.whole + self.part) <= (na + nb) * (self.whole - self.part)
 
     def postings(self, representatives: DataFrame, rounds: int) -> DataFrame:
-        """(s, row, n): each set in the regions of its first ``reach`` pivots.
+        """(row, n, s, last): each set in the regions of its first ``reach`` pivots.
 
         Pivots are single shingles.  A set lies at 1 - 1/n from those it holds and
         at 1 from all others; among the nearest, the first in order names its own
@@ -92,29 +92,38 @@ class JaccardJoin:
         shingles, so the first shingle both hold is among the first ``reach`` of
         each, and replicating sets into those regions loses no link.  Any order
         will do, if all share it: crowded pivots, held by over ``crowd`` sets,
-        move to its end in a few rounds, in which only sets near them change.
+        move to its end in ``rounds`` rounds, in which only sets near them change.
+        ``last`` tells the moved ones.
         """
         first = self.sets.select("row", "n", F.slice("set", F.lit(1), self.reach(F.col("n"))).alias("pivots")).join(representatives, "row", "left_semi")
-        posts = self.scratch.keep(first.select("row", "n", F.explode("pivots").alias("s")))
-        moved = None
-        for _ in range(rounds):
-            crowded = posts.groupBy("s").count().where(F.col("count") > self.crowd).select("s")
-            near = posts.join(crowded, "s").select("row", "s")
-            near = near if moved is None else near.unionByName(moved.select("row", F.explode("moved").alias("s")))
+        posts = self.scratch.keep(first.select("row", "n", F.explode("pivots").alias("s"), F.lit(False).alias("last")))
+        crowded = moved = None
+        while True:
+            if rounds > 0:
+                found = posts.where("not last").groupBy("s").count().where(F.col("count") > self.crowd).select("s")
+                crowded = self.scratch.keep(found if crowded is None else crowded.unionByName(found).distinct())
+                rounds -= 1
+            # A set moves a crowded pivot once it comes up among its first: then all agree on the order.
+            near = posts.where("not last").join(crowded, "s").select("row", "s")
+            if near.isEmpty():
+                return posts
+            changed = self.scratch.keep(near.select("row").distinct())
+            if moved is not None:
+                near = near.unionByName(moved.join(changed, "row", "left_semi").select("row", F.explode("moved").alias("s")))
             found = self.scratch.keep(near.groupBy("row").agg(F.collect_set("s").alias("moved")))
-            if found.isEmpty():
-                break
             side = F.broadcast(found) if is_small(found) else found
-            last = F.concat(F.array_except("set", "moved"), F.array_sort(F.array_intersect("set", "moved")))
+            order = F.concat(F.array_except("set", "moved"), F.array_sort(F.array_intersect("set", "moved")))
             again = (
                 self.sets.select("row", "n", "set")
                 .join(side, "row")
-                .select("row", "n", F.explode(F.slice(last, F.lit(1), self.reach(F.col("n")))).alias("s"))
+                .select("row", "n", "moved", F.explode(F.slice(order, F.lit(1), self.reach(F.col("n")))).alias("s"))
+                .select("row", "n", "s", F.array_contains("moved", F.col("s")).alias("last"))
             )
-            after = self.scratch.keep(posts.join(side.select("row"), "row", "left_anti").select("row", "n", "s").unionByName(again))
+            kept = posts.join(changed, "row", "left_anti").select("row", "n", "s", "last")
+            after = self.scratch.keep(kept.unionByName(again))
+            moved = found if moved is None else self.scratch.keep(moved.join(changed, "row", "left_anti").unionByName(found))
             self.scratch.drop(posts)
-            posts, moved = after, found
-        return posts
+            posts = after
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b): sizes and sketches first, then whole sets."""
