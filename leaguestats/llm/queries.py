@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, jaccard, language, packing, quality, sharding, toxicity
+from leaguestats.llm import chat, exact, jaccard, language, packing, quality, sharding, substrings, toxicity
 from leaguestats.llm.common import documents, id_hash
 
 
@@ -65,13 +65,17 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_reply_trees(trees))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of passages of 50 words or more that documents share."""
+    return substrings.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of the folds that are not held out."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     held_out = id_hash() % 3 == 1
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels.where(~held_out), "doc_id").select("text", "label")
-    found = toxicity.score_toxicity(docs, labelled)
+    found = toxicity.score_toxicity(docs, labels.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_cross_parsing,
         op8_reply_trees,
+        op9_compact_windows,
         op10_nb_ngrams,
     )
 }

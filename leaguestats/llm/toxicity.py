@@ -42,10 +42,10 @@ class NGrams:
         return grams[self.seen[grams] == place]
 
 
-def sampled_grams(labelled: DataFrame, sample_rows: int) -> DataFrame:
-    """(label, grams) of up to ``sample_rows`` rows of each label, taken in order of a hash; the n-grams are found in the workers.
+def sampled_grams(docs: DataFrame, labels: DataFrame, sample_rows: int, text: str, doc_id: str) -> DataFrame:
+    """(label, grams) of up to ``sample_rows`` ids of each label, taken in order of a hash; the n-grams are found in the workers.
 
-    The rank keeps its first rows in each task before it shuffles.
+    The rank keeps its first rows in each task before it shuffles, and no text does.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,15 +57,17 @@ def sampled_grams(labelled: DataFrame, sample_rows: int) -> DataFrame:
                     [batch.column("label").slice(a, b - a), pa.array([n_grams.of(t) for t in texts[a:b]], pa.list_(pa.int32()))], ["label", "grams"]
                 )
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    return (
-        labelled.where("text is not null and label in (0, 1)")
-        .select(F.col("label").cast("int").alias("label"), "text")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = (
+        labels.where("label in (0, 1)")
+        .select("doc_id", F.col("label").cast("int").alias("label"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= sample_rows)
-        .select("label", "text")
-        .mapInArrow(grams, "label int, grams array<int>")
+        .select(F.col("doc_id").alias("_labelled"), "label")
     )
+    given = docs.select(F.col(f"`{doc_id}`").alias("_labelled"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    # The sample has a bounded number of rows, so it is sent to the texts.
+    return given.join(F.broadcast(chosen), "_labelled").select("label", "text").mapInArrow(grams, "label int, grams array<int>")
 
 
 def log_count_ratios(sample: DataFrame, smoothing: float, least_ratio: float, least_texts: int) -> np.ndarray:
@@ -115,11 +117,11 @@ def decision_point(z: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(
-    labelled: DataFrame, sample_rows: int, accept: float, smoothing: float = 1.0, least_ratio: float = 1.5, least_texts: int = 3, penalty: float = 0.01
+    sample: DataFrame, accept: float, smoothing: float = 1.0, least_ratio: float = 1.5, least_texts: int = 3, penalty: float = 0.01
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept, set so that the point which parts left-out halves of the sample best scores ``accept``."""
-    with Scratch(labelled.sparkSession) as scratch:
-        sample = scratch.keep(sampled_grams(labelled, sample_rows))
+    with Scratch(sample.sparkSession) as scratch:
+        sample = scratch.keep(sample)
         ratio = log_count_ratios(sample, smoothing, least_ratio, least_texts)
         telling = ratio != 0
 
@@ -143,18 +145,18 @@ def train(
 
 
 def score_toxicity(
-    docs: DataFrame, labelled: DataFrame, sample_rows: int = 2_000, accept: float = 0.7, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 2_000, accept: float = 0.7, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """Score every whole text between 0 and 1, higher where label 1 is likelier.
 
-    The classifier is fitted on a sample of ``labelled`` (text, label), of
-    ``sample_rows`` rows of each label at most; scores from ``accept`` on are
+    The classifier is fitted on the texts of a sample of ``labels`` (doc_id, label
+    0 or 1), of ``sample_rows`` ids of each label at most; scores from ``accept`` on are
     meant to be taken for label 1.
     A null or empty text has no n-grams but those of its edges and is scored
     like any other; without labels of both kinds all scores are near 0 (or 1).
     Returns doc_id and ``score``.
     """
-    weights, bias = train(labelled, sample_rows, accept)
+    weights, bias = train(sampled_grams(docs, labels, sample_rows, text, doc_id), accept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_grams = NGrams()
