@@ -22,22 +22,22 @@ def _bit(slot: Column, k: int) -> Column:
     return F.pmod(F.xxhash64(slot, F.lit(k)), F.lit(BLOCK_BITS))
 
 
-def repeated_filter(docs: DataFrame, text: str, slot_bits: int, bits_per_key: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The two filters: which of 2^slot_bits slots more than one text falls in, folded into bitmaps.
+def slot_filter(slots: DataFrame, bits_per_key: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The two filters over a column ``slot``: which slots are set more than once, folded into bitmaps.
 
     The first is a filter with one hash: each row sets a slot, and only slots are
     counted, partly before they shuffle.  The second holds the slots set twice,
     two bits of one block of ``BLOCK_BITS`` for each.  Returns (block, bitmap) rows
     and the number of blocks.
     """
-    slots = scratch.keep(docs.groupBy(_slot(text, slot_bits).alias("slot")).count().where("count > 1").select("slot"))
-    blocks = max(1, math.ceil(slots.count() * bits_per_key / BLOCK_BITS))
-    bits = slots.select(
+    twice = scratch.keep(slots.groupBy("slot").count().where("count > 1").select("slot"))
+    blocks = max(1, math.ceil(twice.count() * bits_per_key / BLOCK_BITS))
+    bits = twice.select(
         F.pmod(F.xxhash64("slot"), F.lit(blocks)).alias("block"),
         F.explode(F.array(_bit(F.col("slot"), 1), _bit(F.col("slot"), 2))).alias("bit"),
     )
     bitmaps = scratch.keep(bits.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")))
-    scratch.drop(slots)
+    scratch.drop(twice)
     return bitmaps, blocks
 
 
@@ -47,6 +47,11 @@ def _has_bit(k: int) -> Column:
     return F.expr(f"coalesce((shiftright({byte}, cast({bit} % 8 as int)) & 1) = 1, false)")
 
 
+def has_bits() -> Column:
+    """Whether ``bitmap`` holds both bits of ``slot``."""
+    return _has_bit(1) & _has_bit(2)
+
+
 def mark_exact_copies(
     docs: DataFrame,
     carry: Sequence[str] | None = None,
@@ -59,7 +64,7 @@ def mark_exact_copies(
     """Group rows whose texts are identical and mark the one that stays.
 
     Pass one hashes every text to a slot and keeps the slots set twice as a
-    bitmap (``repeated_filter``).  Pass two probes the bitmap in the scan: rows
+    bitmap (``slot_filter``).  Pass two probes the bitmap in the scan: rows
     that miss are alone and pass straight through; only rows that hit (repeats,
     and about one chance hit in ``bits_per_slot``) shuffle, by SHA-256 of the text.
     A bitmap of up to ``filter_bytes`` is broadcast; a larger one is joined by
@@ -76,7 +81,7 @@ def mark_exact_copies(
     carried = without(docs.select(*[f"`{c}`" for c in carry]) if carry else docs, ADDED).columns
     slot_bits = max(15, math.ceil(math.log2(max(1, docs.count()) * bits_per_slot)))
     with Scratch(spark) as scratch:
-        bitmaps, blocks = repeated_filter(docs, text, slot_bits, bits_per_key, scratch)
+        bitmaps, blocks = slot_filter(docs.select(_slot(text, slot_bits).alias("slot")), bits_per_key, scratch)
         bitmaps = durable(bitmaps)
     if blocks * BLOCK_BITS // 8 <= filter_bytes:
         bitmaps = F.broadcast(bitmaps)
@@ -90,7 +95,7 @@ def mark_exact_copies(
         )
         .withColumn("block", F.pmod(F.xxhash64("slot"), F.lit(blocks)))
         .join(bitmaps, "block", "left")
-        .withColumn("_maybe", _has_bit(1) & _has_bit(2))
+        .withColumn("_maybe", has_bits())
     )
     digest = F.sha2(F.col("_text"), 256).alias("text_sha256")
     given = [F.col(n).alias(c) for c, n in names.items()]
