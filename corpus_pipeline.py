@@ -9,25 +9,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leaguestats.checkpoints import durable
-from leaguestats.llm import exact
+from leaguestats.llm import exact, jaccard, mixing
+from leaguestats.llm.common import less, replicated
+from leaguestats.llm.queries import fertility, packed
 from leaguestats.shipping import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    rejected = fertility(docs).where("not kept").select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_text"))
+    return less(docs, durable(rejected.distinct()))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with identical texts, the one with the largest id stays."""
     return exact.mark_exact_copies(docs).where("kept").select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by 0.8 or more of their 5-word shingles, the one with the smallest id stays."""
+    dropped = jaccard.near_copies(docs, size=5, part=8, whole=10).where("not keep")
+    return less(docs, durable(dropped.select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_text")).distinct()))
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small languages are repeated towards shares to the power 0.7; no document goes."""
+    labelled = docs.select("text", F.col("lang").alias("label"))
+    rates = mixing.fit_rates(docs, labelled, temperature=0.7, least_rate=1.0, keep_largest=True)
+    times = rates.where("copies <> 1").select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_text"), F.col("copies").alias("_k_copies"))
+    return replicated(docs, durable(times.distinct()))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 token ids along a Hilbert curve, as pieces of documents."""
+    return packed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_sound),
     ("exact_dedup", drop_exact_copies),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_languages),
+    ("packing", pack),
 ]
 
-# Tokenizer statistics and the similarity join have no SQL form; the stages are tested against brute force.
+# Token statistics, the similarity join and rates have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -33,18 +33,23 @@ def id_hash(name: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(name).cast("string"), "UTF-8"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell a row apart when ids may be null or repeated."""
-    return [F.col(f"`{doc_id}`").alias("_k_id"), F.xxhash64(F.col(f"`{text}`")).alias("_k_text")]
+def _beside(docs: DataFrame, side: DataFrame, how: str, doc_id: str, text: str) -> DataFrame:
+    """``docs`` joined with a written table of rows named by ``_k_id`` and ``_k_text`` (id and hash of the text).
+
+    A table of at most ``SMALL_ROWS`` rows is broadcast; a larger one joins by shuffle.
+    """
+    side = F.broadcast(side) if is_small(side) else side
+    keyed = docs.withColumns({"_k_own_id": F.col(f"`{doc_id}`"), "_k_own_text": F.xxhash64(F.col(f"`{text}`"))})
+    return keyed.join(side, F.col("_k_own_id").eqNullSafe(F.col("_k_id")) & (F.col("_k_own_text") == F.col("_k_text")), how)
 
 
 def less(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``dropped``, a written table of (_k_id, _k_text), names.
+    """``docs`` without the rows that ``dropped`` names."""
+    return _beside(docs, dropped, "left_anti", doc_id, text).select(*[f"`{c}`" for c in docs.columns])
 
-    A table of at most ``SMALL_ROWS`` rows is broadcast; a larger one joins by shuffle.
-    """
-    side = F.broadcast(dropped) if is_small(dropped) else dropped
-    columns = [f"`{c}`" for c in docs.columns]
-    keyed = docs.withColumns({"_k_id_": F.col(f"`{doc_id}`"), "_k_text_": F.xxhash64(F.col(f"`{text}`"))})
-    same = keyed["_k_id_"].eqNullSafe(side["_k_id"]) & (keyed["_k_text_"] == side["_k_text"])
-    return keyed.join(side, same, "left_anti").select(*columns)
+
+def replicated(docs: DataFrame, counted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with each row that ``counted`` names ``_k_copies`` times, and all others once."""
+    times = _beside(docs, counted, "left", doc_id, text).withColumn("_k_copies", F.coalesce("_k_copies", F.lit(1)))
+    repeated = times.where("_k_copies > 0").withColumn("_k_copy", F.explode(F.sequence(F.lit(1), F.col("_k_copies").cast("int"))))
+    return repeated.select(*[f"`{c}`" for c in docs.columns])

@@ -35,7 +35,7 @@ def _sketch(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(row, doc_id, n, d1, d2, set, sketch): ``row`` numbers rows, d1 and d2 digest the set."""
+    """(row, doc_id, key, n, d1, d2, set, sketch): ``row`` numbers rows, ``key`` hashes the text, d1 and d2 digest the set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,17 +51,18 @@ def shingle_sets(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFram
                     [
                         batch.column("row").slice(a, b - a),
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("key").slice(a, b - a),
                         pa.array([len(f) for f in found], pa.int64()),
                         *[pa.array(d, pa.int64()) for d in zip(*digests)],
                         lists(found, pa.int64()),
                         lists([_sketch(f) for f in found], pa.int64()),
                     ],
-                    ["row", "doc_id", "n", "d1", "d2", "set", "sketch"],
+                    ["row", "doc_id", "key", "n", "d1", "d2", "set", "sketch"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return given.mapInArrow(sets, f"row bigint, doc_id {kind}, n bigint, d1 bigint, d2 bigint, set array<bigint>, sketch array<bigint>")
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
+    return given.mapInArrow(sets, f"row bigint, doc_id {kind}, key bigint, n bigint, d1 bigint, d2 bigint, set array<bigint>, sketch array<bigint>")
 
 
 class JaccardJoin:
@@ -203,7 +204,7 @@ def near_copies(
     shingles) make the regions of ``postings``; inside, regions join as told in
     ``links``; every candidate is verified on whole sets.
 
-    Returns one row per document: doc_id, ``n_shingles``, ``component_id`` (the
+    Returns one row per document: doc_id, ``key`` (hash of the text), ``n_shingles``, ``component_id`` (the
     smallest doc_id reachable by links; ids that are null count last) and
     ``keep`` (true for one row of each component).  A null text, or one without
     words, is linked with nothing.  Repeated rows are equal sets.  An empty table
@@ -216,11 +217,11 @@ def near_copies(
         join = JaccardJoin(sets, part, whole, crowd, scratch)
         posts = join.postings(classes.select(F.col("first").alias("row")), rounds)
         labels = components(join.links(posts), scratch)
-        rows = sets.select("row", "doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
+        rows = sets.select("row", "doc_id", "key", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
         rows = rows.join(labels.withColumnRenamed("node", "first"), "first", "left")
-        rows = scratch.keep(rows.select("row", "doc_id", "n", F.coalesce("label", "first", "row").alias("label")))
+        rows = scratch.keep(rows.select("row", "doc_id", "key", "n", F.coalesce("label", "first", "row").alias("label")))
         ids = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("keep"))
         result = rows.join(ids, "label").select(
-            "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("keep.row")).alias("keep")
+            "doc_id", "key", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("keep.row")).alias("keep")
         )
         return durable(result)

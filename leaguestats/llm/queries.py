@@ -7,15 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, jaccard, language, packing, quality, sharding, substrings, toxicity
+from leaguestats.llm import chat, exact, jaccard, language, mixing, packing, quality, sharding, substrings, toxicity
 from leaguestats.llm.common import documents, id_hash
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Packing with the public byte-level vocabulary; pieces with the checksum of their ids."""
+    pieces = packing.pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in sequences of 1024, packed along a Hilbert curve."""
-    return packing.pack_along_curve(
-        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=1024, end_id=0
-    ).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed(documents(spark, sf_dir))
 
 
 def fertility(docs: DataFrame) -> DataFrame:
@@ -42,6 +46,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(documents(spark, sf_dir), size=3, part=9, whole=10).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for every document that evens out the languages' expected tokens."""
+    docs = documents(spark, sf_dir)
+    labelled = docs.select("text", F.col("lang").alias("label"))
+    rates = mixing.fit_rates(docs, labelled, temperature=0.0)
+    return rates.select("doc_id", "tokens", "domain", F.array_max("p").alias("posterior"), "p", "rate", "copies")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of identical texts and the row of each that stays."""
     marked = exact.mark_exact_copies(documents(spark, sf_dir), carry=["doc_id"])
@@ -86,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_tokenizer_fertility,
         op3_kd_shards,
         op4_jaccard_join,
+        op5_soft_mixing,
         op6_exact_dedup,
         op7_cross_parsing,
         op8_reply_trees,
