@@ -34,46 +34,88 @@ def _sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def shingle_sets(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(row, doc_id, key, n, d1, d2, set, sketch): ``row`` numbers rows, ``key`` hashes the text, d1 and d2 digest the set."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view("<i8"), pa.int64()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _reach(n: int, part: int, whole: int) -> int:
+    """How many pivots of a set of n may be lacking in a set it links with, plus one."""
+    return n + -part * n // whole + 1
+
+
+def described(docs: DataFrame, size: int, part: int, whole: int, text: str, doc_id: str) -> DataFrame:
+    """(row, doc_id, key, n, d1, d2, pivots, sketch) of every text.
+
+    ``row`` numbers rows, ``key`` hashes the text, n, d1 and d2 digest the set of
+    shingles, ``pivots`` are the first of them, as many as ``_reach`` says.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in small_batches(texts):
                 found = [shingle_set(t, size) for t in texts[a:b]]
                 with np.errstate(over="ignore"):
                     digests = [(int(f.sum().astype(np.int64)), int(mix(f).sum().astype(np.int64))) for f in found]
-                lists = lambda parts, type_: pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()), pa.array(np.concatenate(parts).view("<i8"), type_)
-                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("row").slice(a, b - a),
-                        batch.column("doc_id").slice(a, b - a),
-                        batch.column("key").slice(a, b - a),
+                        *[batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "key")],
                         pa.array([len(f) for f in found], pa.int64()),
                         *[pa.array(d, pa.int64()) for d in zip(*digests)],
-                        lists(found, pa.int64()),
-                        lists([_sketch(f) for f in found], pa.int64()),
+                        _lists([f[: _reach(len(f), part, whole)] for f in found]),
+                        _lists([_sketch(f) for f in found]),
                     ],
-                    ["row", "doc_id", "key", "n", "d1", "d2", "set", "sketch"],
+                    ["row", "doc_id", "key", "n", "d1", "d2", "pivots", "sketch"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    return given.mapInArrow(sets, f"row bigint, doc_id {kind}, key bigint, n bigint, d1 bigint, d2 bigint, set array<bigint>, sketch array<bigint>")
+    given = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text")
+    )
+    return given.mapInArrow(describe, f"row bigint, doc_id {kind}, key bigint, n bigint, d1 bigint, d2 bigint, pivots array<bigint>, sketch array<bigint>")
 
 
 class JaccardJoin:
     """The steps of the join at a threshold of ``part`` / ``whole``; see ``near_copies``."""
 
-    def __init__(self, sets: DataFrame, part: int, whole: int, crowd: int, scratch: Scratch):
-        self.sets, self.part, self.whole, self.crowd, self.scratch = sets, part, whole, crowd, scratch
+    def __init__(self, texts: DataFrame, sets: DataFrame, size: int, part: int, whole: int, crowd: int, scratch: Scratch):
+        self.texts, self.sets, self.size, self.part, self.whole = texts, sets, size, part, whole
+        self.crowd, self.scratch = crowd, scratch
+
+    def whole_sets(self, rows: DataFrame, pivots_only: bool = False) -> DataFrame:
+        """(row, set) of the rows named, found in their texts once more; only few rows need that.
+
+        With ``pivots_only`` the set is cut to its first pivots when those in
+        ``moved``, a column of ``rows``, come last; ``last`` tells which they are.
+        At most ``SMALL_ROWS`` rows are broadcast to the texts.
+        """
+        size, part, whole = self.size, self.part, self.whole
+        moved = "moved" if pivots_only else F.array().cast("array<bigint>").alias("moved")
+        named = self.sets.select("row", "doc_id", "key").join(F.broadcast(rows) if is_small(rows) else rows, "row")
+        named = self.scratch.keep(named.select("row", F.col("doc_id").alias("_own"), F.col("key").alias("_key"), moved))
+        same = F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.xxhash64("text"))
+        given = self.texts.join(F.broadcast(named) if is_small(named) else named, same).select("row", "text", "moved")
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                lasts = batch.column("moved").to_numpy(zero_copy_only=False)
+                for a, b in small_batches(texts):
+                    sets, flags = [], []
+                    for i in range(a, b):
+                        found = shingle_set(texts[i], size)
+                        last = np.isin(found, np.asarray(lasts[i], np.int64).view(np.uint64))
+                        if pivots_only:
+                            order = np.argsort(last, kind="stable")[: _reach(len(found), part, whole)]
+                            found, last = found[order], last[order]
+                        sets.append(found)
+                        flags.append(last)
+                    ends = np.concatenate(([0], np.cumsum([len(f) for f in flags])))
+                    flags = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flags)))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), _lists(sets), flags], ["row", "set", "last"])
 
-    def reach(self, n: Column) -> Column:
-        """How many pivots of a set of n may be lacking in a set it links with, plus one."""
-        return (n - F.ceil(n * self.part / self.whole) + 1).cast("int")
+        return given.mapInArrow(find, "row bigint, set array<bigint>, last array<boolean>")
 
     def similar_sizes(self, a: Column, b: Column) -> Column:
         return (self.whole * F.least(a, b) >= self.part * F.greatest(a, b)) & (a > 0) & (b > 0)
@@ -96,7 +138,7 @@ class JaccardJoin:
         move to its end in ``rounds`` rounds, in which only sets near them change.
         ``last`` tells the moved ones.
         """
-        first = self.sets.select("row", "n", F.slice("set", F.lit(1), self.reach(F.col("n"))).alias("pivots")).join(representatives, "row", "left_semi")
+        first = self.sets.select("row", "n", "pivots").join(representatives, "row", "left_semi")
         posts = self.scratch.keep(first.select("row", "n", F.explode("pivots").alias("s"), F.lit(False).alias("last")))
         crowded = moved = None
         while True:
@@ -112,13 +154,12 @@ class JaccardJoin:
             if moved is not None:
                 near = near.unionByName(moved.join(changed, "row", "left_semi").select("row", F.explode("moved").alias("s")))
             found = self.scratch.keep(near.groupBy("row").agg(F.collect_set("s").alias("moved")))
-            side = F.broadcast(found) if is_small(found) else found
-            order = F.concat(F.array_except("set", "moved"), F.array_sort(F.array_intersect("set", "moved")))
             again = (
-                self.sets.select("row", "n", "set")
-                .join(side, "row")
-                .select("row", "n", "moved", F.explode(F.slice(order, F.lit(1), self.reach(F.col("n")))).alias("s"))
-                .select("row", "n", "s", F.array_contains("moved", F.col("s")).alias("last"))
+                self.whole_sets(found, pivots_only=True)
+                .select("row", F.explode(F.arrays_zip("set", "last")).alias("p"))
+                .select("row", F.col("p.set").alias("s"), F.col("p.last").alias("last"))
+                .join(posts.select("row", "n").distinct(), "row")
+                .select("row", "n", "s", "last")
             )
             kept = posts.join(changed, "row", "left_anti").select("row", "n", "s", "last")
             after = self.scratch.keep(kept.unionByName(again))
@@ -136,13 +177,13 @@ class JaccardJoin:
         ).select("a", "b")
         likely = self.scratch.keep(likely)
         rows = self.scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-        needed = self.sets.select("row", "set").join(F.broadcast(rows) if is_small(rows) else rows, "row", "left_semi")
+        needed = self.scratch.keep(self.whole_sets(rows).select("row", "set"))
         whole = likely.join(needed.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(
             needed.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b"
         )
         shared = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - shared
-        return self.scratch.keep(whole.where(self.whole * shared >= self.part * union).select("a", "b"))
+        return self.scratch.keep(whole.where(self.whole * shared >= self.part * union).select("a", "b").distinct())
 
     def links(self, posts: DataFrame) -> DataFrame:
         """Links enough to connect whatever links connect.
@@ -212,9 +253,10 @@ def near_copies(
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        sets = scratch.keep(shingle_sets(docs, size, text, doc_id))
+        sets = scratch.keep(described(docs, size, part, whole, text, doc_id))
+        texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("text"))
         classes = scratch.keep(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("first")))
-        join = JaccardJoin(sets, part, whole, crowd, scratch)
+        join = JaccardJoin(texts, sets, size, part, whole, crowd, scratch)
         posts = join.postings(classes.select(F.col("first").alias("row")), rounds)
         labels = components(join.links(posts), scratch)
         rows = sets.select("row", "doc_id", "key", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
