@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leaguestats.checkpoints import is_small
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
+_BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_arrow_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send texts to Python in batches of few rows, unless the session has its own batch size.
+
+    Two tasks of an executor hold several copies of a batch each, and texts are long.
+    """
+    if spark.conf.get(_BATCH_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` less the columns an operator is about to add; names compare without case."""
     taken = {name.lower() for name in names}

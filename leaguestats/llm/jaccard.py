@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leaguestats.checkpoints import Scratch, durable, is_small
+from leaguestats.llm.common import small_arrow_batches
 from leaguestats.llm.graph import components
 from leaguestats.llm.shingles import mix, shingles, sums, word_hashes
 from leaguestats.llm.tokens import small_batches
@@ -252,6 +253,7 @@ def near_copies(
     gives no rows.
     """
     spark = docs.sparkSession
+    small_arrow_batches(docs.sparkSession)
     with Scratch(spark) as scratch:
         sets = scratch.keep(described(docs, size, part, whole, text, doc_id))
         texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("text"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from leaguestats.llm.common import small_arrow_batches
 from leaguestats.llm.tokens import small_batches
 
 ALPHABET = 60  # letters told apart; rarer ones match nothing
@@ -170,6 +171,7 @@ def identify_languages(
     text, one without letters, or no labelled text at all gives ``und`` and 0.
     """
     samples = training_samples(labelled, sample_chars, sample_docs)
+    small_arrow_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples) if samples else None

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from leaguestats.checkpoints import durable
-from leaguestats.llm.common import literals
+from leaguestats.llm.common import literals, small_arrow_batches
 from leaguestats.llm.shingles import word_hashes
 from leaguestats.llm.tokens import small_batches
 
@@ -136,6 +136,7 @@ def fit_rates(
     so that copies average the rate.  A null or empty text has no tokens, and its
     rate follows from equal probabilities.  Without labels all rates are one.
     """
+    small_arrow_batches(docs.sparkSession)
     domains, shares = word_log_shares(labelled, sample_rows, sample_chars)
     rows = durable(posteriors(docs, shares, sharpness, text, doc_id))
     count = len(domains)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leaguestats.checkpoints import durable
+from leaguestats.llm.common import small_arrow_batches
 from leaguestats.llm.tokens import byte_bpe, encode, small_batches
 
 DIMS, LEVEL_BITS, FEATURES = 3, 8, 256
@@ -116,6 +117,7 @@ def pack_along_curve(
     repeated doc_id is packed like any other row; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_arrow_batches(docs.sparkSession)
     tokens = durable(tokenized(docs, vocabulary, pattern, end_id, text, doc_id))
     fractions = [i / (1 << LEVEL_BITS) for i in range(1, 1 << LEVEL_BITS)]
     found = tokens.agg(*[F.percentile_approx(f"x{d}", fractions, 20_000) for d in range(DIMS)]).first()

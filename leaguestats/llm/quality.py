@@ -11,6 +11,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leaguestats.checkpoints import durable, is_small
+from leaguestats.llm.common import small_arrow_batches
 from leaguestats.llm.tokens import byte_bpe, encode, small_batches
 
 SYMBOLS = "#*$%&|<>"
@@ -175,6 +176,7 @@ def judge_fertility(
     ``base_failed`` and ``kept``.  A null or empty text has no words and fails;
     rows that repeat are judged alike; an empty table gives no rows.
     """
+    small_arrow_batches(docs.sparkSession)
     rows = durable(measured(docs, vocabulary, pattern, pieces, text, doc_id, lang).withColumn("base_failed", base_failed()))
     sound = rows.where("not base_failed")
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000) for m in MEASURES]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from leaguestats.checkpoints import Scratch
+from leaguestats.llm.common import small_arrow_batches
 from leaguestats.llm.tokens import small_batches
 
 BITS = 18  # of a feature's number
@@ -156,6 +157,7 @@ def score_toxicity(
     like any other; without labels of both kinds all scores are near 0 (or 1).
     Returns doc_id and ``score``.
     """
+    small_arrow_batches(docs.sparkSession)
     weights, bias = train(sampled_grams(docs, labels, sample_rows, text, doc_id), accept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
