@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leaguestats.checkpoints import Scratch, durable, is_small
 from leaguestats.llm.common import small_arrow_batches
+from leaguestats.llm.exact import BLOCK_BITS, has_bits, slot_filter
 from leaguestats.llm.graph import components
 from leaguestats.llm.shingles import mix, shingles, sums, word_hashes
 from leaguestats.llm.tokens import small_batches
@@ -84,30 +86,29 @@ class JaccardJoin:
         self.texts, self.sets, self.size, self.part, self.whole = texts, sets, size, part, whole
         self.crowd, self.scratch = crowd, scratch
 
-    def whole_sets(self, rows: DataFrame, pivots_only: bool = False) -> DataFrame:
+    def whole_sets(self, rows: DataFrame, moved: np.ndarray | None = None) -> DataFrame:
         """(row, set) of the rows named, found in their texts once more; only few rows need that.
 
-        With ``pivots_only`` the set is cut to its first pivots when those in
-        ``moved``, a column of ``rows``, come last; ``last`` tells which they are.
-        At most ``SMALL_ROWS`` rows are broadcast to the texts.
+        With ``moved`` the set is cut to its first pivots when those of ``moved``
+        come last; ``last`` tells which they are.  At most ``SMALL_ROWS`` rows are
+        broadcast to the texts.
         """
         size, part, whole = self.size, self.part, self.whole
-        moved = "moved" if pivots_only else F.array().cast("array<bigint>").alias("moved")
-        named = self.sets.select("row", "doc_id", "key").join(F.broadcast(rows) if is_small(rows) else rows, "row")
-        named = self.scratch.keep(named.select("row", F.col("doc_id").alias("_own"), F.col("key").alias("_key"), moved))
+        named = self.sets.select("row", F.col("doc_id").alias("_own"), F.col("key").alias("_key"))
+        named = self.scratch.keep(named.join(F.broadcast(rows) if is_small(rows) else rows, "row", "left_semi"))
         same = F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.xxhash64("text"))
-        given = self.texts.join(F.broadcast(named) if is_small(named) else named, same).select("row", "text", "moved")
+        given = self.texts.join(F.broadcast(named) if is_small(named) else named, same).select("row", "text")
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                lasts = batch.column("moved").to_numpy(zero_copy_only=False)
                 for a, b in small_batches(texts):
                     sets, flags = [], []
-                    for i in range(a, b):
-                        found = shingle_set(texts[i], size)
-                        last = np.isin(found, np.asarray(lasts[i], np.int64).view(np.uint64))
-                        if pivots_only:
+                    for t in texts[a:b]:
+                        found = shingle_set(t, size)
+                        last = np.zeros(len(found), bool)
+                        if moved is not None:
+                            last = np.isin(found, moved)
                             order = np.argsort(last, kind="stable")[: _reach(len(found), part, whole)]
                             found, last = found[order], last[order]
                         sets.append(found)
@@ -127,46 +128,45 @@ class JaccardJoin:
         # |A - B| + |B - A| <= (na + nb) * (whole - part) / (whole + part) for linked sets
         return differ * (self.whole + self.part) <= (na + nb) * (self.whole - self.part)
 
-    def postings(self, representatives: DataFrame, rounds: int) -> DataFrame:
-        """(row, n, s, last): each set in the regions of its first ``reach`` pivots.
+    def postings(self, representatives: DataFrame, rounds: int, most_moved: int = 1_000_000) -> DataFrame:
+        """(row, n, s): each set in the regions of its first pivots, as far as more than one set is there.
 
         Pivots are single shingles.  A set lies at 1 - 1/n from those it holds and
         at 1 from all others; among the nearest, the first in order names its own
-        region.  A set within the threshold lacks fewer than ``reach`` of its
-        shingles, so the first shingle both hold is among the first ``reach`` of
+        region.  A set within the threshold lacks fewer than ``_reach`` of its
+        shingles, so the first shingle both hold is among the first ``_reach`` of
         each, and replicating sets into those regions loses no link.  Any order
-        will do, if all share it: crowded pivots, held by over ``crowd`` sets,
-        move to its end in ``rounds`` rounds, in which only sets near them change.
-        ``last`` tells the moved ones.
+        will do, if all share it: crowded pivots, held by over ``crowd`` sets
+        (the ``most_moved`` most crowded of them), move to its end in ``rounds``
+        rounds, in which only sets that have them among their first change.
         """
         first = self.sets.select("row", "n", "pivots").join(representatives, "row", "left_semi")
         posts = self.scratch.keep(first.select("row", "n", F.explode("pivots").alias("s"), F.lit(False).alias("last")))
-        crowded = moved = None
-        while True:
-            if rounds > 0:
-                found = posts.where("not last").groupBy("s").count().where(F.col("count") > self.crowd).select("s")
-                crowded = self.scratch.keep(found if crowded is None else crowded.unionByName(found).distinct())
-                rounds -= 1
-            # A set moves a crowded pivot once it comes up among its first: then all agree on the order.
-            near = posts.where("not last").join(crowded, "s").select("row", "s")
-            if near.isEmpty():
-                return posts
-            changed = self.scratch.keep(near.select("row").distinct())
-            if moved is not None:
-                near = near.unionByName(moved.join(changed, "row", "left_semi").select("row", F.explode("moved").alias("s")))
-            found = self.scratch.keep(near.groupBy("row").agg(F.collect_set("s").alias("moved")))
+        moved = np.zeros(0, np.int64)
+        for _ in range(rounds):
+            crowded = posts.where("not last").groupBy("s").count().where(F.col("count") > self.crowd)
+            found = crowded.orderBy(F.desc("count"), "s").limit(max(0, most_moved - len(moved))).collect()
+            if not found:
+                break
+            moved = np.append(moved, [r["s"] for r in found])
+            listed = F.broadcast(self.sets.sparkSession.createDataFrame([(r["s"],) for r in found], "s bigint"))
+            changed = self.scratch.keep(posts.join(listed, "s", "left_semi").select("row").distinct())
+            changed_side = F.broadcast(changed) if is_small(changed) else changed
             again = (
-                self.whole_sets(found, pivots_only=True)
+                self.whole_sets(changed, moved.view(np.uint64))
                 .select("row", F.explode(F.arrays_zip("set", "last")).alias("p"))
-                .select("row", F.col("p.set").alias("s"), F.col("p.last").alias("last"))
-                .join(posts.select("row", "n").distinct(), "row")
-                .select("row", "n", "s", "last")
+                .join(self.sets.select("row", "n").join(changed_side, "row", "left_semi"), "row")
+                .select("row", "n", F.col("p.set").alias("s"), F.col("p.last").alias("last"))
             )
-            kept = posts.join(changed, "row", "left_anti").select("row", "n", "s", "last")
-            after = self.scratch.keep(kept.unionByName(again))
-            moved = found if moved is None else self.scratch.keep(moved.join(changed, "row", "left_anti").unionByName(found))
+            after = self.scratch.keep(posts.join(changed_side, "row", "left_anti").select("row", "n", "s", "last").unionByName(again))
             self.scratch.drop(posts)
             posts = after
+        slot_bits = max(15, math.ceil(math.log2(max(1, posts.count()) * 16)))
+        slot = F.col("s").bitwiseAND(F.lit((1 << slot_bits) - 1))
+        bitmaps, blocks = slot_filter(posts.select(slot.alias("slot")), 16, self.scratch)
+        probed = posts.withColumn("slot", slot).withColumn("block", F.pmod(F.xxhash64("slot"), F.lit(blocks)))
+        small = blocks * BLOCK_BITS // 8 <= 64 << 20
+        return probed.join(F.broadcast(bitmaps) if small else bitmaps, "block").where(has_bits()).select("row", "n", "s")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b): sizes and sketches first, then whole sets."""
@@ -234,7 +234,7 @@ def near_copies(
     part: int = 8,
     whole: int = 10,
     crowd: int = 128,
-    rounds: int = 3,
+    rounds: int = 2,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
@@ -259,7 +259,7 @@ def near_copies(
         texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("text"))
         classes = scratch.keep(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("first")))
         join = JaccardJoin(texts, sets, size, part, whole, crowd, scratch)
-        posts = join.postings(classes.select(F.col("first").alias("row")), rounds)
+        posts = scratch.keep(join.postings(classes.select(F.col("first").alias("row")), rounds))
         labels = components(join.links(posts), scratch)
         rows = sets.select("row", "doc_id", "key", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
         rows = rows.join(labels.withColumnRenamed("node", "first"), "first", "left")
