@@ -30,13 +30,20 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(weight | (shingles(words, size) >> np.uint64(8)))
 
 
-def _sketch(found: np.ndarray) -> np.ndarray:
-    """Parities of a set's members by hash class: sets that differ in k members differ in k bits at most."""
-    bit = mix(found) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def _sketch(found: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of a set's members by hash class: sets that differ in k members differ in k bits at most.
+
+    A sketch of half as many bits is the exclusive or of the two halves.
+    """
+    odd = np.bincount((mix(found) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _wide(n: int) -> int:
+    """Bits of a sketch that still tells sets of n apart."""
+    return 64 * SKETCH_WORDS << max(0, (n // (128 * SKETCH_WORDS)).bit_length())
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view("<i8"), pa.int64()))
@@ -48,10 +55,11 @@ def _reach(n: int, part: int, whole: int) -> int:
 
 
 def described(docs: DataFrame, size: int, part: int, whole: int, text: str, doc_id: str) -> DataFrame:
-    """(row, doc_id, key, n, d1, d2, pivots, sketch) of every text.
+    """(row, doc_id, key, n, d1, d2, pivots, sketch, wide) of every text.
 
     ``row`` numbers rows, ``key`` hashes the text, n, d1 and d2 digest the set of
-    shingles, ``pivots`` are the first of them, as many as ``_reach`` says.
+    shingles, ``pivots`` are the first of them, as many as ``_reach`` says;
+    ``sketch`` has ``SKETCH_WORDS`` words, ``wide`` more for larger sets.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,16 +75,17 @@ def described(docs: DataFrame, size: int, part: int, whole: int, text: str, doc_
                         pa.array([len(f) for f in found], pa.int64()),
                         *[pa.array(d, pa.int64()) for d in zip(*digests)],
                         _lists([f[: _reach(len(f), part, whole)] for f in found]),
-                        _lists([_sketch(f) for f in found]),
+                        _lists([_sketch(f, 64 * SKETCH_WORDS) for f in found]),
+                        _lists([_sketch(f, _wide(len(f))) for f in found]),
                     ],
-                    ["row", "doc_id", "key", "n", "d1", "d2", "pivots", "sketch"],
+                    ["row", "doc_id", "key", "n", "d1", "d2", "pivots", "sketch", "wide"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text")
     )
-    return given.mapInArrow(describe, f"row bigint, doc_id {kind}, key bigint, n bigint, d1 bigint, d2 bigint, pivots array<bigint>, sketch array<bigint>")
+    return given.mapInArrow(describe, f"row bigint, doc_id {kind}, key bigint, n bigint, d1 bigint, d2 bigint, pivots array<bigint>, sketch array<bigint>, wide array<bigint>")
 
 
 class JaccardJoin:
@@ -122,12 +131,26 @@ class JaccardJoin:
     def similar_sizes(self, a: Column, b: Column) -> Column:
         return (self.whole * F.least(a, b) >= self.part * F.greatest(a, b)) & (a > 0) & (b > 0)
 
-    def close_sketches(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
-        """Whether the bits in which two sketches differ are no more than linked sets may differ in."""
-        differ = sum((F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(SKETCH_WORDS)), F.lit(0))
+    def _few_enough(self, na: Column, nb: Column, differ: Column) -> Column:
         # |A - B| + |B - A| <= (na + nb) * (whole - part) / (whole + part) for linked sets
         return differ * (self.whole + self.part) <= (na + nb) * (self.whole - self.part)
 
+    def close_sketches(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
+        """Whether the bits in which two sketches differ are no more than linked sets may differ in."""
+        bits = [F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(SKETCH_WORDS)]
+        return self._few_enough(na, nb, sum(bits, F.lit(0)))
+
+    def close_wide(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
+        """The same for wide sketches; the longer is folded to the length of the shorter, at most half as long for linked sets."""
+        length = F.least(F.size(a), F.size(b))
+
+        def folded(x: Column) -> Column:
+            halves = F.zip_with(F.slice(x, F.lit(1), length), F.slice(x, length + 1, length), lambda p, q: p.bitwiseXOR(q))
+            return F.when(F.size(x) > length, halves).otherwise(x)
+
+        bits = F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return self._few_enough(na, nb, F.aggregate(bits, F.lit(0), lambda s, x: s + x))
+
     def postings(self, representatives: DataFrame, rounds: int, most_moved: int = 1_000_000) -> DataFrame:
         """(row, n, s): each set in the regions of its first pivots, as far as more than one set is there.
 
@@ -170,13 +193,13 @@ class JaccardJoin:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b): sizes and sketches first, then whole sets."""
-        marks = self.sets.select("row", "n", "sketch")
-        side = lambda c: marks.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b")
-        likely = likely.where(
-            self.similar_sizes(F.col("na"), F.col("nb")) & self.close_sketches(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))
-        ).select("a", "b")
-        likely = self.scratch.keep(likely)
+        likely = pairs
+        for mark, close in (("sketch", self.close_sketches), ("wide", self.close_wide)):
+            marks = self.sets.select("row", "n", mark)
+            side = lambda c: marks.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col(mark).alias(f"k{c}"))  # noqa: B023, E731
+            marked = likely.join(side("a"), "a").join(side("b"), "b")
+            sizes = [F.col("na"), F.col("nb")]
+            likely = self.scratch.keep(marked.where(self.similar_sizes(*sizes) & close(*sizes, F.col("ka"), F.col("kb"))).select("a", "b"))
         rows = self.scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("row")).distinct())
         needed = self.scratch.keep(self.whole_sets(rows).select("row", "set"))
         whole = likely.join(needed.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(
