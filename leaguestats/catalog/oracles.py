@@ -221,8 +221,8 @@ SELECT team AS "Team", place, name AS "Name", no AS "No", ip AS "IP", era AS "ER
 
 # --- profiles ---------------------------------------------------------------
 
-PROFILE_H = _pick(H_COLS | _H_EXTRA, ["AVG", "OBP", "SLG", "OPS", "SB%", "BB/K", "XBH/H", "PA", "H", "HR", "SO"])
-PROFILE_P = _pick(P_COLS, ["IP", "ERA", "WHIP", "H/IP", "BB/IP", "SO/IP", "OBP", "G", "SO", "ER"])
+PROFILE_H = H_COLS | _pick(_H_EXTRA, ["SB%", "BB/K", "XBH/H"])
+PROFILE_P = P_COLS
 
 
 def _placed(by: str, long: str) -> str:
@@ -309,25 +309,26 @@ def _auto(whole: list[str]) -> str:
 
 ORACLES["histogram_fixed"] = _histogram("WITH", _long("1 AS one", FACTS, "lineitem"), "stat", "", "10")
 ORACLES["histogram_auto"] = _histogram(
-    PLAYER_H + ",", _long("1 AS one", PROFILE_H), "stat", "", _auto(["PA", "H", "HR", "SO"])
+    PLAYER_H + ",", _long("1 AS one", PROFILE_H), "stat", "", _auto([])
 )
 ORACLES["histogram_events"] = _histogram(
     "WITH", "(SELECT event_type, 'value' AS stat, value AS val FROM events)", "event_type, stat", "b.event_type,", _auto([])
 )
 
-_BOX = f"""{PLAYER_P}, long AS {_long(_PK, PROFILE_P)}, q AS {_placed("yr, stat", "long")},
-s AS (SELECT yr, stat, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS med, {_quantile(0.75)} AS q3 FROM q GROUP BY yr, stat),
-x AS (SELECT s.yr, s.stat, q1, med, q3,
-  least(q1, min(val) FILTER (val >= q1 - 1.5e0 * (q3 - q1) AND val <= q3 + 1.5e0 * (q3 - q1))) AS wl,
-  greatest(q3, max(val) FILTER (val >= q1 - 1.5e0 * (q3 - q1) AND val <= q3 + 1.5e0 * (q3 - q1))) AS wh
-  FROM s JOIN long USING (yr, stat) WHERE val IS NOT NULL GROUP BY s.yr, s.stat, q1, med, q3)"""
-ORACLES["boxplot"] = f"""{_BOX} SELECT x.yr AS "Year", x.stat AS "Stat", {_round("q1", 6)} AS q1, {_round("med", 6)} AS median,
+_NEAR = "val >= q1 - 1.5e0 * (q3 - q1) AND val <= q3 + 1.5e0 * (q3 - q1)"
+# One pass over the values: places, then quartiles and whiskers as windows over the group.
+_BOX = f"""{PLAYER_P}, long AS MATERIALIZED {_long(_PK, PROFILE_P)}, q AS MATERIALIZED {_placed("yr, stat", "long")},
+s AS MATERIALIZED (SELECT yr, stat, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS med, {_quantile(0.75)} AS q3 FROM q GROUP BY yr, stat),
+y AS MATERIALIZED (SELECT q.*, q1, med, q3 FROM q JOIN s USING (yr, stat)),
+x AS MATERIALIZED (SELECT *,
+  least(q1, min(CASE WHEN {_NEAR} THEN val END) OVER g) AS wl,
+  greatest(q3, max(CASE WHEN {_NEAR} THEN val END) OVER g) AS wh
+  FROM y WINDOW g AS (PARTITION BY yr, stat))"""
+ORACLES["boxplot"] = f"""{_BOX} SELECT yr AS "Year", stat AS "Stat", {_round("q1", 6)} AS q1, {_round("med", 6)} AS median,
   {_round("q3", 6)} AS q3, {_round("wl", 6)} AS whisker_lo, {_round("wh", 6)} AS whisker_hi,
   CAST(count_if(val < wl OR val > wh) AS BIGINT) AS outliers
-FROM x JOIN long USING (yr, stat) GROUP BY x.yr, x.stat, q1, med, q3, wl, wh"""
-ORACLES["outliers"] = (
-    f'{_BOX} SELECT {YK}, stat AS "Stat", val AS "Value" FROM x JOIN long USING (yr, stat) WHERE val < wl OR val > wh'
-)
+FROM x GROUP BY yr, stat, q1, med, q3, wl, wh"""
+ORACLES["outliers"] = f'{_BOX} SELECT {YK}, stat AS "Stat", val AS "Value" FROM x WHERE val < wl OR val > wh'
 
 # --- reshaping and comparison -----------------------------------------------
 
@@ -441,8 +442,9 @@ def _seen(team: str) -> str:
 
 _SHOWN = "game_id, date, venue, away, away_score, home, home_score"
 ORACLES["schedule_parse"] = f"{GAMES} SELECT {_SHOWN}, status, away_called, home_called, CAST(NULL AS VARCHAR) AS error FROM games"
-ORACLES["schedule_results"] = f"{GAMES} SELECT {_SHOWN}, result FROM res ORDER BY date, venue, away, home"
-ORACLES["schedule_own_results"] = f"{GAMES} SELECT {_SHOWN}, {_seen(chr(39) + 'NATION_1' + chr(39))} AS result FROM res ORDER BY date, venue, away, home"
+_FINE = "CAST(NULL AS VARCHAR) AS error"
+ORACLES["schedule_results"] = f"{GAMES} SELECT {_SHOWN}, result, {_FINE} FROM res ORDER BY date, venue, away, home"
+ORACLES["schedule_own_results"] = f"{GAMES} SELECT {_SHOWN}, {_seen(chr(39) + 'NATION_1' + chr(39))} AS result, {_FINE} FROM res ORDER BY date, venue, away, home"
 _SIDES = f"""(SELECT game_id, date, venue, away, home, away AS team, home AS opponent, away_score AS runs_for, home_score AS runs_against, winner, called, result FROM res
   UNION ALL SELECT game_id, date, venue, away, home, home, away, home_score, away_score, winner, called, result FROM res)"""
 ORACLES["results_by_team"] = (
@@ -452,7 +454,7 @@ ORACLES["next_game"] = f"""{GAMES} SELECT date, venue, away, home, opponent FROM
 WHERE team = 'NATION_1' AND result = '경기전' ORDER BY date, venue, away, home LIMIT 1"""
 ORACLES["next_games"] = f"""{GAMES} SELECT team, date, venue, away, home, opponent FROM
 (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date, venue, away, home, opponent) AS place FROM {_SIDES} WHERE result = '경기전') WHERE place = 1"""
-ORACLES["schedule_pages"] = f"{GAMES} SELECT date, venue, away, away_score, home, home_score, result FROM res"
+ORACLES["schedule_pages"] = f"{GAMES} SELECT date, venue, away, away_score, home, home_score, result, {_FINE} FROM res"
 
 # --- cleaning and naming ----------------------------------------------------
 

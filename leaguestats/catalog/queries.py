@@ -28,8 +28,8 @@ PLAYER = ["Team", "Name", "No"]
 OWN, OTHER = "NATION_1", "NATION_7"
 SHEET_H = [c for c in ranked_metrics(HITTER)]
 SHEET_P = [c for c in ranked_metrics(PITCHER)]
-PROFILE_H = ["AVG", "OBP", "SLG", "OPS", "SB%", "BB/K", "XBH/H", "PA", "H", "HR", "SO"]
-PROFILE_P = ["IP", "ERA", "WHIP", "H/IP", "BB/IP", "SO/IP", "OBP", "G", "SO", "ER"]
+PROFILE_H = [*SHEET_H, "SB%", "BB/K", "XBH/H"]
+PROFILE_P = SHEET_P
 FACTS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -258,7 +258,8 @@ def to_long(spark, sf_dir):
 @query
 def transpose_stats(spark, sf_dir):
     teams = totals.team_totals(standins.batting(spark, sf_dir), HITTER)
-    return frames.transpose_stats(teams, "Team", [f"NATION_{i}" for i in range(25)], SHEET_H)
+    names = [row.n_name for row in standins.table(spark, sf_dir, "nation").select("n_name").collect()]
+    return frames.transpose_stats(teams, "Team", names, SHEET_H)
 
 
 @query
@@ -387,8 +388,7 @@ def next_games(spark, sf_dir):
 @query
 def schedule_pages(spark, sf_dir):
     pages = standins.schedule_pages(standins.raw_schedule(spark, sf_dir))
-    games = workflows.schedule_games(pages, "game_table")
-    return schedule.schedule_table(games)
+    return schedule.schedule_table(workflows.schedule_games(pages, "game_table").records)
 
 
 # --- cleaning and naming ----------------------------------------------------
@@ -516,7 +516,7 @@ def season_or_build(spark, sf_dir):
     pages = durable(_hitter_pages(spark, sf_dir))
     years = [row.Year for row in pages.select("Year").distinct().collect()]
     workflows.load_seasons(spark, root, HITTER, years[:1], pages)
-    return workflows.load_seasons(spark, root, HITTER, years, pages)
+    return workflows.load_seasons(spark, root, HITTER, years, pages).records
 
 
 @query

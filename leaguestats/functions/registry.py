@@ -116,7 +116,6 @@ COMPARE_DEFAULT = {
     HITTER: ("AVG", "OBP", "OPS", "BB", "SO", "SB"),
     PITCHER: ("ERA", "WHIP", "H/IP", "BB/IP", "SO/IP", "BAA"),
 }
-MAX_COMPARED = 12
 
 
 def ranked_metrics(kind: str) -> tuple[str, ...]:

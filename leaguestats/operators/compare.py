@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..checkpoints import statistics_side
 from ..functions.exprs import finite, lookup, plain_number
-from ..functions.registry import COMPARE_DEFAULT, LOW_IS_GOOD, MAX_COMPARED, ORDER
+from ..functions.registry import COMPARE_DEFAULT, LOW_IS_GOOD, ORDER
 from ..functions.schemas import labels
 from .frames import numeric_columns, select_existing, to_long
 from .ranks import rank_long
@@ -40,14 +40,16 @@ def compare_teams(
     teams: Sequence[str] | None = None,
     metrics: Sequence[str] | None = None,
     within: Sequence[str] = (),
+    most: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Two teams or all of them: the raw table by name and the scaled long table.
 
-    Scaling uses the whole league whichever teams are shown.
+    Scaling uses the whole league whichever teams are shown.  ``most`` refuses
+    longer lists of metrics, for a selection that must stay readable.
     """
     metrics = list(COMPARE_DEFAULT[kind] if metrics is None else metrics)
-    if len(metrics) > MAX_COMPARED:
-        raise ValueError(f"at most {MAX_COMPARED} metrics can be compared")
+    if most is not None and len(metrics) > most:
+        raise ValueError(f"at most {most} metrics can be compared")
     raw = select_existing(values, [*within, "Team", *metrics])
     present = [m for m in metrics if m in values.columns]
     scaled = minmax_scale(values, ["Team"], present, within)

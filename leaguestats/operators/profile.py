@@ -22,9 +22,21 @@ def _counted(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[
 
 
 def _sum_of_billionths() -> Column:
-    """Sum of the values in whole billionths: exact, whatever order partitions arrive in."""
-    whole = F.rint(F.col("Value") * 1e9).cast("decimal(22,0)")
-    return F.sum(whole * F.col("n").cast("decimal(15,0)")).cast("double")
+    """Sum of the values in billionths: exact for values below 1e12, whatever order partitions arrive in.
+
+    Larger values are summed apart, in classes of 1e12 and 1e24, each as whole
+    numbers of its own unit, and what lies beyond as doubles; no value ends the
+    job.
+    """
+    value, n = F.col("Value"), F.col("n").cast("decimal(15,0)")
+    size = F.abs(value)
+
+    def part(low: float, high: float, scale: float) -> Column:
+        whole = F.rint(F.when((size >= low) & (size < high), value / scale) * 1e9).cast("decimal(22,0)")
+        return F.coalesce(F.sum(whole * n).cast("double"), F.lit(0.0)) * scale
+
+    beyond = F.coalesce(F.sum(F.when(size >= 1e36, value * F.col("n"))), F.lit(0.0)) * 1e9
+    return part(-1.0, 1e12, 1.0) + part(1e12, 1e24, 1e12) + part(1e24, 1e36, 1e24) + beyond
 
 
 def league_profile(
@@ -58,7 +70,7 @@ def describe_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     counted, keys = _counted(df, columns, by)
     scaled = F.col("Value") * 1e9
     # What the whole billionths leave over; too small for its order to matter.
-    rest = F.sum((scaled - F.rint(scaled)) * F.col("n"))
+    rest = F.coalesce(F.sum(F.when(F.abs(F.col("Value")) < 1e12, (scaled - F.rint(scaled)) * F.col("n"))), F.lit(0.0))
     stats = order_statistics(
         positions(counted, keys),
         keys,
@@ -111,7 +123,7 @@ def histograms(
     columns: Sequence[str],
     bins: int | str = "auto",
     by: Sequence[str] = (),
-    unit_bins: bool = True,
+    unit_bins: bool = False,
 ) -> DataFrame:
     """Histogram data: (by..., Stat, bin, lo, hi, n), empty bins included.
 

@@ -27,7 +27,8 @@ def parse_schedule(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     The game cell is a newline-separated list: away team first, then its score,
     three fillers, home team, home score.  A short list leaves the tail NULL; a
-    blank or missing score is 0.  ``error`` names a score that is not a number.
+    blank or missing score is 0.  A score that is not a number is NULL, and
+    ``error`` names it.
     """
     tokens = F.split(F.col("게임"), "\n")
     places = {"away": 0, "away_token": 1, "home": 5, "home_token": 6}
@@ -44,7 +45,7 @@ def parse_schedule(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         number = _bare_score(token).try_cast("int")
         unread = F.when(number.isNull() & (F.trim(_bare_score(token)) != ""), F.lit(f"{side} score"))
         return [
-            F.coalesce(number, F.lit(0)).alias(f"{side}_score"),
+            F.when(unread.isNull(), F.coalesce(number, F.lit(0))).alias(f"{side}_score"),
             F.coalesce(F.contains(token, F.lit(CALLED_WIN)), F.lit(False)).alias(f"{side}_called"),
             unread.alias(f"{side}_unread"),
         ]
@@ -70,7 +71,7 @@ def game_result(games: DataFrame) -> DataFrame:
     """Add ``winner`` (NULL without one), ``called`` and the result label.
 
     The label is winner and kind of win, a draw once the game is no longer
-    waiting, or "not played".
+    waiting, or "not played".  A game with an unread score has no result.
     """
     away_won = F.col("away_score") > F.col("home_score")
     home_won = F.col("away_score") < F.col("home_score")
@@ -82,7 +83,8 @@ def game_result(games: DataFrame) -> DataFrame:
         .when(ended, F.lit(DRAW))
         .otherwise(F.lit(NOT_PLAYED))
     )
-    return games.select("*", winner.alias("winner"), called.alias("called"), label.alias("result"))
+    known = F.col("away_score").isNotNull() & F.col("home_score").isNotNull()
+    return games.select("*", winner.alias("winner"), called.alias("called"), F.when(known, label).alias("result"))
 
 
 def _seen_by(team: Column) -> Column:
@@ -130,10 +132,11 @@ def results_by_team(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def schedule_table(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The displayed schedule, by date."""
+    """The displayed schedule, by date; games without one come last.  Carries ``error`` where the games have it."""
+    problems = ["error"] if "error" in results.columns else []
     return results.select(
-        *keep, "date", "venue", "away", "away_score", "home", "home_score", "result"
-    ).orderBy("date", "venue", "away", "home")
+        *keep, "date", "venue", "away", "away_score", "home", "home_score", "result", *problems
+    ).orderBy(F.asc_nulls_last("date"), "venue", "away", "home")
 
 
 def not_played() -> Column:
@@ -146,11 +149,11 @@ def not_played() -> Column:
 
 
 def next_game(results: DataFrame, team: str) -> DataFrame:
-    """First game of a team not played yet, with the opponent; empty if none."""
+    """First game of a team not played yet, with the opponent; empty if none.  A game without a date comes last."""
     mine = (F.col("away") == team) | (F.col("home") == team)
     return (
         results.where(not_played() & mine)
-        .orderBy("date", "venue", "away", "home")
+        .orderBy(F.asc_nulls_last("date"), "venue", "away", "home")
         .limit(1)
         .select(
             "date", "venue", "away", "home", F.when(F.col("away") == team, F.col("home")).otherwise(F.col("away")).alias("opponent")
@@ -161,5 +164,5 @@ def next_game(results: DataFrame, team: str) -> DataFrame:
 def next_games(results: DataFrame) -> DataFrame:
     """First game not played yet of every team, by one partial aggregation."""
     waiting = results_by_team(results.where(not_played()), keep=("away", "home"))
-    first = F.min(F.struct("date", "venue", "away", "home", "opponent"))
-    return waiting.groupBy("team").agg(first.alias("game")).select("team", "game.*")
+    first = F.min(F.struct(F.col("date").isNull().alias("undated"), "date", "venue", "away", "home", "opponent"))
+    return waiting.groupBy("team").agg(first.alias("game")).select("team", "game.*").drop("undated")

@@ -16,7 +16,7 @@ from ..operators.schedule import game_result, parse_schedule
 from ..operators.totals import career_totals, in_teams, player_rates, team_totals
 from ..sources.ingest import split_errors, spread_cells, typed_records
 from ..sources.pages import extract_tables
-from ..sources.store import read_season, read_seasons, seasons_or_build, write_season
+from ..sources.store import read_season, read_seasons, seasons_stored, stored_seasons, write_season
 
 
 class Refreshed(NamedTuple):
@@ -42,20 +42,45 @@ def page_records(pages: DataFrame, kind: str, html_col: str = "html") -> Refresh
     return Refreshed(*split_errors(durable(typed_records(extracted, kind))))
 
 
+def _failed_teams(made: Refreshed) -> DataFrame:
+    """(Year, Team) of the pages with an error, one row each."""
+    return made.errors.select("Year", "Team").distinct()
+
+
 def refresh(pages: DataFrame, root: str, kind: str) -> Refreshed:
-    """Parse pages and replace the snapshots of the seasons they cover."""
+    """Parse pages and replace the snapshots of the teams and seasons they cover.
+
+    The rows of a team with a failed page are not replaced: what was stored
+    before stays.  So do teams without a page.  The errors are returned.
+    """
     made = page_records(pages, kind)
-    write_season(made.records, root, kind)
+    keys = ["Year", "Team"]
+    failed = _failed_teams(made)
+    sound = made.records.join(failed, keys, "left_anti")
+    years = [row.Year for row in made.records.select("Year").distinct().collect()]
+    stored = stored_seasons(pages.sparkSession, root, kind, years)
+    if stored is not None:
+        covered = sound.select(*keys).distinct()
+        sound = sound.unionByName(stored.join(covered, keys, "left_anti"), allowMissingColumns=True)
+    write_season(durable(sound), root, kind)
     return made
 
 
-def load_seasons(spark: SparkSession, root: str, kind: str, years: Sequence[int], pages: DataFrame) -> DataFrame:
-    """Seasons from their snapshots; those without one are built from the pages."""
-
-    def build(missing: list[int]) -> DataFrame:
-        return page_records(pages.where(F.col("Year").isin(missing)), kind).records
+def load_seasons(spark: SparkSession, root: str, kind: str, years: Sequence[int], pages: DataFrame) -> Refreshed:
+    """Seasons from their snapshots; those without one are built from the pages.
 
-    return seasons_or_build(spark, root, kind, years, build)
+    A season with a failed page is returned as far as it could be read but not
+    stored, so the next call builds it again.  The errors are returned.
+    """
+    present = seasons_stored(spark, root, kind, years)
+    missing = [year for year in years if year not in present]
+    made = page_records(pages.where(F.col("Year").isin(missing)), kind)
+    partial = made.errors.select("Year").distinct()
+    write_season(made.records.join(partial, "Year", "left_anti"), root, kind)
+    unfinished = made.records.join(partial, "Year", "left_semi")
+    stored = stored_seasons(spark, root, kind, years)
+    records = unfinished if stored is None else stored.unionByName(unfinished, allowMissingColumns=True)
+    return Refreshed(records, made.errors)
 
 
 def season_teams(records: DataFrame, kind: str, teams: Sequence[str] | DataFrame | None = None) -> DataFrame:
@@ -87,15 +112,20 @@ def career_view(spark: SparkSession, root: str, kind: str, years: Sequence[int]
     return career_totals(read_seasons(spark, root, kind, years), kind)
 
 
-def schedule_games(pages: DataFrame, css_class: str, keep: Sequence[str] = (), html_col: str = "html") -> DataFrame:
-    """Schedule pages to games with results; the first table of the class counts.
+def schedule_games(pages: DataFrame, css_class: str, keep: Sequence[str] = (), html_col: str = "html") -> Refreshed:
+    """Schedule pages to games with results, and errors; the first table of the class counts.
 
     The raw rows are written out, so a later sort does not parse pages again.
+    Errors are pages that cannot be read, rows without a declared column, and
+    games whose score is not a number; the latter are among the games too,
+    without a result.
     """
     extracted = extract_tables(pages.where(F.col("kind") == SCHEDULE), html_col, keep, css_class, collapse_space=False)
-    first = extracted.where(F.col("error").isNull() & (F.col("table_no") == 0)).drop("error")
-    raw = durable(spread_cells(first, SCHEDULE, SCHEDULE_HEADERS))
-    return game_result(parse_schedule(raw, keep))
+    first = extracted.where(F.coalesce(F.col("table_no") == 0, F.lit(True)))
+    rows, unread = split_errors(durable(spread_cells(first, SCHEDULE, SCHEDULE_HEADERS)))
+    games = game_result(parse_schedule(rows, keep))
+    wrong = games.where(F.col("error").isNotNull())
+    return Refreshed(games, unread.select(*keep, "error").unionByName(wrong.select(*keep, "error")))
 
 
 __all__ = [

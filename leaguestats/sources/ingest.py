@@ -43,24 +43,47 @@ def normalize_headers(df: DataFrame, kind: str) -> DataFrame:
 
 
 def spread_cells(df: DataFrame, kind: str, headers: Iterable[str] | None = None) -> DataFrame:
-    """Cell maps to columns under normalized headers; an absent header gives NULL.
+    """Cell maps to columns under normalized headers.
 
     The columns are the declared ones of the kind unless given, so no pass over
-    the data is needed to find them.
+    the data is needed to find them.  A header that a row lacks gives NULL, one
+    that two of its columns come to the first of them; ``error`` names both.
     """
     if headers is None:
         declared = [h for h, _, _ in COLUMNS[kind] if h not in ("성명", "배번", "팀")]
         headers = [NAME_HEADER, *declared]
     aliases = HEADER_ALIASES.get(kind, {})
 
-    def rename(key: Column, _: Column) -> Column:
+    def name(key: Column) -> Column:
         for old, new in aliases.items():
             key = F.when(key == old, new).otherwise(key)
         return F.replace(key, F.lit(" "), F.lit(""))
 
-    others = [c for c in df.columns if c not in ("cells", "table_no", "row_no")]
-    named = df.withColumn("cells", F.transform_keys("cells", rename))
-    return named.select(*others, *[F.try_element_at("cells", F.lit(h)).alias(h) for h in headers])
+    others = [c for c in df.columns if c not in ("cells", "table_no", "row_no", "error")]
+    entries = F.transform(F.map_entries("cells"), lambda e: F.struct(name(e["key"]).alias("key"), e["value"].alias("value")))
+    named = df.withColumn("cells", entries)
+
+    def held(header: str) -> Column:
+        return F.filter("cells", lambda e: e["key"] == header)
+
+    read = F.col("cells").isNotNull()
+    counts = F.transform(literal_list(headers), lambda h: F.size(F.filter("cells", lambda e: e["key"] == h)))
+    problems = F.zip_with(
+        literal_list(headers),
+        counts,
+        lambda h, n: F.when(n == 0, F.concat(F.lit("no column "), h)).when(n > 1, F.concat(F.lit("column twice: "), h)),
+    )
+    spread = named.select(
+        *others,
+        *(["error"] if "error" in df.columns else []),
+        F.when(read, F.nullif(F.array_join(problems, "; "), F.lit(""))).alias("_problems"),
+        *[F.get(held(h), F.lit(0))["value"].alias(h) for h in headers],
+    )
+    return _add_error(spread, F.col("_problems")).drop("_problems")
+
+
+def literal_list(values: Iterable[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def split_name_no(df: DataFrame, column: str = NAME_HEADER) -> DataFrame:

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 NO_TABLE = "no table found"
+NO_ROWS = "table without rows"
+# No cell spans more columns or rows than a browser would let it.
+_MOST_SPANNED = 1000
 _BREAKS = re.compile(r"[\r\n]+|\s{2,}")
 # Rows per output batch: bounds the memory of a batch of large pages.
 _CHUNK = 4096
@@ -102,7 +105,11 @@ def _tables(html: str) -> list[tuple[list[str], list[list[dict]]]]:
 
 
 def _span(text: str | None) -> int:
-    return max(int(text), 1) if text and text.isascii() and text.isdigit() else 1
+    if not (text and text.isascii() and text.isdigit()):
+        return 1
+    if len(text) > 9 or int(text) > _MOST_SPANNED:
+        raise ValueError(f"a cell spans {text[:12]} columns or rows")
+    return max(int(text), 1)
 
 
 def _grid(rows: list[list[dict]], collapse: bool) -> list[tuple[bool, list[str]]]:
@@ -151,14 +158,15 @@ def _records(html: str | None, css_class: str | None, collapse: bool) -> Iterato
         names: list[str] = []
         row_no = 0
         for heading, texts in _grid(rows, collapse):
-            if heading:
-                if row_no == 0:
-                    names = _numbered(texts)
+            if heading and row_no == 0:
+                names = _numbered(texts)
                 continue
             if len(texts) > len(names):
                 names = names + [str(at) for at in range(len(names), len(texts))]
             yield table_no, row_no, dict(zip(names, texts)), None
             row_no += 1
+        if row_no == 0:
+            yield table_no, None, None, NO_ROWS
 
 
 def extract_tables(
@@ -171,9 +179,11 @@ def extract_tables(
     """Every row of every HTML table: (keep_cols..., table_no, row_no, cells, error).
 
     ``cells`` maps header to text.  ``css_class`` restricts to tables of that
-    class; ``collapse_space=False`` keeps line breaks inside a cell.  A page
-    without a table, or one that cannot be read, gives one row with ``error``
-    set, so no page disappears and each page is parsed once.
+    class; ``collapse_space=False`` keeps line breaks inside a cell.  Heading rows
+    above the first body row name the columns; one further down is a row like
+    any other.  A page without a table, or one that cannot be read (a cell over
+    1,000 columns wide, say), gives one row with ``error`` set, as does a table
+    without body rows, so no page disappears and each page is parsed once.
     """
     keep = list(keep_cols)
     source = pages.select(*keep, html_col)

@@ -57,6 +57,17 @@ def has_season(spark: SparkSession, root: str, kind: str, year: int) -> bool:
     return True
 
 
+def seasons_stored(spark: SparkSession, root: str, kind: str, years: Sequence[int]) -> list[int]:
+    """Those of the given seasons that have a snapshot."""
+    return [year for year in years if has_season(spark, root, kind, year)]
+
+
+def stored_seasons(spark: SparkSession, root: str, kind: str, years: Sequence[int]) -> DataFrame | None:
+    """The given seasons as far as they are stored; None if none is."""
+    stored = seasons_stored(spark, root, kind, years)
+    return read_seasons(spark, root, kind, stored) if stored else None
+
+
 def seasons_or_build(
     spark: SparkSession, root: str, kind: str, years: Sequence[int], build: Callable[[list[int]], DataFrame]
 ) -> DataFrame:
@@ -65,7 +76,8 @@ def seasons_or_build(
     ``build`` gets the missing seasons and returns records with ``Year``.  Only
     a missing partition triggers it; any other problem is raised.
     """
-    missing = [year for year in years if not has_season(spark, root, kind, year)]
+    stored = seasons_stored(spark, root, kind, years)
+    missing = [year for year in years if year not in stored]
     if missing:
         write_season(build(missing), root, kind)
     return read_seasons(spark, root, kind, years)

@@ -24,7 +24,7 @@ def test_scaling_sees_the_whole_league(spark):
     assert [tuple(r) for r in raw.collect()] == [("a", 1.0), ("b", 2.0)]
     assert sorted((r.Team, r.Value) for r in scaled.collect()) == [("a", 0.0), ("b", 0.25)]
     with pytest.raises(ValueError):
-        compare.compare_teams(df, HITTER, metrics=["AVG"] * 13)
+        compare.compare_teams(df, HITTER, metrics=["AVG"] * 13, most=12)
 
 
 def test_long_and_back(spark):

@@ -89,7 +89,10 @@ def test_column_tables_have_unique_names():
     assert (len(HITTER_COLUMNS), len(PITCHER_COLUMNS)) == (31, 29)
 
 
-def test_spread_cells_absent_header_is_null(spark):
+def test_spread_cells_names_absent_and_doubled_headers(spark):
     df = spark.sql("select 'T' as Team, 0 as table_no, 0 as row_no, map('타 율', '0.3') as cells, cast(null as string) as error")
-    made = ingest.spread_cells(df, HITTER, ["타율", "타석"]).select("타율", F.col("타석")).first()
-    assert tuple(made) == ("0.3", None)
+    made = ingest.spread_cells(df, HITTER, ["타율", "타석"]).select("타율", F.col("타석"), "error").first()
+    assert tuple(made) == ("0.3", None, "no column 타석")
+    df = spark.sql("select 0 as table_no, 0 as row_no, map('경기', '3', '게임수', '4') as cells, cast(null as string) as error")
+    made = ingest.spread_cells(df, HITTER, ["경기"]).first()
+    assert (made["경기"], made["error"]) == ("3", "column twice: 경기")

@@ -55,7 +55,7 @@ def test_automatic_bins_equal_numpy(spark, seed):
     made = profile.histograms(spark.createDataFrame(frame), list(frame)).toPandas()
     for name in frame:
         got = made[made.Stat == name].sort_values("bin")
-        edges = np.histogram_bin_edges(frame[name], "auto")
+        edges = np.histogram_bin_edges(frame[name].astype(float), "auto")
         counts, _ = np.histogram(frame[name], edges)
         assert list(got["n"]) == list(counts), name
         np.testing.assert_allclose(list(got["lo"]) + [got["hi"].iloc[-1]], edges, atol=1e-9)

@@ -87,7 +87,38 @@ def test_schedule_page_to_results(spark):
         "<tr><td> 03-01 </td><td>시립야구장</td><td>리그</td><td>\na\n2\nx\nx\nx\nb\n콜드승 12\n</td><td>종료</td></tr></table>"
     )
     pages = spark.createDataFrame([(SCHEDULE, html)], "kind string, html string")
-    made = workflows.schedule_games(pages, "game_table").first()
+    made = workflows.schedule_games(pages, "game_table").records.first()
     assert (made.date, made.venue, made.away, made.away_score, made.home, made.home_score, made.result) == (
         "03-01", "시립", "a", 2, "b", 12, "b_콜드승",
     )
+
+
+def test_failed_page_keeps_stored_rows_and_seasons_open(spark, tmp_path):
+    full = spark.createDataFrame([(t, 2024, n, 4) for t, n in (("A", "1"), ("B", "2"))], "Team string, Year int, No string, PA long").select(
+        *[F.col(f.name) if f.name in ("Team", "Year", "No", "PA") else F.lit(0).cast(f.dataType).alias(f.name) for f in season_schema(HITTER)]
+    )
+    good = standins.hitter_pages(full)
+    bad = good.withColumn("html", F.when(F.col("Team") == "B", F.lit("<p>down</p>")).otherwise(F.col("html")))
+    root = str(tmp_path / "a")
+    workflows.refresh(good, root, HITTER)
+    made = workflows.refresh(bad, root, HITTER)
+    assert [r.Team for r in made.errors.collect()] == ["B"]
+    assert sorted(r.Team for r in store.read_season(spark, root, HITTER, 2024).collect()) == ["A", "B"]
+    root = str(tmp_path / "b")
+    made = workflows.load_seasons(spark, root, HITTER, [2024], bad)
+    assert [r.Team for r in made.errors.collect()] == ["B"] and [r.Team for r in made.records.collect()] == ["A"]
+    assert not store.has_season(spark, root, HITTER, 2024)
+    made = workflows.load_seasons(spark, root, HITTER, [2024], good)
+    assert made.errors.count() == 0 and made.records.count() == 2 and store.has_season(spark, root, HITTER, 2024)
+
+
+def test_unreadable_schedule_pages_and_scores_are_errors(spark):
+    head = "<tr><th>일시</th><th>구장</th><th>분류</th><th>게임</th><th>결과</th></tr>"
+    game = "<tr><td>03-01</td><td>p</td><td>l</td><td>a\nxx5\nx\nx\nx\nb\n3</td><td>종료</td></tr>"
+    pages = spark.createDataFrame(
+        [(SCHEDULE, "<p>down</p>", 1), (SCHEDULE, f"<table class='game_table'>{head}{game}</table>", 2)], "kind string, html string, page int"
+    )
+    made = workflows.schedule_games(pages, "game_table", keep=["page"])
+    assert sorted((r.page, r.error) for r in made.errors.collect()) == [(1, "no table found"), (2, "away score")]
+    game = made.records.first()
+    assert (game.away_score, game.home_score, game.result) == (None, 3, None)
