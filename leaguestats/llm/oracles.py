@@ -26,4 +26,28 @@ SELECT conv_id,
 FROM rows GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": _EXACT, "op8_reply_trees": _CHAT}
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) END) AS s
+  FROM words
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common >= 90 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT r.x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(r.y) AS component_id
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.x GROUP BY r.x
+"""
+
+ORACLES: dict[str, str] = {"op6_exact_dedup": _EXACT, "op4_jaccard_join": _JACCARD, "op8_reply_trees": _CHAT}
