@@ -509,3 +509,11 @@ _CAREER_PAGES = f'team AS "Team", concat(\'P\', no) AS "Name", no AS "No", {_as(
 ORACLES["career_from_snapshots"] = f"{CAREER_H} SELECT {_CAREER_PAGES} FROM v"
 _P_RECORD = {k: v for k, v in P_COLS.items() if k not in ("H/IP", "BB/IP", "SO/IP", "OBP")}
 ORACLES["snapshot_roundtrip"] = f'{PLAYER_P} SELECT {YK}, {_as(_P_RECORD)}, CAST(NULL AS DOUBLE) AS "WPCT" FROM v'
+
+# --- player lists -----------------------------------------------------------
+
+ORACLES["player_list_batting"] = f"{PLAYER_H} SELECT {YK}, {_as(H_COLS)} FROM v"
+ORACLES["player_list_pitching"] = f"{PLAYER_P} SELECT {YK}, {_as(P_COLS)} FROM v"
+_LABELLED = ", ".join(f'{c} AS "{H_LABELS[n]}"' for n, c in H_COLS.items())
+ORACLES["player_list_career_batting"] = f'{CAREER_H} SELECT team AS "팀", no AS "배번", name AS "성명", {_LABELLED} FROM v'
+ORACLES["player_list_career_pitching"] = f"""{CAREER_P} SELECT no AS "No", name AS "Name", {_as(P_COLS)} FROM v WHERE team = 'NATION_1'"""

@@ -179,6 +179,28 @@ def leaderboard_pitching(spark, sf_dir):
     return ranks.leaderboard(careers, PITCHER).select(*PLAYER, "IP", "ERA", "WHIP", "K9")
 
 
+@query
+def player_list_batting(spark, sf_dir):
+    return ranks.player_table(_hitters(spark, sf_dir), HITTER, keys=["Year", "Team"])
+
+
+@query
+def player_list_pitching(spark, sf_dir):
+    return ranks.player_table(_pitchers(spark, sf_dir), PITCHER, keys=["Year", "Team"])
+
+
+@query
+def player_list_career_batting(spark, sf_dir):
+    careers = totals.career_totals(standins.batting(spark, sf_dir), HITTER)
+    return ranks.player_table(careers, HITTER, lang="kr", keys=["Team"])
+
+
+@query
+def player_list_career_pitching(spark, sf_dir):
+    careers = totals.career_totals(standins.pitching(spark, sf_dir), PITCHER)
+    return ranks.player_table(careers, PITCHER, OWN)
+
+
 @query
 def top_n_per_team(spark, sf_dir):
     careers = totals.career_totals(standins.pitching(spark, sf_dir), PITCHER)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checkpoints import SMALL_ROWS
-from ..functions.registry import LEADER_KEYS, LOW_IS_GOOD, MATRIX_DROP, ORDER
+from ..functions.registry import LEADER_KEYS, LOW_IS_GOOD, MATRIX_DROP, ORDER, ranked_metrics
 from .distribution import counted_values, positions
-from .frames import select_existing, to_long, to_wide
+from .frames import relabel, select_existing, to_long, to_wide
 from .totals import add_dimension
 
 
@@ -133,3 +133,11 @@ def rank_matrix(
     ordered = named.orderBy(*within, *pinned_first("Team", pinned))
     columns = [c for c in ORDER[kind][1:] if c not in MATRIX_DROP[kind]]
     return select_existing(ordered, [*within, short_name, *columns])
+
+
+def player_table(
+    df: DataFrame, kind: str, team: str | None = None, lang: str | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The player list: keys, number, name and the ordered metrics that exist, in leader order, labelled if asked."""
+    listed = select_existing(leaderboard(df, kind, team), [*keys, "No", "Name", *ranked_metrics(kind)])
+    return listed if lang is None else relabel(listed, kind, lang)
