@@ -151,8 +151,8 @@ class JaccardJoin:
         bits = F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
         return self._few_enough(na, nb, F.aggregate(bits, F.lit(0), lambda s, x: s + x))
 
-    def postings(self, representatives: DataFrame, rounds: int, most_moved: int = 1_000_000) -> DataFrame:
-        """(row, n, s): each set in the regions of its first pivots, as far as more than one set is there.
+    def postings(self, doubles: DataFrame, rounds: int, most_moved: int = 1_000_000) -> DataFrame:
+        """(row, n, s): each set, less ``doubles``, in the regions of its first pivots, as far as more than one set is there.
 
         Pivots are single shingles.  A set lies at 1 - 1/n from those it holds and
         at 1 from all others; among the nearest, the first in order names its own
@@ -163,7 +163,8 @@ class JaccardJoin:
         (the ``most_moved`` most crowded of them), move to its end in ``rounds``
         rounds, in which only sets that have them among their first change.
         """
-        first = self.sets.select("row", "n", "pivots").join(representatives, "row", "left_semi")
+        doubles = F.broadcast(doubles) if is_small(doubles) else doubles
+        first = self.sets.where("n > 0").select("row", "n", "pivots").join(doubles, "row", "left_anti")
         posts = self.scratch.keep(first.select("row", "n", F.explode("pivots").alias("s"), F.lit(False).alias("last")))
         moved = np.zeros(0, np.int64)
         for _ in range(rounds):
@@ -282,7 +283,8 @@ def near_copies(
         texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("text"))
         classes = scratch.keep(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("first")))
         join = JaccardJoin(texts, sets, size, part, whole, crowd, scratch)
-        posts = scratch.keep(join.postings(classes.select(F.col("first").alias("row")), rounds))
+        doubles = scratch.keep(sets.where("n > 0").select("row").join(classes.select(F.col("first").alias("row")), "row", "left_anti"))
+        posts = scratch.keep(join.postings(doubles, rounds))
         labels = components(join.links(posts), scratch)
         rows = sets.select("row", "doc_id", "key", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
         rows = rows.join(labels.withColumnRenamed("node", "first"), "first", "left")
