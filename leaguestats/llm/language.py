@@ -76,6 +76,8 @@ class Parser:
             text = self.normal(text)
             table = suffix_automaton(text, self.symbols)
             table[:, 1] = -1
+            # A letter of no sample is a phrase of its own: from the last state nothing follows.
+            table = np.vstack([table, np.full((1, self.symbols), -1, np.int32)])
             table[:, self.pad] = np.arange(len(table))
             self.tables.append(table.ravel())
             self.bits.append(np.log2(max(2, len(text))))
@@ -99,10 +101,10 @@ class Parser:
         columns = np.ascontiguousarray(chunks.T).astype(np.int32)
         counts = np.zeros((len(self.tables), len(texts)), np.int64)
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(owner), np.int32)
-            found = (columns[0] != self.pad).astype(np.int32) if len(owner) else state
-            start = np.maximum(table[: self.symbols], 0)
-            for column in columns:
+            start = np.where(table[: self.symbols] < 0, len(table) // self.symbols - 1, table[: self.symbols])
+            found = (columns[0] != self.pad).astype(np.int32)
+            state = start[columns[0]]
+            for column in columns[1:]:
                 after = table[state * self.symbols + column]
                 missed = after < 0
                 found += missed
