@@ -7,7 +7,7 @@ import random
 import pytest
 from leaguestats.llm.exact import mark_exact_copies
 from leaguestats.llm.jaccard import near_copies
-from leaguestats.llm.substrings import compact_windows, repeated_passages
+from leaguestats.llm.substrings import compact_windows, repeated_passages, shared_passages
 
 import numpy as np
 
@@ -137,3 +137,32 @@ def test_passage_that_many_texts_share_makes_few_pairs(spark):
     found = repeated_passages(docs_of(spark, texts)).collect()
     assert {r.doc_id for r in found} | {r.other_doc_id for r in found} == set(range(60))
     assert len(found) < 3 * 60
+
+
+@pytest.mark.parametrize("first, second", [(80, 80), (300, 60)])
+def test_passages_side_by_side_in_one_text_and_apart_in_the_other(spark, first, second):
+    draw = random.Random(12)
+    p, q, between = (prose(draw, n, 10**6) for n in (first, second, 300))
+    together, apart = " ".join(p + q), " ".join(p + between + q)
+    for texts in ((together, apart), (apart, together)):
+        found = [r.asDict() for r in repeated_passages(docs_of(spark, texts)).collect()]
+        spans = set()
+        for r in found:
+            own, other = (r["start_word"], r["end_word"]), (r["other_start_word"], r["other_end_word"])
+            spans.add((own, other) if texts[r["doc_id"]] == together else (other, own))
+        n, m = first, first + second
+        assert spans == {((0, n), (0, n)), ((n, m), (n + 300, m + 300))}
+
+
+def test_stretches_with_gaps_on_both_sides_are_cut_until_they_agree():
+    number = itertools.count()
+    run = lambda n: [next(number) for _ in range(n)]
+    parts = [run(76) for _ in range(4)]
+    one, two = (np.array(sum((part + run(18) for part in parts), []), np.int32) for _ in range(2))
+    found = shared_passages(one, two, 46, 0.8)
+    assert [r[:4] for r in found] == [(94 * i, 94 * i + 76) * 2 for i in range(4)]
+    # A short heavy run does not hide a longer, lighter stretch beside it.
+    short, edited = run(45), run(70)
+    one = np.array(short + run(60) + edited, np.int32)
+    two = np.array(run(9) + short + run(80) + edited[:34] + run(5) + edited[39:], np.int32)
+    assert [r[:2] for r in shared_passages(one, two, 46, 0.8)] == [(105, 175)]
