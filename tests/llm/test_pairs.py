@@ -7,7 +7,7 @@ import random
 import pytest
 from leaguestats.llm.exact import mark_exact_copies
 from leaguestats.llm.jaccard import near_copies
-from leaguestats.llm.substrings import compact_windows, repeated_passages, shared_passages
+from leaguestats.llm.substrings import compact_windows, joint_windows, repeated_passages, shared_passages
 
 import numpy as np
 
@@ -130,6 +130,37 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert repeated_passages(docs_of(spark, [])).collect() == []
 
 
+def test_a_passage_of_phrases_common_to_other_texts_is_found(spark):
+    draw = random.Random(21)
+    lone = lambda n: prose(draw, n, 10**6)
+    missed = []
+    for case in range(3):
+        passage = lone(60)
+        phrases = [passage[i : i + 5] for i in range(56)]
+        # Every phrase but the last ten also stands alone in texts before and after both, one of them a text.
+        before, after = ([" ".join(lone(60) + phrase + lone(60)) for phrase in phrases[:46]] for _ in range(2))
+        texts = [*before, " ".join(lone(80) + passage), " ".join(passage + lone(80)), *after]
+        found = repeated_passages(docs_of(spark, texts).coalesce(1)).collect()
+        missed += [case] * ({(r.doc_id, r.other_doc_id) for r in found} != {(47, 46)})
+    assert not missed
+
+
+def test_joint_windows_stand_for_every_long_stretch():
+    draw = np.random.default_rng(5)
+    values = draw.permutation(3 * 60).reshape(3, 60).astype(np.uint64)
+    windows = [(values[k, c], k, left, c, right) for k in range(3) for left, c, right in compact_windows(values[k], 8)]
+    columns = [np.array(c) for c in zip(*windows)]
+    key, left, centre, right = joint_windows(columns[0].astype(np.uint64), *columns[1:], 2, 8)
+    single = {(a, b): joint_windows(np.array([a, b], np.uint64), np.array([0, 1]), *[np.array([x, x]) for x in (0, 5, 59)], 2, 8)[0][0] for a in values.ravel() for b in values.ravel() if a != b}
+    for i in range(60):
+        for j in range(i + 7, 60):
+            least = [values[k, i : j + 1].min() for k in range(3)]
+            for a, b in itertools.combinations(range(3), 2):
+                held = (key == single[least[a], least[b]]) & (left <= i) & (right >= j)
+                assert held.sum() == 1 and values[a, centre[held][0]] == least[a]
+    assert len(joint_windows(columns[0].astype(np.uint64)[:0], *[c[:0] for c in columns[1:]], 2, 8)[0]) == 0
+
+
 def test_passage_that_many_texts_share_makes_few_pairs(spark):
     draw = random.Random(4)
     passage = prose(draw, 60, 10**6)
