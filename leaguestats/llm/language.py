@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from leaguestats.llm.tokens import small_batches
 
 ALPHABET = 60  # letters told apart; rarer ones match nothing
 CHUNK = 256  # a phrase ends at the latest where a chunk of so many characters does
-RUN = 5  # words in a row that several sampled texts may share
+RUN = 5  # words in a row that sampled texts may share
+RANKED = 512  # first rows of a language at a time; Spark limits ranks of up to 1000 before it shuffles
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,7 +73,7 @@ class Parser:
         for i, (letter, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
             self.code[ord(letter)] = i + 2
         self.pad = self.symbols - 1
-        self.tables, self.bits = [], []
+        self.tables, lengths = [], []
         for _, text in samples:
             text = self.normal(text)
             table = suffix_automaton(text, self.symbols)
@@ -80,7 +82,9 @@ class Parser:
             table = np.vstack([table, np.full((1, self.symbols), -1, np.int32)])
             table[:, self.pad] = np.arange(len(table))
             self.tables.append(table.ravel())
-            self.bits.append(np.log2(max(2, len(text))))
+            lengths.append(len(text))
+        # One price for all, that of the longest sample: by its own length a tiny sample's phrases would cost next to nothing.
+        self.bits = np.log2(max(2, *lengths)) if lengths else 1.0
 
     def normal(self, text: str) -> np.ndarray:
         """Codes of the letters of a text in lower case, with one gap for whatever lies between words."""
@@ -119,31 +123,60 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def training_samples(labelled: DataFrame, sample_chars: int, sample_docs: int) -> tuple[tuple[str, str], ...]:
-    """For each language, up to ``sample_chars`` of the texts of ``sample_docs`` rows, taken in order of a hash.
-
-    ``labelled``: lang, text.  The rank keeps its first rows in each task before it shuffles.
+    """For each language, up to ``sample_chars`` of the texts of its rows, taken in order of a hash.
+
+    ``labelled``: lang, text.  Of a text the first ``sample_chars`` // 8 characters
+    serve, so that one long text is not the whole sample.  Runs of words that
+    another language's texts have as well go; of runs that texts of one language
+    share a copy stays.  ``sample_docs`` different texts a language are read first,
+    then, for languages whose sample is not full, more of them down the order, until
+    it is or texts end or the last ``RANKED`` add nothing.  Hashes are ranked without their texts, and the
+    rank keeps its first rows in each task before it shuffles.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    share = max(1, sample_chars // 8)  # so that one long text is not the whole sample
-    rows = (
+    share = max(1, sample_chars // 8)
+    texts = (
         labelled.where("lang is not null and text is not null")
         .select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, share).alias("text"))
-        .dropDuplicates()
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= sample_docs)
-        .orderBy("lang", "rank")
-        .collect()
+        .select("lang", F.xxhash64("text").alias("hash"), "text")
     )
-    # What several sampled texts share, whatever their language, tells languages apart badly.
-    runs = [_word_runs(row["text"]) for row in rows]
-    held = Counter(run for found in runs for run in set(found))
-    texts: dict[str, str] = {}
-    for row, found in zip(rows, runs):
-        words = row["text"].split()
-        shared = {j for i, run in enumerate(found) if held[run] > 1 for j in range(i, i + RUN)}
-        own = " ".join(w for j, w in enumerate(words) if j not in shared)
-        texts[row["lang"]] = (texts.get(row["lang"], "") + own + " ")[:sample_chars]
-    return tuple((lang, text) for lang, text in sorted(texts.items()) if _LETTER.search(text))
+    order = Window.partitionBy("lang").orderBy("hash")
+    taken: dict[str, list[str]] = {}
+    samples: dict[str, str] = {}
+    left, step = F.lit(True), sample_docs
+    while True:
+        first = texts.where(left).select("lang", "hash").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= step)
+        rows = texts.join(F.broadcast(first), ["lang", "hash"]).dropDuplicates().orderBy("lang", "rank", "text").collect()
+        for row in rows:
+            taken.setdefault(row["lang"], []).append(row["text"])
+        before, samples = samples, _own_words(taken, sample_chars)
+        last = {row["lang"]: row for row in rows}
+        more = [lang for lang, row in last.items() if row["rank"] == step and len(samples[lang]) < sample_chars and (step < RANKED or samples[lang] != before.get(lang))]
+        if not more:
+            return tuple((lang, text) for lang, text in sorted(samples.items()) if _LETTER.search(text))
+        left = reduce(or_, [(F.col("lang") == lang) & (F.col("hash") > last[lang]["hash"]) for lang in more])
+        step = max(step, min(2 * step, RANKED))
+
+
+def _own_words(taken: dict[str, list[str]], sample_chars: int) -> dict[str, str]:
+    """Of each language's texts up to ``sample_chars``, without the runs of another language and with one copy of its own."""
+    held: dict[tuple[str, ...], str | None] = {}  # the language that has a run; None for several
+    for lang, texts in taken.items():
+        for text in texts:
+            for run in _word_runs(text):
+                held[run] = lang if held.get(run, lang) == lang else None
+    samples = {}
+    for lang, texts in taken.items():
+        had: set[tuple[str, ...]] = set()
+        sample = ""
+        for text in texts:
+            if len(sample) >= sample_chars:
+                break
+            words, runs = text.split(), _word_runs(text)
+            left_out = {j for i, run in enumerate(runs) if run in had or held[run] is None for j in range(i, i + RUN)}
+            had.update(runs)
+            sample += "".join(w + " " for j, w in enumerate(words) if j not in left_out)
+        samples[lang] = sample[:sample_chars]
+    return samples
 
 
 def _word_runs(text: str) -> list[tuple[str, ...]]:
@@ -163,8 +196,8 @@ def identify_languages(
 
     Each language's suffix automaton, over a bounded sample of ``labelled``
     (lang, text), cuts a text into phrases: each the longest match that starts
-    where the last ended.  Phrases, times the bits that address the sample, over
-    the characters estimate the cross entropy; the least wins (ties: the first
+    where the last ended.  Phrases, times the bits that address the longest sample,
+    over the characters estimate the cross entropy; the least wins (ties: the first
     name).  Letters count in lower case; whatever lies between words is one gap.
     Long texts are parsed in chunks of ``CHUNK`` characters side by side.
 
@@ -183,7 +216,7 @@ def identify_languages(
                 langs, scores = ["und"] * (b - a), np.zeros(b - a)
                 if parser:
                     counts, lengths = parser.phrases(texts[a:b])
-                    bits = counts * np.array(parser.bits)[:, None] / np.maximum(lengths, 1)
+                    bits = counts * parser.bits / np.maximum(lengths, 1)
                     weight = np.exp2(-8 * (bits - bits.min(axis=0)))
                     best, share = bits.argmin(axis=0), 1 / weight.sum(axis=0)
                     for i in range(b - a):

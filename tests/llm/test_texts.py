@@ -126,6 +126,42 @@ def test_languages_of_held_out_rows(spark, documents):
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
 
 
+def test_a_language_of_one_short_row_or_of_near_copies(spark, documents):
+    rows = documents.where("lang is not null").select("lang", "text")
+    english = documents.where("lang = 'en' and length(text) > 400").limit(40)
+    short = spark.createDataFrame([("aa", "ok "), ("ab", "Grzegorz brzmi w trzcinie")], "lang string, text string")
+    found = language.identify_languages(english, rows.union(short)).collect()
+    assert sum(r.lang_pred == "en" for r in found) >= 38
+    own = language.identify_languages(docs_of(spark, ["Grzegorz brzmi w trzcinie"]), rows.union(short)).first()
+    assert own.lang_pred == "ab"
+    draw = random.Random(8)
+    syllables = [a + b for a in "bdgkz" for b in ("uu", "oo", "ii", "ww")]
+    page = ["".join(draw.choice(syllables) for _ in range(4)) for _ in range(200)]
+    copies = []
+    for i in range(100):
+        words = list(page)
+        words[draw.randrange(200)] = f"zuubii{'uoi'[i % 3]}{'bdgkz'[i % 5]}"
+        copies.append(("zz", " ".join(words)))
+    copied = spark.createDataFrame(copies, "lang string, text string")
+    samples = dict(language.training_samples(rows.union(copied), 24_000, 64))
+    assert all(w in samples["zz"] for w in page[20:180:20])
+    own = language.identify_languages(docs_of(spark, [" ".join(page[20:60])]), rows.union(copied)).first()
+    assert own.lang_pred == "zz"
+
+
+def test_samples_are_filled_further_down_the_order(spark):
+    draw = random.Random(9)
+    lone = lambda n: " ".join(f"w{draw.randrange(10**6)}x" for _ in range(n))
+    page = lone(60)
+    rows = [("a", f"{lone(6)} {page}") for _ in range(150)] + [("b", lone(100)) for _ in range(5)] + [("b", page), ("c", page), ("a", None), (None, page)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    samples = dict(language.training_samples(labelled, 4_000, 8))
+    assert len(samples["a"]) == 4_000
+    assert page.split()[20] not in samples["a"] + samples["b"] and "c" not in samples
+    alone = dict(language.training_samples(labelled.where("lang = 'a'"), 4_000, 8))
+    assert alone["a"].count(page.split()[20]) == 1
+
+
 def test_toxicity_learns_marked_words(spark):
     draw = random.Random(6)
     texts, labels = [], []
