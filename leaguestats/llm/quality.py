@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -22,7 +24,12 @@ MEASURES = ("chars_per_token", "entropy", "fallback_share")
 # How far below and above the quartiles a measure may lie, in quartile distances; None: any far.
 WIDTHS = {"chars_per_token": (5.0, 5.0), "entropy": (2.0, None), "fallback_share": (None, 6.0)}
 
-# First and last code point by script, for texts without a language.
+# What a band of few rows reaches beyond its quartiles at least, for each doubling of its width.
+THIN_REACH = {"chars_per_token": 0.25, "entropy": 0.05, "fallback_share": 0.05}
+
+TELLING = 5  # rows whose quartiles one outlier does not move
+
+# First and last code point by script.
 SCRIPTS = (
     ("latin", 0x41, 0x24F),
     ("greek", 0x370, 0x3FF),
@@ -89,10 +96,13 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def script_of(codes: np.ndarray) -> str:
-    """The script with most characters; ``none`` without any."""
+    """The script with most characters, else that of the commonest letter by its Unicode name; ``none`` without letters."""
     counts = [(int(((codes >= low) & (codes <= high)).sum()), name) for name, low, high in SCRIPTS]
     most, name = max(counts, key=lambda c: c[0])
-    return name if most else "none"
+    if most:
+        return name
+    letters = Counter(c for c in codes.tobytes().decode("utf-32-le", "surrogatepass") if c.isalpha())
+    return unicodedata.name(max(letters, key=lambda c: (letters[c], c)), "none").split()[0].lower() if letters else "none"
 
 
 def token_measures(text: str, bpe, known: np.ndarray) -> tuple[int, float, float, float, np.ndarray]:
@@ -110,7 +120,7 @@ def token_measures(text: str, bpe, known: np.ndarray) -> tuple[int, float, float
 
 
 def measured(docs: DataFrame, vocabulary: str, pattern: str, pieces: str, text: str, doc_id: str, lang: str) -> DataFrame:
-    """Base counts and token measures of every whole text, with the band it is judged by."""
+    """Base counts and token measures of every whole text, with the band it is judged by and its script."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = byte_bpe(vocabulary, pattern), known_characters(pieces)
@@ -118,11 +128,12 @@ def measured(docs: DataFrame, vocabulary: str, pattern: str, pieces: str, text:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs = batch.column("lang").to_pylist()
             for a, b in small_batches(texts):
-                rows, bands = [], []
+                rows, bands, scripts = [], [], []
                 for i in range(a, b):
                     *numbers, codes = token_measures(texts[i], bpe, known)
                     rows.append((*base_counts(texts[i]), *numbers))
-                    bands.append(langs[i] if langs[i] is not None else "script " + script_of(codes))
+                    scripts.append(script_of(codes))
+                    bands.append(langs[i] if langs[i] is not None else "script " + scripts[-1])
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,8 +142,9 @@ def measured(docs: DataFrame, vocabulary: str, pattern: str, pieces: str, text:
                         *[pa.array(c, pa.int64()) for c in columns[:6]],
                         *[pa.array(c, pa.float64()) for c in columns[6:]],
                         pa.array(bands, pa.string()),
+                        pa.array(scripts, pa.string()),
                     ],
-                    ["doc_id", "key", *COUNTS, "n_tokens", *MEASURES, "band"],
+                    ["doc_id", "key", *COUNTS, "n_tokens", *MEASURES, "band", "script"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -140,7 +152,7 @@ def measured(docs: DataFrame, vocabulary: str, pattern: str, pieces: str, text:
         F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")
     )
     numbers = ", ".join(f"{c} bigint" for c in (*COUNTS, "n_tokens")) + ", " + ", ".join(f"{c} double" for c in MEASURES)
-    return given.mapInArrow(measure, f"doc_id {kind}, key bigint, {numbers}, band string")
+    return given.mapInArrow(measure, f"doc_id {kind}, key bigint, {numbers}, band string, script string")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -170,7 +182,11 @@ def judge_fertility(
     over all rows that pass the base rules, widened below and above by ``widths``
     times the distance between them (characters per token more so in short
     texts, by sqrt(1 + 256 / tokens); at least 0.02 for the fallback share).  Low
-    entropy is a fault, high entropy is not; nor is a low fallback share.  A band of fewer than ``least_rows`` rows is judged by the band of all rows.
+    entropy is a fault, high entropy is not; nor is a low fallback share.  A band of n rows, fewer than ``least_rows``, has
+    wider limits, by sqrt(least_rows / n) and by ``THIN_REACH``.  Where the script has ``least_rows``
+    over all languages, rows of such a band pass by the script's band, or by their language's own if
+    it has the ``TELLING`` rows that show an outlier; rows are never judged by other scripts.  Only
+    texts without letters, which have no script, are judged by all rows then.
 
     Returns doc_id, key (hash of the text), the counts, the measures, ``band``,
     ``base_failed`` and ``kept``.  A null or empty text has no words and fails;
@@ -180,19 +196,23 @@ def judge_fertility(
     rows = durable(measured(docs, vocabulary, pattern, pieces, text, doc_id, lang).withColumn("base_failed", base_failed()))
     sound = rows.where("not base_failed")
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000) for m in MEASURES]
+
+    def bands_of(by: str, named: str) -> DataFrame:
+        return sound.groupBy(by).agg(F.count(F.lit(1)).alias(f"{named}_n"), *[q.alias(f"{named}_{m}") for q, m in zip(quartiles, MEASURES)])
+
     overall = sound.agg(*[q.alias(f"all_{m}") for q, m in zip(quartiles, MEASURES)])
-    bands = durable(
-        sound.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"), *[q.alias(f"bands_{m}") for q, m in zip(quartiles, MEASURES)])
-        .where(F.col("n") >= least_rows)
-        .drop("n")
-    )
+    bands = durable(bands_of("band", "own"))
+    scripts = bands_of("script", "script").where(F.col("script_n") >= least_rows)  # one row a script
     bands = F.broadcast(bands) if is_small(bands) else bands
-    judged = rows.join(bands, "band", "left").join(F.broadcast(overall))  # overall has one row
+    judged = rows.join(bands, "band", "left").join(F.broadcast(scripts), "script", "left").join(F.broadcast(overall))  # overall has one row
+    short = F.sqrt(1 + F.lit(256.0) / F.greatest(F.lit(1), F.col("n_tokens")))
+    thin = F.col("own_n") < least_rows
+    wide = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(least_rows)) / F.col("own_n")))
 
-    def inside(measure: str, floor: float = 0.0, wider: Column | float = 1.0) -> Column:
-        low, high = (F.coalesce(F.col(f"bands_{measure}"), F.col(f"all_{measure}"))[i] for i in (0, 1))
-        reach = lambda width: F.greatest(F.lit(floor), F.lit(width) * (high - low) * F.lit(wider))
+    def inside(named: str, measure: str, floor: float = 0.0, wider: Column | float = 1.0) -> Column:
+        low, high = (F.col(f"{named}_{measure}")[i] for i in (0, 1))
+        grown, least = (wide, F.greatest(F.lit(floor), (wide - 1) * THIN_REACH[measure])) if named == "own" else (F.lit(1.0), F.lit(floor))
+        reach = lambda width: F.greatest(least, F.lit(width) * (high - low) * F.lit(wider) * grown)
         below, above = widths[measure]
         sound = F.lit(True)
         if below is not None:
@@ -201,6 +221,13 @@ def judge_fertility(
             sound = sound & (F.col(measure) <= high + reach(above))
         return sound
 
-    short = F.sqrt(1 + F.lit(256.0) / F.greatest(F.lit(1), F.col("n_tokens")))
-    verdict = inside("chars_per_token", wider=short) & inside("entropy") & inside("fallback_share", floor=0.02)
+    def passes(named: str) -> Column:
+        return inside(named, "chars_per_token", wider=short) & inside(named, "entropy") & inside(named, "fallback_share", floor=0.02)
+
+    by_language = (F.col("own_n") >= TELLING) & ~F.col("band").startswith("script ") & passes("own")
+    verdict = (
+        F.when(thin & (F.col("script") == "none"), passes("all"))
+        .when(thin & F.col("script_n").isNotNull(), passes("script") | by_language)
+        .otherwise(passes("own"))
+    )
     return judged.select("doc_id", "key", *COUNTS, "n_tokens", *MEASURES, "band", "base_failed", (~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).alias("kept"))

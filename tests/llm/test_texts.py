@@ -79,6 +79,19 @@ def test_quality_rules(spark, documents):
     assert fertility(docs_of(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("lang, first, last", [("ko", 0xAC00, 0xB3FF), ("th", 0xE01, 0xE2E), ("ru", 0x430, 0x44F), (None, 0x995, 0x9A8)])
+def test_few_clean_rows_of_another_script_stay(spark, documents, lang, first, last):
+    draw = random.Random(2)
+    base = [(i, r.text, "en") for i, r in enumerate(documents.where("lang = 'en' and length(text) > 300").limit(120).collect())]
+    lexicon = ["".join(chr(draw.randint(first, last)) for _ in range(draw.randint(2, 6))) for _ in range(600)]
+    few = [(1000 + i, " ".join(draw.choice(lexicon) for _ in range(draw.randint(120, 300))), lang) for i in range(12)]
+    junk = [(2000, " ".join("".join(draw.choice("#~^=+") for _ in range(9)) for _ in range(200)), None)]
+    junk += [(2001, " ".join("".join(draw.choice("#~^=+") for _ in range(9)) for _ in range(200)), lang)] if lang else []
+    docs = spark.createDataFrame(base + few + junk, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id: r.kept for r in fertility(docs).collect()}
+    assert all(kept[i] for i, _, _ in few) and not any(kept[i] for i, _, _ in junk)
+
+
 def test_automaton_matches_all_substrings_and_no_others():
     text = np.array([random.Random(2).randrange(3) for _ in range(40)])
     table = language.suffix_automaton(text, 3)
