@@ -68,8 +68,8 @@ def format_reply_trees(nodes: DataFrame, best: int | None = None, loss_role: str
     ``nodes``: tree, node, parent, role, text, score.  ``node`` is unique; a null
     role or text counts as empty, a null score as 0.  Branches of a tree rank by
     the mean score of their nodes (ties: the smaller leaf); ``best`` of them are
-    formatted, or all.  The rank keeps its first ``best`` rows before it
-    shuffles.  One path becomes one row, and so must fit one.
+    formatted, or all, ranked alike.  A small ``best`` limits the rows before the
+    rank shuffles; without it a tree's leaves and scores sort in one task.  One path becomes one row, and so must fit one.
 
     Returns tree, leaf, branch_rank, score, ``formatted`` and ``loss_spans``
     (start and end, in characters of ``formatted``, of the texts of
@@ -87,8 +87,8 @@ def format_reply_trees(nodes: DataFrame, best: int | None = None, loss_role: str
         placed = scratch.keep(paths.join(nodes.drop("parent"), "node"))
         branches = placed.groupBy("leaf").agg(F.max("tree").alias("tree"), F.avg("score").alias("score"))
         order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        ranked = branches.withColumn("branch_rank", F.row_number().over(order)) if best else branches.withColumn("branch_rank", F.lit(None).cast("int"))
-        if best:
+        ranked = branches.withColumn("branch_rank", F.row_number().over(order))
+        if best is not None:
             ranked = ranked.where(F.col("branch_rank") <= best)
         turn = F.struct((-F.col("up")).alias("place"), _escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == loss_role).alias("loss"))
         turns = placed.groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -237,3 +237,11 @@ def test_reply_trees_rank_branches(spark):
     found = {(r.tree, r.branch_rank): r for r in chat.format_reply_trees(trees, best=2).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
     assert set(found) == {("t", 1), ("t", 2), ("v", 1)}
     assert [t.text for t in found["t", 1].turns] == ["q", "good", *map(str, range(9))] and [t.text for t in found["t", 2].turns] == ["q", "bad"]
+
+
+def test_all_branches_are_ranked_without_best(spark):
+    nodes = [("t", "a", None, "user", "q", 0.0), *[("t", f"b{i}", "a", "assistant", str(i), float(i % 4)) for i in range(8)]]
+    trees = spark.createDataFrame(nodes, "tree string, node string, parent string, role string, text string, score double")
+    found = {r.leaf: r.branch_rank for r in chat.format_reply_trees(trees).collect()}
+    assert found == {leaf: i + 1 for i, leaf in enumerate(["b3", "b7", "b2", "b6", "b1", "b5", "b0", "b4"])}
+    assert chat.format_reply_trees(trees, best=0).collect() == []
