@@ -44,8 +44,9 @@ def stack_frames(*frames: DataFrame) -> DataFrame:
 
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per id and column: (ids..., Stat, Value), values as double; NaN and infinities are NULL."""
-    values = [f"if(abs(cast(`{c}` as double)) < double('infinity'), cast(`{c}` as double), null) as `{c}`" for c in columns]
-    return df.selectExpr(*[f"`{i}`" for i in ids], *values).unpivot(list(ids), list(columns), "Stat", "Value")
+    values = [f"cast(`{c}` as double) as `{c}`" for c in columns]
+    long = df.selectExpr(*[f"`{i}`" for i in ids], *values).unpivot(list(ids), list(columns), "Stat", "Value")
+    return long.withColumn("Value", F.expr("if(abs(Value) < double('infinity'), Value, null)"))
 
 
 def _spread(names: Sequence[str], by: str, value: str) -> list[Column]:

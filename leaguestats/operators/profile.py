@@ -39,6 +39,16 @@ def _sum_of_billionths() -> Column:
     return part(-1.0, 1e12, 1.0) + part(1e12, 1e24, 1e12) + part(1e24, 1e36, 1e24) + beyond
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    """Whether a row has all of the columns, none NULL or NaN, as one test over an array.
+
+    A test per column would leave the optimizer a constraint for each, which it
+    multiplies through every later projection of the same columns.
+    """
+    values = ", ".join(f"cast(`{c}` as double)" for c in columns)
+    return F.expr(f"not exists(array({values}), x -> x is null or isnan(x))")
+
+
 def league_profile(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), complete_rows: bool = False
 ) -> DataFrame:
@@ -48,9 +58,13 @@ def league_profile(
     adds billionths as whole numbers, so it does not depend on the order in
     which partitions arrive and ties round the same way every time.
     """
+    keys = [*by, "Stat"]
     if complete_rows:
-        df = df.na.drop(subset=list(columns))
-    counted, keys = _counted(df, columns, by)
+        # The flag goes through the long form beside the values: a filter before it would be pushed under every formula.
+        long = to_long(df.withColumn("_complete", _complete(columns)), [*by, "_complete"], columns)
+        counted = counted_values(long.where("_complete").drop("_complete"), keys)
+    else:
+        counted, keys = _counted(df, columns, by)
     profile = order_statistics(
         positions(counted, keys), keys, {"median": 0.5}, extra=[_sum_of_billionths().alias("billionths")]
     )
