@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, jaccard, language, mixing, packing, quality, sharding, substrings, toxicity
+from leaguestats.llm import chat, exact, jaccard, kneser, language, mixing, packing, quality, sharding, substrings, toxicity
 from leaguestats.llm.common import documents, id_hash
 
 
@@ -91,6 +91,14 @@ def op10_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from the folds that are not held out."""
+    docs = documents(spark, sf_dir)
+    held_out = id_hash() % 7 == 2
+    found = kneser.score_texts(docs, docs.where(~held_out), carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), *kneser.ADDED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -104,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_reply_trees,
         op9_compact_windows,
         op10_nb_ngrams,
+        op13_kneser_ney,
     )
 }
