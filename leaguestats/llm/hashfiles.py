@@ -11,13 +11,18 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 
+# What tasks exchange: sorted keys of one part with their counts, packed; and what storing a part returns.
+PIECE = "part int, keys binary, counts binary"
+SIZED = "part int, size long, n1 long, n2 long, n3 long, n4 long, total long"
+
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     if folder.startswith("file:"):
@@ -93,6 +98,49 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first, axis=0)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))])
+
+
+def pieces(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys with counts as ``PIECE``, one row a part."""
+    rows = [(p, packed_sorted(keys[a:b]), packed(counts[a:b])) for p, a, b in part_slices(keys, bits)]
+    columns = [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]]
+    return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
+
+
+def small_counts(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def merging(folder: str, name: str) -> Callable[[pa.Table], pa.Table]:
+    """For the pieces of one part: merge them and store keys and counts; returns ``SIZED``."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpacked_sorted(x) for x in table["keys"].to_pylist()])
+        keys, counts = summed(keys, np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]))
+        part = table["part"][0].as_py()
+        save(folder, f"{name}-{part}", keys)
+        save(folder, f"{name}_n-{part}", counts.astype(np.uint32 if len(counts) and counts.max() < 1 << 32 else np.int64))
+        row = [part, len(keys), *small_counts(counts), int(counts.sum())]
+        return pa.Table.from_pylist([dict(zip(("part", "size", "n1", "n2", "n3", "n4", "total"), row))], arrow_schema(SIZED))
+
+    return merge
+
+
+def part_bits(rows: int, most: int = 1 << 21) -> int:
+    """The top bits that name a part, for parts of at most about ``most`` rows; 2**14 parts at most."""
+    return min(14, max(0, (max(rows, 1) - 1).bit_length() - (most.bit_length() - 1)))
+
+
+def part_sizes(rows: Iterable, bits: int) -> tuple[int, ...]:
+    """Sizes of all parts from the ``SIZED`` rows of those that are not empty."""
+    sizes = {r.part: r.size for r in rows}
+    return tuple(sizes.get(p, 0) for p in range(1 << bits))
+
+
 class SortedParts:
     """The parts of one sorted array of keys and the columns beside it."""
 

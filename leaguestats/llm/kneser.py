@@ -17,13 +17,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaguestats.checkpoints import Scratch, durable
 from leaguestats.llm.common import small_arrow_batches, without
-from leaguestats.llm.hashfiles import packed, packed_sorted, part_slices, save, sorted_parts, summed, unpacked, unpacked_sorted
+from leaguestats.llm.hashfiles import (
+    PIECE,
+    SIZED,
+    arrow_schema,
+    merging,
+    packed,
+    packed_sorted,
+    part_bits,
+    part_sizes,
+    pieces,
+    save,
+    small_counts,
+    sorted_parts,
+    summed,
+    unpacked,
+    unpacked_sorted,
+)
 from leaguestats.llm.wordarrays import Words, gathered, mix, one_array, unmix, word_hashes
 
 END = "\n"  # the end of a text, counted as a token; no word holds white space
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-_PIECE = "part int, keys binary, counts binary"
-_MERGED = "part int, size long, n1 long, n2 long, n3 long, n4 long, total long"
 
 
 @dataclass(frozen=True)
@@ -91,42 +105,11 @@ def _deal_words(bits: int) -> Callable:
         for table in gathered(batches):
             keys = word_hashes(one_array(table["word"]))
             order = np.argsort(keys)
-            yield _pieces(keys[order], table["n"].to_numpy()[order], bits)
+            yield pieces(keys[order], table["n"].to_numpy()[order], bits)
 
     return deal
 
 
-def _pieces(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted keys with counts, one row a part."""
-    rows = [(p, packed_sorted(keys[a:b]), packed(counts[a:b])) for p, a, b in part_slices(keys, bits)]
-    columns = [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]]
-    return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
-
-
-def _kinds(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-
-
-def _merge(folder: str, name: str) -> Callable:
-    """Merge the pieces of a part and store it; returns its size and its small counts."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpacked_sorted(x) for x in table["keys"].to_pylist()])
-        keys, counts = summed(keys, np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]))
-        part = table["part"][0].as_py()
-        save(folder, f"{name}-{part}", keys)
-        save(folder, f"{name}_n-{part}", counts.astype(np.uint32 if len(counts) and counts.max() < 1 << 32 else np.int64))
-        row = [part, len(keys), *_kinds(counts), int(counts.sum())]
-        return pa.Table.from_pylist([dict(zip(("part", "size", "n1", "n2", "n3", "n4", "total"), row))], _arrow(_MERGED))
-
-    return merge
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[t]) for n, t in (field.split() for field in schema.split(", "))])
-
-
 def _places(model: Model, words: Words) -> np.ndarray:
     """Numbers of the distinct words and of the end, -1 for unknown ones."""
     held = sorted_parts(model.folder, "words", ("words_n", "left", "after"), model.word_sizes)
@@ -145,17 +128,17 @@ def _key(before: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix((before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
 
 
-def _deal_pairs(model: Model, bits: int, most: int = 1 << 21) -> Callable:
+def _deal_pairs(model: Model, bits: int, most: int = 1 << 20) -> Callable:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for table in gathered(batches):
             words, codes, ends = _tokens(one_array(table["text"]))
             held.append(_key(*_pairs(_places(model, words), codes, ends, model.start)))
             if sum(map(len, held)) >= most:
-                yield _pieces(*np.unique(np.concatenate(held), return_counts=True), bits)
+                yield pieces(*np.unique(np.concatenate(held), return_counts=True), bits)
                 held = []
         if held:
-            yield _pieces(*np.unique(np.concatenate(held), return_counts=True), bits)
+            yield pieces(*np.unique(np.concatenate(held), return_counts=True), bits)
 
     return deal
 
@@ -183,7 +166,7 @@ def _deal_company(model: Model) -> Callable:
                 # What stands before the first word has the number after the last word's and goes to a part of its own.
                 spans = [*zip(range(len(cuts) - 1), cuts[:-1], cuts[1:]), (len(cuts) - 1, cuts[-1], len(who))]
                 rows = [{"part": p, "keys": packed_sorted(who[a:b]), "counts": packed(sums[a:b].reshape(-1))} for p, a, b in spans if b > a]
-                yield from pa.Table.from_pylist(rows, _arrow(_PIECE)).to_batches()
+                yield from pa.Table.from_pylist(rows, arrow_schema(PIECE)).to_batches()
 
     return deal
 
@@ -201,30 +184,20 @@ def _store_company(model: Model) -> Callable:
         names = [n.split()[0] for n in _COMPANY.split(", ")]
         if part == len(bases) - 1:
             row = [part, *map(int, sums[0, :3]), 0, 0, 0, 0, 0]
-            return pa.Table.from_pylist([dict(zip(names, row))], _arrow(_COMPANY))
+            return pa.Table.from_pylist([dict(zip(names, row))], arrow_schema(_COMPANY))
         whole = np.zeros((model.word_sizes[part], 4), np.int64)
         whole[who.astype(np.int64) - bases[part]] = sums
         save(model.folder, f"after-{part}", whole[:, :3].astype(np.uint32))
         save(model.folder, f"left-{part}", whole[:, 3].astype(np.uint32))
         left = whole[:, 3]
         classes = [int((left == 1).sum()), int((left == 2).sum()), int((left >= 3).sum())]
-        row = [part, *classes, *_kinds(left), int(left.sum())]
-        return pa.Table.from_pylist([dict(zip(names, row))], _arrow(_COMPANY))
+        row = [part, *classes, *small_counts(left), int(left.sum())]
+        return pa.Table.from_pylist([dict(zip(names, row))], arrow_schema(_COMPANY))
 
     return store
 
 
-def _bits(rows: int, most: int) -> int:
-    """Parts of at most about ``most`` rows, at most 2**14 of them."""
-    return min(14, max(0, (max(rows, 1) - 1).bit_length() - (most.bit_length() - 1)))
-
-
-def _sizes(rows: list, bits: int) -> tuple[int, ...]:
-    sizes = {r.part: r.size for r in rows}
-    return tuple(sizes.get(p, 0) for p in range(1 << bits))
-
-
-def fit(texts: DataFrame, scratch: Scratch, part_rows: int = 1 << 21) -> Model:
+def fit(texts: DataFrame, scratch: Scratch, part_rows: int = 1 << 19) -> Model:
     """Count the model of a column ``text``; its files live as long as ``scratch``.
 
     Counts cover every row.  Words are told apart by 64-bit hashes, and there
@@ -235,20 +208,20 @@ def fit(texts: DataFrame, scratch: Scratch, part_rows: int = 1 << 21) -> Model:
     counted = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = scratch.keep(counted.where("n > 0"))
     vocabulary, tokens, ends = words.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
-    bits = _bits(vocabulary, part_rows)
-    stored = words.mapInArrow(_deal_words(bits), _PIECE).groupBy("part").applyInArrow(_merge(folder, "words"), _MERGED).collect()
-    sizes = _sizes(stored, bits)
+    bits = part_bits(vocabulary, part_rows)
+    stored = words.mapInArrow(_deal_words(bits), PIECE).groupBy("part").applyInArrow(merging(folder, "words"), SIZED).collect()
+    sizes = part_sizes(stored, bits)
     if sum(sizes) >= (1 << 32) - 1:
         raise ValueError("more words than 32-bit numbers")
     model = Model(folder, sizes, (0,), ends or 0, tokens or 0, vocabulary, (0,) * 4, (0,) * 4, (0,) * 3, (0,) * 3)
     if not model.tokens:
         return model
-    bits = _bits(model.tokens, part_rows)
-    pieces = texts.mapInArrow(_deal_pairs(model, bits), _PIECE)
-    merged = scratch.keep(pieces.groupBy("part").applyInArrow(_merge(folder, "pairs"), _MERGED))
+    bits = part_bits(model.tokens, part_rows)
+    pieces = texts.mapInArrow(_deal_pairs(model, bits), PIECE)
+    merged = scratch.keep(pieces.groupBy("part").applyInArrow(merging(folder, "pairs"), SIZED))
     rows = merged.collect()
-    model = Model(**vars(model) | {"pair_sizes": _sizes(rows, bits), "pair_kinds": tuple(sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4))})
-    company = merged.select("part").repartition(len(rows)).mapInArrow(_deal_company(model), _PIECE)
+    model = Model(**vars(model) | {"pair_sizes": part_sizes(rows, bits), "pair_kinds": tuple(sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4))})
+    company = merged.select("part").repartition(len(rows)).mapInArrow(_deal_company(model), PIECE)
     rows = company.groupBy("part").applyInArrow(_store_company(model), _COMPANY).collect()
     own, start = [r for r in rows if r.part < len(sizes)], [r for r in rows if r.part == len(sizes)]
     return Model(

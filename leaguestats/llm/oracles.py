@@ -50,4 +50,34 @@ SELECT r.x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(r.y) AS component_i
 FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.x GROUP BY r.x
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": _EXACT, "op4_jaccard_join": _JACCARD, "op8_reply_trees": _CHAT}
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k))
+), f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY lang, phrase, k),
+totals AS MATERIALIZED (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+many AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+cuts AS (
+  SELECT lang, phrase, k, f AS a, w, unnest(range(1, k)) AS c FROM many WHERE k > 1
+), valued AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.c, x.f AS l, y.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN many x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.c], ' ')
+    JOIN many y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.c + 1:c.k], ' ')
+    JOIN totals t ON t.lang = c.lang
+), best AS MATERIALIZED (
+  SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM best o WHERE o.lang = b.lang AND o.k > b.k AND 100 * o.a >= 100 * b.a
+      AND contains(concat(' ', o.phrase, ' '), concat(' ', b.phrase, ' ')))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op6_exact_dedup": _EXACT, "op4_jaccard_join": _JACCARD, "op8_reply_trees": _CHAT, "op11_phrase_parsing": _PHRASES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leaguestats.llm import chat, exact, jaccard, kneser, language, mixing, packing, quality, sharding, substrings, toxicity
+from leaguestats.llm import chat, exact, jaccard, kneser, language, mixing, packing, phrases, quality, sharding, spelling, substrings, toxicity
 from leaguestats.llm.common import documents, id_hash
 
 
@@ -91,6 +91,16 @@ def op10_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language, counted over a prefix-free parse of every document."""
+    return phrases.collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
+
+
+def op12_sorted_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with typos planted by checksum, and the spelling each belongs to."""
+    return spelling.spelling_groups(documents(spark, sf_dir), every=97, least_letters=5, least=3, times=2)
+
+
 def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log10 probability of every document, learned from the folds that are not held out."""
     docs = documents(spark, sf_dir)
@@ -112,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_reply_trees,
         op9_compact_windows,
         op10_nb_ngrams,
+        op11_phrase_parsing,
+        op12_sorted_spelling,
         op13_kneser_ney,
     )
 }

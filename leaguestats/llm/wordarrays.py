@@ -10,14 +10,18 @@ import pyarrow.compute as pc
 import xxhash
 
 
-def gathered(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.Table]:
-    """Consecutive batches put together up to ``most_bytes``; a larger batch is alone."""
+def gathered(batches: Iterable[pa.RecordBatch], most_bytes: int = 3 << 20) -> Iterator[pa.Table]:
+    """Consecutive batches put together up to ``most_bytes``; a larger batch is alone.
+
+    What Arrow has freed goes back to the system in between: an executor's workers share its memory.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if held and size + batch.nbytes > most_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
         held.append(batch)
         size += batch.nbytes
     if held:
