@@ -115,7 +115,8 @@ SMALL_ROWS = 200_000
 def is_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     """Whether a frame from ``durable`` may be broadcast; its count comes from file footers.
 
-    A larger frame joins by shuffle, where adaptive execution splits hot keys.
+    A larger frame joins by shuffle.  Adaptive execution splits the hot keys of that
+    join only if nothing above it needs the rows of a key together.
     """
     return frame.count() <= max_rows
 
@@ -125,7 +126,9 @@ def statistics_side(stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Joining rows on a metric name by shuffle would put a metric on one task, so
     the statistics are broadcast: without groups they have a row per column;
-    with groups they are written out, counted and broadcast only when small.
+    with groups they are written out, counted and broadcast only when small.  For
+    rows that go on as they are; values that are aggregated per group again use
+    ``distribution.with_statistics``.
     """
     if not by:
         return F.broadcast(stats)

@@ -14,7 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..checkpoints import durable
+from .. import checkpoints
+from ..checkpoints import SMALL_ROWS, durable
+
+# A value held by more than one in this many rows counts as frequent.
+_SHARE = 10_000
 
 
 def counted_values(long: DataFrame, keys: Sequence[str], value: str = "Value") -> DataFrame:
@@ -92,3 +96,60 @@ def order_statistics(
         made.append(_between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), weight, q).alias(name))
     spare = {f"{name}_{end}" for name in quantiles for end in ("lo", "hi")}
     return picked.select(*[c for c in picked.columns if c not in spare], *made)
+
+
+def with_statistics(counted: DataFrame, stats: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Counted values beside the statistics of their group: (joined, whether groups are spread).
+
+    A statistics table without further groups, or one counted as small, is
+    broadcast.  A larger one is first given to each (group, range), of which a
+    group has as many as its values fill, and meets the values there: the values
+    of a hot group stay dealt over its ranges and no task gets the whole group.
+    """
+    if len(keys) == 1:
+        return counted.join(F.broadcast(stats), list(keys)), False
+    stats = durable(stats)
+    if checkpoints.is_small(stats):
+        return counted.join(F.broadcast(stats), list(keys)), False
+    per_range = counted.select(*keys, "range").distinct().join(stats, list(keys))
+    # Merged by sorting: the list of ranges must not be broadcast either.
+    return counted.join(per_range.hint("merge"), [*keys, "range"]), True
+
+
+def group_sums(joined: DataFrame, keys: Sequence[str], spread: bool, sums: dict[str, Column], **other: dict[str, Column]) -> DataFrame:
+    """Aggregate joined values per group: ``sums`` add up; ``least``, ``most`` and ``same`` hold minima, maxima and constants.
+
+    If groups are spread, first per (keys, range), where the join has left them,
+    and then the few rows of a group together.
+    """
+    merge = {"least": F.min, "most": F.max, "same": F.first}
+    kinds = {name: F.sum for name in sums} | {name: merge[kind] for kind, columns in other.items() for name in columns}
+    columns = sums | {name: c for made in other.values() for name, c in made.items()}
+    first = joined.groupBy(*keys, *(["range"] if spread else [])).agg(*[kinds[name](c).alias(name) for name, c in columns.items()])
+    return first.groupBy(*keys).agg(*[kinds[name](name).alias(name) for name in columns]) if spread else first
+
+
+def join_by_value(long: DataFrame, counted: DataFrame, marks: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join rows with what is known of their value: ``marks`` (on..., n, more columns), some or all of the counted values.
+
+    Few marks are broadcast whole.  Otherwise the values that hold more than a
+    ``_SHARE``-th of all rows are broadcast, fewer than ``_SHARE`` by their
+    definition, and only the other rows are shuffled to their value: no key of that
+    join is hot, and rows without a value are not moved at all.  ``how`` is left or
+    inner.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown join: {how}")
+    rows = counted.agg(F.sum("n")).first()[0] or 0
+    if marks.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return long.join(F.broadcast(marks.drop("n")), on, how)
+    frequent = F.col("n") * _SHARE > rows
+    many = counted.where(frequent).select(*on, F.lit(True).alias("_many"))
+    tagged = long.join(F.broadcast(many.join(marks.drop("n"), on, "left")), on, "left")
+    open_ = F.col(on[-1]).isNotNull() & F.col("_many").isNull()
+    added = [c for c in marks.columns if c not in (*on, "n")]
+    rest = tagged.where(open_).drop("_many", *added).join(marks.where(~frequent).drop("n"), on, how)
+    placed = tagged.where(~open_)
+    if how == "inner":  # a frequent value without a mark, or no value
+        placed = placed.where(F.col("_many") & F.coalesce(*[F.col(c).isNotNull() for c in added]))
+    return placed.drop("_many").unionByName(rest)

@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..checkpoints import statistics_side
+from ..checkpoints import durable
 from ..functions.exprs import np_round
-from .distribution import counted_values, order_statistics, positions
+from .distribution import counted_values, group_sums, join_by_value, order_statistics, positions, with_statistics
 from .frames import to_long
 
 
@@ -95,19 +95,15 @@ def describe_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
             F.max("Value").alias("max"),
         ],
     )
-    squares = F.sum(F.col("n") * F.pow(F.col("Value") - F.col("mean"), F.lit(2.0)))
+    squares = F.col("n") * F.pow(F.col("Value") - F.col("mean"), F.lit(2.0))
     names = ["count", "mean", "min", "q25", "q50", "q75", "max"]
-    return (
-        counted.join(statistics_side(stats, by), keys)
-        .groupBy(*keys)
-        .agg(squares.alias("squares"), *[F.first(c).alias(c) for c in names])
-        .select(
-            *keys,
-            "count",
-            "mean",
-            F.sqrt(F.try_divide(F.col("squares"), (F.col("count") - 1).cast("double"))).alias("std"),
-            *names[2:],
-        )
+    joined, spread = with_statistics(counted, stats, keys)
+    return group_sums(joined, keys, spread, {"squares": squares}, same={c: F.col(c) for c in names}).select(
+        *keys,
+        "count",
+        "mean",
+        F.sqrt(F.try_divide(F.col("squares"), (F.col("count") - 1).cast("double"))).alias("std"),
+        *names[2:],
     )
 
 
@@ -160,10 +156,10 @@ def histograms(
     edges = edges.select(
         *keys, number.alias("bins"), (F.col("start") - half).alias("start"), (F.col("stop") + half).alias("stop")
     ).withColumn("width", (F.col("stop") - F.col("start")) / F.col("bins"))
-    edges = statistics_side(edges, by)
-
     last = F.col("bins") - 1
-    filled = counted.join(edges, keys).groupBy(*keys, _bin_of(F.col("Value")).alias("bin")).agg(F.sum("n").alias("n"))
+    binned, _ = with_statistics(counted, edges, keys)
+    # Counts are added up in each task before they meet, so a hot group or bin sends few rows.
+    filled = binned.groupBy(*keys, _bin_of(F.col("Value")).alias("bin")).agg(F.sum("n").alias("n"))
     every_bin = edges.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("bin"))
     upper = F.when(F.col("bin") == last, F.col("stop")).otherwise(F.col("start") + (F.col("bin") + 1) * F.col("width"))
     return every_bin.join(filled, [*keys, "bin"], "left").select(
@@ -177,27 +173,27 @@ def histograms(
 
 def _boxes(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     quartiles = order_statistics(positions(counted, keys), keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    quartiles = statistics_side(quartiles, keys[:-1])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("Value").between(F.col("q1") - reach, F.col("q3") + reach)
+    joined, spread = with_statistics(counted, quartiles, keys)
+    boxes = group_sums(
+        joined,
+        keys,
+        spread,
+        {"outliers": F.when(near, 0).otherwise(F.col("n"))},
+        same={c: F.col(c) for c in ("q1", "median", "q3")},
+        least={"nearest": F.when(near, F.col("Value"))},
+        most={"farthest": F.when(near, F.col("Value"))},
+    )
     # A whisker never ends inside the box.
-    return (
-        counted.join(quartiles, keys)
-        .groupBy(*keys, "q1", "median", "q3")
-        .agg(
-            F.min(F.when(near, F.col("Value"))).alias("nearest"),
-            F.max(F.when(near, F.col("Value"))).alias("farthest"),
-            F.sum(F.when(near, 0).otherwise(F.col("n"))).alias("outliers"),
-        )
-        .select(
-            *keys,
-            "q1",
-            "median",
-            "q3",
-            F.least(F.col("nearest"), F.col("q1")).alias("whisker_lo"),
-            F.greatest(F.col("farthest"), F.col("q3")).alias("whisker_hi"),
-            "outliers",
-        )
+    return boxes.select(
+        *keys,
+        "q1",
+        "median",
+        "q3",
+        F.least(F.col("nearest"), F.col("q1")).alias("whisker_lo"),
+        F.greatest(F.col("farthest"), F.col("q3")).alias("whisker_hi"),
+        "outliers",
     )
 
 
@@ -212,9 +208,13 @@ def boxplots(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
 def outliers(df: DataFrame, columns: Sequence[str], ids: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows beyond the whiskers: (by..., ids..., Stat, Value).
 
-    Rows meet the box of their metric and group, one row each, where they are.
+    The outlying values are found among the counted ones; rows then meet their own
+    value, not their group, so a hot group does not gather anywhere.
     """
     counted, keys = _counted(df, columns, by)
     boxes = _boxes(counted, keys).select(*keys, "whisker_lo", "whisker_hi")
     beyond = ~F.col("Value").between(F.col("whisker_lo"), F.col("whisker_hi"))
-    return to_long(df, [*by, *ids], columns).join(statistics_side(boxes, by), keys).where(beyond).select(*by, *ids, "Stat", "Value")
+    joined, _ = with_statistics(counted, boxes, keys)
+    marks = durable(joined.where(beyond).select(*keys, "Value", "n", F.lit(True).alias("_beyond")))
+    rows = join_by_value(to_long(df, [*by, *ids], columns), counted, marks, [*keys, "Value"], "inner")
+    return rows.select(*by, *ids, "Stat", "Value")

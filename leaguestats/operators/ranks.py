@@ -6,17 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..checkpoints import SMALL_ROWS
+from ..checkpoints import durable
 from ..functions.registry import LEADER_KEYS, LOW_IS_GOOD, MATRIX_DROP, ORDER, ranked_metrics
-from .distribution import counted_values, positions
+from .distribution import counted_values, join_by_value, positions
 from .frames import relabel, select_existing, to_long, to_wide
 from .totals import add_dimension
 
 
-# A value held by more than one in this many rows counts as frequent.
-_SHARE = 10_000
-
-
 def rank_long(
     df: DataFrame,
     metrics: Sequence[str],
@@ -37,26 +33,9 @@ def rank_long(
     rank = F.when(F.col("Stat").isin(list(low_is_good)), F.col("below") + 1).otherwise(
         F.col("total") - F.col("below") - F.col("n") + 1
     )
-    ranks = positions(counted, keys).select(*keys, "Value", "n", rank.alias("Rank"))
-    return _with_ranks(long, counted, ranks, [*keys, "Value"]).select(*within, *ids, "Stat", "Value", "Rank")
-
-
-def _with_ranks(long: DataFrame, counted: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of the rows with the rank of their value.
-
-    Few distinct values are broadcast whole.  Otherwise the values that hold
-    more than a ``_SHARE``-th of all rows are broadcast, fewer than ``_SHARE``
-    by their definition, and only the other rows are shuffled to their value:
-    no key of that join is hot, and rows without a value are not moved at all.
-    """
-    size, rows = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if size <= SMALL_ROWS:
-        return long.join(F.broadcast(ranks.drop("n")), on, "left")
-    frequent = F.col("n") * _SHARE > rows
-    tagged = long.join(F.broadcast(ranks.where(frequent).drop("n")), on, "left")
-    open_ = F.col("Value").isNotNull() & F.col("Rank").isNull()
-    rest = tagged.where(open_).drop("Rank").join(ranks.where(~frequent).drop("n"), on)
-    return tagged.where(~open_).unionByName(rest)
+    # Kept once: the values are counted, and the frequent and the other ones are joined apart.
+    ranks = durable(positions(counted, keys).select(*keys, "Value", "n", rank.alias("Rank")))
+    return join_by_value(long, counted, ranks, [*keys, "Value"]).select(*within, *ids, "Stat", "Value", "Rank")
 
 
 def rank_metrics(

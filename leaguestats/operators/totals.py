@@ -12,8 +12,8 @@ from ..functions.schemas import PLAYER_KEY
 from .frames import select_existing
 
 # Fractional columns are summed as decimals: the total does not depend on the
-# order in which partitions arrive.
-EXACT_SUMS = {"IP": "decimal(18,2)"}
+# order in which partitions arrive.  Nine places hold any notation of thirds.
+EXACT_SUMS = {"IP": "decimal(27,9)"}
 
 
 def in_teams(df: DataFrame, teams: Sequence[str] | DataFrame, column: str = "Team") -> DataFrame:
@@ -79,7 +79,11 @@ def team_totals(df: DataFrame, kind: str, by: Sequence[str] = ("Team",)) -> Data
 
 def career_totals(df: DataFrame, kind: str) -> DataFrame:
     """Totals of each (Team, Name, No) over all seasons, with career rates."""
-    totals = sum_by(df, PLAYER_KEY, CAREER_SUMS[kind])
+    return finish_career(sum_by(df, PLAYER_KEY, CAREER_SUMS[kind]), kind)
+
+
+def finish_career(totals: DataFrame, kind: str) -> DataFrame:
+    """Summed seasons to a career: innings repaired, rates added.  The sums may come from partial ones."""
     if "IP" in totals.columns:
         totals = totals.withColumn("IP", repair_innings(F.col("IP")))
     return add_metrics(totals, kind, CAREER)

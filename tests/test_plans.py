@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leaguestats import checkpoints, standins
 from leaguestats.functions.schemas import HITTER, PITCHER
-from leaguestats.operators import compare, profile, ranks, totals
+from leaguestats.operators import compare, distribution, profile, ranks, totals
 from leaguestats.operators.distribution import counted_values, positions
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -102,3 +102,63 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert folder == checkpoints.shared_folder(spark) and (named is None or folder == named)
     made = checkpoints.durable(spark.range(5).withColumn("part", F.spark_partition_id()))
     assert made.count() == 5 and all(folder.removeprefix("file:").strip("/") in f for f in made.inputFiles())
+
+
+@pytest.fixture
+def large_statistics(spark, many_ranges, monkeypatch):
+    """Nothing counts as small, so statistics meet values by shuffle."""
+    monkeypatch.setattr(checkpoints, "is_small", lambda frame: False)
+    monkeypatch.setattr("leaguestats.operators.distribution.SMALL_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture(scope="module")
+def hot_team(spark):
+    """One of 40 teams holds nine tenths of the values, nearly all of them different."""
+    team = F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 390).cast("string")))
+    value = F.when(F.col("id") % 97 == 0, F.col("id") * 1000.0).otherwise((F.col("id") * 7919 % 100_003) / 7.0)
+    return spark.range(40_000).select(team.alias("Team"), F.col("id").cast("string").alias("No"), value.alias("PA"))
+
+
+def test_statistics_of_a_hot_group_meet_its_values_by_range(hot_team, large_statistics):
+    counted, keys = profile._counted(hot_team, ["PA"], ["Team"])
+    boxes = profile._boxes(counted, keys)
+    joined, spread = distribution.with_statistics(counted, boxes, keys)
+    assert spread
+    for df in (profile.describe_stats(hot_team, ["PA"], by=["Team"]), boxes):
+        text = plan(df)
+        assert "Broadcast" not in text and "SinglePartition" not in text
+        assert re.search(r"SortMergeJoin \[Team#\d+, Stat#\d+, range#\d+\]", text)
+        # Values are added up where the join left them, and then a group's few rows together.
+        partial = re.findall(r"(?:Hash|Sort|ObjectHash)Aggregate\(keys=\[([^\]]*)\]", text)
+        assert any("range#" in keys for keys in partial[:4]) and "range#" not in partial[0]
+    # No task of the join holds more than its share of the hot team.
+    tasks = [r.n for r in joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= 5 and max(tasks) < 0.5 * sum(tasks)
+
+
+def test_profiles_of_a_hot_group_are_exact(hot_team, large_statistics):
+    frame = hot_team.toPandas().groupby("Team").PA
+    described = profile.describe_stats(hot_team, ["PA"], by=["Team"]).toPandas().set_index("Team").sort_index()
+    expected = frame.describe()
+    for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("max", "max")):
+        assert described[ours].tolist() == pytest.approx(expected[theirs].tolist(), rel=1e-9)
+    found = profile.outliers(hot_team, ["PA"], ids=["No"], by=["Team"]).toPandas()
+    low, high = frame.quantile(0.25), frame.quantile(0.75)
+    rows = hot_team.toPandas()
+    reach = 1.5 * (high - low)
+    beyond = rows[(rows.PA < rows.Team.map(low - reach)) | (rows.PA > rows.Team.map(high + reach))]
+    assert sorted(found.No) == sorted(beyond.No) and len(found) > 200
+    boxes = profile.boxplots(hot_team, ["PA"], by=["Team"]).toPandas().set_index("Team")
+    assert boxes.outliers.to_dict() == beyond.groupby("Team").size().reindex(boxes.index, fill_value=0).to_dict()
+    bins = profile.histograms(hot_team, ["PA"], bins=7, by=["Team"]).groupBy("Team").agg(F.sum("n").alias("n")).toPandas()
+    assert dict(zip(bins.Team, bins.n)) == frame.size().to_dict()
+
+
+def test_rows_meet_a_hot_outlying_value(spark, large_statistics):
+    # A fifth of the rows share one outlying value.
+    rows = spark.range(20_000).select(F.lit("a").alias("Team"), F.col("id").alias("No"), F.when(F.col("id") % 5 == 0, 1e6).otherwise(F.col("id") % 1000).alias("PA"))
+    found = profile.outliers(rows, ["PA"], ids=["No"], by=["Team"])
+    assert found.count() == 4_000 and found.where("Value = 1e6 and No % 5 = 0").count() == 4_000
