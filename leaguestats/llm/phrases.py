@@ -75,7 +75,8 @@ def parsed(docs: DataFrame, overlap: int, modulus: int) -> DataFrame:
 def _keys(words: Words, langs: pa.Array, owner: np.ndarray, size: int) -> np.ndarray:
     """Hash of language and phrase for each word that a phrase of ``size`` words may start at."""
     tongue = langs.dictionary_encode()
-    salt = mix(word_hashes(tongue.dictionary))[tongue.indices.to_numpy(zero_copy_only=False)]
+    # Hashed once more than a word: a language may be called like a word of another.
+    salt = mix(~mix(word_hashes(tongue.dictionary)))[tongue.indices.to_numpy(zero_copy_only=False)]
     keys = chained(words.hashes()[words.codes], size)
     return keys ^ salt[owner[: len(keys)]]
 

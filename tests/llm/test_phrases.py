@@ -46,7 +46,7 @@ def brute(rows, least, longest=5, top=2000):
 
 def texts(seed, rows=150):
     draw = random.Random(seed)
-    common = [f"w{i}" for i in range(8)] + ["É", "x²", "A\x00b", "'", "…"]
+    common = [f"w{i}" for i in range(6)] + ["en", "de"] + ["É", "x²", "A\x00b", "'", "…"]
     made = []
     for i in range(rows):
         words = [draw.choice(common) if draw.random() < 0.8 else f"rare{draw.randrange(400)}" for _ in range(draw.randrange(120))]
