@@ -113,7 +113,7 @@ def _deal_words(bits: int) -> Callable:
 def _places(model: Model, words: Words) -> np.ndarray:
     """Numbers of the distinct words and of the end, -1 for unknown ones."""
     held = sorted_parts(model.folder, "words", ("words_n", "left", "after"), model.word_sizes)
-    return held.find(np.concatenate((words.hashes(), word_hashes(pa.array([END])))))
+    return held.find(np.concatenate((words.hashes, word_hashes(pa.array([END])))))
 
 
 def _pairs(places: np.ndarray, codes: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:

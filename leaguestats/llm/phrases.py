@@ -24,6 +24,7 @@ from leaguestats.llm.wordarrays import Words, chained, gathered, mix, one_array,
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"  # fixed value: what ends a piece
 _COUNTED = "lang string, phrase string, size int, n long"
+_BATCH = 8 << 20  # bytes that a task counts at once; more of them repeat each other less
 
 
 def _strings(names: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -36,7 +37,7 @@ def _strings(names: pa.Array, codes: np.ndarray, starts: np.ndarray, lengths: np
 
 def _parse(overlap: int, modulus: int) -> Callable:
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches):
+        for table in gathered(batches, _BATCH):
             texts = pc.replace_substring_regex(pc.fill_null(one_array(table["text"]), ""), BREAKS, " . ")
             words = Words(texts)
             mark = words.names.index(".").as_py()
@@ -47,7 +48,7 @@ def _parse(overlap: int, modulus: int) -> Callable:
             if not len(codes):
                 continue
             opens = np.concatenate(([True], piece[1:] != piece[:-1]))
-            chosen = chained(words.hashes()[codes], overlap) % np.uint64(modulus) == 0
+            chosen = chained(words.hashes[codes], overlap) % np.uint64(modulus) == 0
             chosen &= piece[: len(chosen)] == piece[overlap - 1 :][: len(chosen)]
             trigger = np.zeros(len(codes), bool)
             trigger[: len(chosen)] = chosen
@@ -77,7 +78,7 @@ def _keys(words: Words, langs: pa.Array, owner: np.ndarray, size: int) -> np.nda
     tongue = langs.dictionary_encode()
     # Hashed once more than a word: a language may be called like a word of another.
     salt = mix(~mix(word_hashes(tongue.dictionary)))[tongue.indices.to_numpy(zero_copy_only=False)]
-    keys = chained(words.hashes()[words.codes], size)
+    keys = chained(words.hashes[words.codes], size)
     return keys ^ salt[owner[: len(keys)]]
 
 
@@ -90,7 +91,7 @@ def _count(sizes: Sequence[int], overlap: int, gate: tuple[str, str, int, tuple[
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches):
+        for table in gathered(batches, _BATCH):
             words, langs = Words(one_array(table["chunk"])), one_array(table["lang"])
             lengths = np.diff(words.starts)
             owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -130,7 +131,7 @@ def _counted(chunks: DataFrame, sizes: Sequence[int], overlap: int, gate: tuple
 
 def _deal_phrases(size: int, bits: int) -> Callable:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches):
+        for table in gathered(batches, _BATCH):
             words = Words(one_array(table["phrase"]))
             langs = one_array(table["lang"])
             starts = words.starts[:-1]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leaguestats.checkpoints import Scratch, durable
+from leaguestats.llm.wordarrays import one_array
 
 LETTERS = r"[A-Za-zÀ-ÿ]+"  # fixed value: what a run is made of
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,8 +119,7 @@ def _region_starts(table: pa.Table) -> np.ndarray:
     for name in ("size", "front", "back"):
         column = table[name].to_numpy()
         changed[1:] |= column[1:] != column[:-1]
-    keys = table["key"].combine_chunks().dictionary_encode().combine_chunks() if len(table) else table["key"]
-    codes = keys.indices.to_numpy(zero_copy_only=False)
+    codes = one_array(table["key"]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
     changed[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(changed)
 
@@ -209,7 +209,8 @@ def _descend(lists: _Lists, common: np.ndarray, query: np.ndarray) -> tuple[np.n
         distance[inside] = cells[inside, column[inside]]
         hits.append((query[distance == 1], low[distance == 1]))
         # Ranges that share one more letter start where neighbours share no more than this many.
-        turns = np.flatnonzero(common <= depth)
+        least, most = low.min(), high.max()
+        turns = np.flatnonzero(common[least:most] <= depth) + least
         first, last = np.searchsorted(turns, low + ended), np.searchsorted(turns, high)
         first = np.where(low + ended < high, first, last)
         n = np.maximum(last - first, 0)
@@ -218,7 +219,7 @@ def _descend(lists: _Lists, common: np.ndarray, query: np.ndarray) -> tuple[np.n
         parent = np.repeat(np.arange(len(query)), n)
         at = np.arange(len(parent)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         low = turns[at]
-        high = np.minimum(np.concatenate((turns[1:], [len(common)]))[at], high[parent])
+        high = np.minimum(np.concatenate((turns[1:], [most]))[at], high[parent])
         query, old = query[parent], cells[parent]
         letter = lists.letter(low, depth)
         other = [(lists.letter(query, depth + k) != letter).astype(np.int64) for k in (-1, 0, 1)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +56,14 @@ class Words:
             codes = codes[real]
         self.codes, self.starts, self.names = codes, ends, coded.dictionary
 
+    @cached_property
     def hashes(self) -> np.ndarray:
         """64-bit hashes of ``names``, the same in every process."""
         return word_hashes(self.names)
 
 
 def word_hashes(names: pa.Array) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(name) for name in names.to_pylist()), np.uint64, len(names))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_numpy(zero_copy_only=False)), np.uint64, len(names))
 
 
 def mix(numbers: np.ndarray) -> np.ndarray:
