@@ -88,6 +88,7 @@ def test_groups_match_brute_force(spark):
     base += ["".join(draw.choice("abc") for _ in range(6)) for _ in range(40)]
     rows = [(i, " ".join(draw.choice(base) + draw.choice(["", "1", "×", "÷ö", "ß"]) for _ in range(60))) for i in range(80)]
     rows += [(None, "colour colour"), (1, None), (1, ""), (2, "123 -- 日本語"), (2, "colour"), (2, "colour")]
+    rows += [(7, "chaina " * 4 + "chainab " * 9 + "chainabc " * 20)]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, WORD int").repartition(6)
     for every in (None, 3):
         expected = brute(rows, every)
