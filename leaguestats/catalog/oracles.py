@@ -105,7 +105,7 @@ def _p_rates(source: str) -> str:
       {_div("ha + bb + hbp", "ab + bb + hbp + sf")} AS obp FROM {source}))"""
 
 
-_IP_SUM = "CAST(sum(CAST(ip AS DECIMAL(18,2))) AS DOUBLE) AS ip"
+_IP_SUM = "CAST(sum(CAST(ip AS DECIMAL(27,9))) AS DOUBLE) AS ip"
 _REPAIRED = "CASE WHEN abs(ip % 1e0 - 0.99e0) <= 0.01e0 + 1e-5 * 0.99e0 THEN ceil(ip) ELSE ip END"
 
 
@@ -186,6 +186,14 @@ ORACLES["rank_players_batting"] = (
 ORACLES["rank_players_pitching"] = (
     f"{PLAYER_P} SELECT {YK}, {_wide_ranks(P_COLS)} FROM {_ranked(_PK, P_COLS, _P_LOW)} GROUP BY {_PK}"
 )
+
+
+def _top(head: str, cols: dict[str, str], low: tuple[str, ...]) -> str:
+    return f'{head} SELECT {YK}, stat AS "Stat", val AS "Value", rk AS "Rank" FROM {_ranked(_PK, cols, low)} WHERE rk <= 10'
+
+
+ORACLES["top_ranks_batting"] = _top(PLAYER_H, H_COLS, _H_LOW)
+ORACLES["top_ranks_pitching"] = _top(PLAYER_P, P_COLS, _P_LOW)
 _SHORT = "(SELECT n_name, CASE WHEN n_regionkey <> 0 THEN concat('T', CAST(n_nationkey AS VARCHAR)) END AS short FROM nation)"
 
 
@@ -279,6 +287,17 @@ FROM d GROUP BY {by}"""
 FACTS = {c: c for c in ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]}
 ORACLES["describe_batting"] = _describe(PLAYER_H + ",", _long("1 AS one", PROFILE_H), "stat", "")
 ORACLES["describe_pitching"] = _describe(PLAYER_P + ",", _long("yr", PROFILE_P), "yr, stat", 'yr AS "Year",')
+ORACLES["describe_by_team"] = _describe(PLAYER_H + ",", _long("yr, team", PROFILE_H), "yr, team, stat", 'yr AS "Year", team AS "Team",')
+
+
+def _sketched(head: str, long: str) -> str:
+    """What is exact of a sketched description; the quartiles lie at their ranks."""
+    near = ", ".join(f"true AS q{q}_near" for q in (25, 50, 75))
+    return f'{head} SELECT stat AS "Stat", count(*) AS count, min(val) AS min, max(val) AS max, {near} FROM {long} WHERE val IS NOT NULL GROUP BY stat'
+
+
+ORACLES["approx_quartiles"] = _sketched(PLAYER_P, _long("1 AS one", PROFILE_P))
+ORACLES["approx_facts"] = _sketched("", _long("1 AS one", FACTS, "lineitem"))
 ORACLES["describe_facts"] = _describe("WITH", _long("1 AS one", FACTS, "lineitem"), "stat", "")
 
 
@@ -311,23 +330,37 @@ ORACLES["histogram_fixed"] = _histogram("WITH", _long("1 AS one", FACTS, "lineit
 ORACLES["histogram_auto"] = _histogram(
     PLAYER_H + ",", _long("1 AS one", PROFILE_H), "stat", "", _auto([])
 )
+ORACLES["histogram_by_team"] = _histogram(
+    PLAYER_H + ",", _long("team", _pick(PROFILE_H, ["AVG", "OPS", "PA"])), "team, stat", 'b.team AS "Team",', "10"
+)
 ORACLES["histogram_events"] = _histogram(
     "WITH", "(SELECT event_type, 'value' AS stat, value AS val FROM events)", "event_type, stat", "b.event_type,", _auto([])
 )
 
 _NEAR = "val >= q1 - 1.5e0 * (q3 - q1) AND val <= q3 + 1.5e0 * (q3 - q1)"
-# One pass over the values: places, then quartiles and whiskers as windows over the group.
-_BOX = f"""{PLAYER_P}, long AS MATERIALIZED {_long(_PK, PROFILE_P)}, q AS MATERIALIZED {_placed("yr, stat", "long")},
-s AS MATERIALIZED (SELECT yr, stat, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS med, {_quantile(0.75)} AS q3 FROM q GROUP BY yr, stat),
-y AS MATERIALIZED (SELECT q.*, q1, med, q3 FROM q JOIN s USING (yr, stat)),
+
+
+def _boxed(head: str, long: str, by: str) -> str:
+    """One pass over the values: places, then quartiles and whiskers as windows over the group."""
+    return f"""{head}, long AS MATERIALIZED {long}, q AS MATERIALIZED {_placed(by, "long")},
+s AS MATERIALIZED (SELECT {by}, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS med, {_quantile(0.75)} AS q3 FROM q GROUP BY {by}),
+y AS MATERIALIZED (SELECT q.*, q1, med, q3 FROM q JOIN s USING ({by})),
 x AS MATERIALIZED (SELECT *,
   least(q1, min(CASE WHEN {_NEAR} THEN val END) OVER g) AS wl,
   greatest(q3, max(CASE WHEN {_NEAR} THEN val END) OVER g) AS wh
-  FROM y WINDOW g AS (PARTITION BY yr, stat))"""
-ORACLES["boxplot"] = f"""{_BOX} SELECT yr AS "Year", stat AS "Stat", {_round("q1", 6)} AS q1, {_round("med", 6)} AS median,
+  FROM y WINDOW g AS (PARTITION BY {by}))"""
+
+
+def _box_rows(boxed: str, by: str, ids: str) -> str:
+    return f"""{boxed} SELECT {ids}, stat AS "Stat", {_round("q1", 6)} AS q1, {_round("med", 6)} AS median,
   {_round("q3", 6)} AS q3, {_round("wl", 6)} AS whisker_lo, {_round("wh", 6)} AS whisker_hi,
   CAST(count_if(val < wl OR val > wh) AS BIGINT) AS outliers
-FROM x GROUP BY yr, stat, q1, med, q3, wl, wh"""
+FROM x GROUP BY {by}, q1, med, q3, wl, wh"""
+
+
+_BOX = _boxed(PLAYER_P, _long(_PK, PROFILE_P), "yr, stat")
+ORACLES["boxplot"] = _box_rows(_BOX, "yr, stat", 'yr AS "Year"')
+ORACLES["boxplot_by_team"] = _box_rows(_boxed(PLAYER_H, _long("team", PROFILE_H), "team, stat"), "team, stat", 'team AS "Team"')
 ORACLES["outliers"] = f'{_BOX} SELECT {YK}, stat AS "Stat", val AS "Value" FROM x WHERE val < wl OR val > wh'
 
 # --- reshaping and comparison -----------------------------------------------
@@ -352,6 +385,8 @@ ORACLES["minmax_scale"] = f"{TEAM_P} SELECT {_YTSV} FROM {_scaled(P_COLS)}"
 ORACLES["compare_two"] = f"{TEAM_H} SELECT {_YTSV} FROM {_scaled(_COMPARE_H)} {_TWO}"
 ORACLES["compare_two_table"] = f"{TEAM_H} SELECT {YT}, {_as(_COMPARE_H)} FROM v {_TWO} ORDER BY yr, team"
 ORACLES["compare_all"] = f"{TEAM_H} SELECT {_YTSV} FROM {_scaled(_COMPARE_H)}"
+ORACLES["compare_two_pitching"] = f"{TEAM_P} SELECT {_YTSV} FROM {_scaled(_COMPARE_P)} {_TWO}"
+ORACLES["compare_two_pitching_table"] = f"{TEAM_P} SELECT {YT}, {_as(_COMPARE_P)} FROM v {_TWO} ORDER BY yr, team"
 ORACLES["compare_all_pitching"] = f"{TEAM_P} SELECT {_YTSV} FROM {_scaled(_COMPARE_P)}"
 _SHEET_H = _ranked("yr, team", H_COLS, _H_LOW)
 ORACLES["team_sheet"] = f'{TEAM_H} SELECT {_YTSV}, rk AS "Rank" FROM {_SHEET_H}'
@@ -371,35 +406,67 @@ P_LABELS = {
     "AB": "타수", "P": "투구수", "HA": "피안타", "HR": "피홈런", "SH": "희타", "SF": "희비", "BB": "볼넷", "IBB": "고의4구",
     "HBP": "사구", "WP": "폭투", "BK": "보크", "R": "실점", "ER": "자책점", "K9": "탈삼진율",
 }
-_H_LABEL = "CASE stat " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in H_LABELS.items()) + " END"
-_H_PLACE = "CASE stat " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(H_COLS)) + " END"
 
 
-def _joined(text: str) -> str:
-    return f"string_agg({text}, ', ' ORDER BY {_H_PLACE})"
+def _cases(values: dict[str, object], text: bool) -> str:
+    return "CASE stat " + " ".join(f"WHEN '{k}' THEN " + (f"'{v}'" if text else str(v)) for k, v in values.items()) + " END"
+
+
+def _joined(text: str, cols: dict[str, str]) -> str:
+    place = _cases({k: i for i, k in enumerate(cols)}, False)
+    return f"string_agg({text}, ', ' ORDER BY {place})"
+
+
+def _digest(head: str, cols: dict[str, str], low: tuple[str, ...], names: dict[str, str]) -> str:
+    entry = f"concat({_cases(names, True)}, ': ', coalesce(CAST(val AS VARCHAR), '-'), ' [', coalesce(CAST(rk AS VARCHAR), '-'), '위]')"
+    return f"{head} SELECT {YT}, {_joined(entry, cols)} AS digest FROM {_ranked('yr, team', cols, low)} GROUP BY yr, team"
+
+
+ORACLES["team_digest"] = _digest(TEAM_H, H_COLS, _H_LOW, H_LABELS)
+ORACLES["team_digest_pitching"] = _digest(TEAM_P, P_COLS, _P_LOW, P_LABELS)
+
+_FULL_P = f"{PLAYER_P}, full_rows AS (SELECT * FROM v WHERE {_COMPLETE})"
+
 
+def _league(head: str, long: str) -> str:
+    return f"""{head}, q AS {_placed("yr, stat", long)},
+m AS (SELECT yr, stat, {_round(_MEAN, 3)} AS mean, {_round(_quantile(0.5), 3)} AS median FROM q GROUP BY yr, stat)"""
 
-_ENTRY = f"concat({_H_LABEL}, ': ', coalesce(CAST(val AS VARCHAR), '-'), ' [', coalesce(CAST(rk AS VARCHAR), '-'), '위]')"
-ORACLES["team_digest"] = f"{TEAM_H} SELECT {YT}, {_joined(_ENTRY)} AS digest FROM {_SHEET_H} GROUP BY yr, team"
-_DIGEST_H = _pick(H_COLS, ["AVG", "OBP", "SLG", "OPS", "PA", "H", "SO"])
-ORACLES["league_digest"] = f"""{PLAYER_H}, q AS {_placed("yr, stat", _long("yr", _DIGEST_H))},
-m AS (SELECT yr, stat, {_round(_MEAN, 3)} AS mean, {_round(_quantile(0.5), 3)} AS median FROM q GROUP BY yr, stat)
-SELECT yr AS "Year", {_joined(f"concat({_H_LABEL}, ': ', CAST(mean AS VARCHAR))")} AS means,
-  {_joined(f"concat({_H_LABEL}, ': ', CAST(median AS VARCHAR))")} AS medians FROM m GROUP BY yr"""
 
-_CONTEXT = {"No": "no", "Name": "name", "PA": "pa", "AVG": "avg_", "AB": "ab", "H": "h", "HR": "hr", "BB": "bb", "SO": "so"}
-_CSV_LINE = "concat_ws(',', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _CONTEXT.values()) + ")"
-_CSV_TEXT = f"concat('{','.join(_CONTEXT)}', chr(10), string_agg({_CSV_LINE}, chr(10) ORDER BY place), chr(10)) AS context"
-_LEADERS = "ORDER BY pa DESC NULLS LAST, avg_ DESC NULLS LAST, name, no, yr"
-ORACLES["team_context"] = f"""{PLAYER_H}, p AS (SELECT *, row_number() OVER (PARTITION BY team {_LEADERS}) AS place FROM v)
-SELECT team AS "Team", {_CSV_TEXT} FROM p WHERE place <= 30 GROUP BY team"""
-ORACLES["league_context"] = f"""{PLAYER_H}, p AS (SELECT *, row_number() OVER ({_LEADERS}) AS place FROM v)
-SELECT {_CSV_TEXT} FROM p WHERE place <= 30"""
+def _league_digest(league: str, cols: dict[str, str], names: dict[str, str]) -> str:
+    def line(column: str) -> str:
+        return _joined(f"concat({_cases(names, True)}, ': ', CAST({column} AS VARCHAR))", cols) + f" AS {column}s"
 
-_MEDIANS = "concat_ws(',', " + ", ".join(f"CAST(max(CASE WHEN stat = '{k}' THEN median END) AS VARCHAR)" for k in _DIGEST_H) + ")"
-ORACLES["median_context"] = f"""{PLAYER_H}, q AS {_placed("yr, stat", _long("yr", _DIGEST_H))},
-m AS (SELECT yr, stat, {_round(_quantile(0.5), 3)} AS median FROM q GROUP BY yr, stat)
-SELECT yr AS "Year", concat('{",".join(H_LABELS[k] for k in _DIGEST_H)}', chr(10), {_MEDIANS}, chr(10)) AS context FROM m GROUP BY yr"""
+    return f'{league} SELECT yr AS "Year", {line("mean")}, {line("median")} FROM m GROUP BY yr'
+
+
+def _league_context(league: str, cols: dict[str, str], names: dict[str, str]) -> str:
+    medians = "concat_ws(',', " + ", ".join(f"CAST(max(CASE WHEN stat = '{k}' THEN median END) AS VARCHAR)" for k in cols) + ")"
+    titles = ",".join(names[k] for k in cols)
+    return f"{league} SELECT yr AS \"Year\", concat('{titles}', chr(10), {medians}, chr(10)) AS context FROM m GROUP BY yr"
+
+
+_LEAGUE_H, _LEAGUE_P = _league(PLAYER_H, _long("yr", H_COLS)), _league(_FULL_P, _long("yr", P_COLS, "full_rows"))
+ORACLES["league_digest"] = _league_digest(_LEAGUE_H, H_COLS, H_LABELS)
+ORACLES["league_digest_pitching"] = _league_digest(_LEAGUE_P, P_COLS, P_LABELS)
+ORACLES["median_context"] = _league_context(_LEAGUE_H, H_COLS, H_LABELS)
+ORACLES["median_context_pitching"] = _league_context(_LEAGUE_P, P_COLS, P_LABELS)
+
+
+def _contexts(head: str, cols: dict[str, str], first: str, by: str) -> str:
+    shown = {"No": "no", "Name": "name"} | cols
+    line = "concat_ws(',', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in shown.values()) + ")"
+    text = f"concat('{','.join(shown)}', chr(10), string_agg({line}, chr(10) ORDER BY place), chr(10)) AS context"
+    order = f"ORDER BY {first} DESC NULLS LAST, name, no, yr"
+    part, ids, group = (f"PARTITION BY {by} ", f'{by} AS "Team", ', f" GROUP BY {by}") if by else ("", "", "")
+    return f"{head}, p AS (SELECT *, row_number() OVER ({part}{order}) AS place FROM v) SELECT {ids}{text} FROM p WHERE place <= 30{group}"
+
+
+_FIRST_H, _FIRST_P = "pa DESC NULLS LAST, avg_", "ip DESC NULLS LAST, era"
+ORACLES["team_context"] = _contexts(PLAYER_H, H_COLS, _FIRST_H, "team")
+ORACLES["team_context_pitching"] = _contexts(PLAYER_P, P_COLS, _FIRST_P, "team")
+ORACLES["league_context"] = _contexts(PLAYER_H, H_COLS, _FIRST_H, "")
+ORACLES["league_context_pitching"] = _contexts(PLAYER_P, P_COLS, _FIRST_P, "")
 
 # --- schedule ---------------------------------------------------------------
 
@@ -471,9 +538,13 @@ _HEADERS = {
 ORACLES["header_normalize"] = (
     f'WITH {BAT} SELECT yr AS "Year", ' + ", ".join(f'CAST({c} AS VARCHAR) AS "{h}"' for h, c in _HEADERS.items()) + " FROM bat"
 )
-ORACLES["conform"] = f"""{PLAYER_H} SELECT {YK},
-  CASE WHEN bb = 3 THEN NULL ELSE avg_ END AS "AVG", g AS "G", CASE WHEN hr = 0 THEN pa * 1000 + 7 ELSE pa END AS "PA",
-  CASE WHEN pa % 11 = 0 THEN NULL ELSE h END AS "H", b2 AS "2B", slg AS "SLG",
+_TYPED = {"G": "g"} | H_COLS | _H_EXTRA
+_CHANGED = {
+    "AVG": "CASE WHEN bb = 3 THEN NULL ELSE avg_ END",
+    "PA": "CASE WHEN hr = 0 THEN pa * 1000 + 7 ELSE pa END",
+    "H": "CASE WHEN pa % 11 = 0 THEN NULL ELSE h END",
+}
+ORACLES["conform"] = f"""{PLAYER_H} SELECT {YK}, {_as(_TYPED | _CHANGED)},
   CASE WHEN pa % 11 = 0 THEN '총안타 is not bigint: x' END AS error FROM v"""
 ORACLES["null_sentinels"] = f"""{CAREER_P} SELECT {KEY}, CAST(era AS VARCHAR) AS "ERA", CASE WHEN sv = 0 THEN NULL ELSE CAST(sv AS VARCHAR) END AS "SV" FROM v"""
 ORACLES["relabel"] = (
@@ -493,12 +564,19 @@ FROM {_long('team, name, no', P_COLS)}"""
 
 # --- pages and snapshots ----------------------------------------------------
 
-_CELLS = {"타율": "avg_", "게임수": "g", "타석": "pa", "총안타": "h", "도실 (도루자)": "cs", "출루율": "obp", "OPS": "ops"}
-ORACLES["extract_hitter_pages"] = (
-    f"{PLAYER_H} SELECT {YT}, CAST(0 AS INT) AS table_no, concat('P', no, '(', no, ')') AS \"이름\", "
+_CELLS = {
+    "타율": "avg_", "게임수": "g", "타석": "pa", "타수": "ab", "득점": "r", "총안타": "h", "1루타": "b1", "2루타": "b2",
+    "3루타": "b3", "홈런": "hr", "루타": "tb", "타점": "rbi", "도루": "sb", "도실 (도루자)": "cs", "희타": "sh",
+    "희비": "sf", "볼넷": "bb", "고의4구": "ibb", "사구": "hbp", "삼진": "so", "병살": "dp", "장타율": "slg",
+    "출루율": "obp", "도루성공률": "sbp", "멀티히트": "mhit", "OPS": "ops", "BB/K": "bb_k", "장타/안타": "xbh_h",
+}
+_PAGE_CELLS = (
+    "'1' AS \"순위\", concat('P', no, '(', no, ')') AS \"이름\", "
     + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS \"{h}\"" for h, c in _CELLS.items())
-    + ", CAST(NULL AS VARCHAR) AS error FROM v"
+    + ", CAST(NULL AS VARCHAR) AS error"
 )
+ORACLES["extract_hitter_pages"] = f"{PLAYER_H} SELECT {YT}, CAST(0 AS INT) AS table_no, {_PAGE_CELLS} FROM v"
+ORACLES["folder_of_pages"] = f"{PLAYER_H} SELECT {YT}, {_PAGE_CELLS} FROM v"
 ORACLES["extract_raw_pages"] = """SELECT page_id, url, CAST(NULL AS INT) AS table_no, CAST(NULL AS INT) AS row_no, 'no table found' AS error
 FROM pages WHERE NOT contains(lower(html), '<table')"""
 _RECORD = {"G": "g"} | H_COLS | _H_EXTRA
@@ -517,3 +595,73 @@ ORACLES["player_list_pitching"] = f"{PLAYER_P} SELECT {YK}, {_as(P_COLS)} FROM v
 _LABELLED = ", ".join(f'{c} AS "{H_LABELS[n]}"' for n, c in H_COLS.items())
 ORACLES["player_list_career_batting"] = f'{CAREER_H} SELECT team AS "팀", no AS "배번", name AS "성명", {_LABELLED} FROM v'
 ORACLES["player_list_career_pitching"] = f"""{CAREER_P} SELECT no AS "No", name AS "Name", {_as(P_COLS)} FROM v WHERE team = 'NATION_1'"""
+
+# --- loads, views and versions ----------------------------------------------
+
+ORACLES["typed_pitcher_pages"] = f"""{PLAYER_P} SELECT yr AS "Year", concat('P', no) AS "Name", no AS "No", team AS "Team",
+  {_as(_P_RECORD)}, CAST(NULL AS DOUBLE) AS "WPCT" FROM v"""
+_LOST, _UNREAD = "(team LIKE '%1' AND yr % 3 = 0)", "(no LIKE '%7' OR no LIKE '%3')"
+_PAGE = "(team, yr, CAST(no AS INT) // 200)"
+# A page without a table has neither a name cell.
+_NO_TABLE = "no table found; name cell: none"
+
+
+def _load_errors(head: str, first: str) -> str:
+    """Rows of sound pages whose number ends in 7 or 3, and a row for each lost page."""
+    return f"""{head} SELECT {YT}, CASE WHEN no LIKE '%3' THEN concat('P', no) END AS "Name", CASE WHEN no LIKE '%3' THEN no END AS "No",
+  CASE WHEN no LIKE '%7' THEN concat('name cell: P', no) ELSE '{first} is not double: x' END AS error FROM v WHERE NOT {_LOST} AND {_UNREAD}
+UNION ALL SELECT yr, team, NULL, NULL, '{_NO_TABLE}' FROM (SELECT DISTINCT team, yr, CAST(no AS INT) // 200 AS block FROM v WHERE {_LOST})"""
+
+
+ORACLES["load_errors"] = _load_errors(PLAYER_H, "타율")
+ORACLES["load_errors_pitching"] = _load_errors(PLAYER_P, "방어율")
+ORACLES["quarantined_errors"] = f"""{PLAYER_H}, e AS (SELECT *,
+  CASE WHEN no LIKE '%7' THEN concat('name cell: P', no) ELSE '타율 is not double: x' END AS error FROM v WHERE NOT {_LOST} AND {_UNREAD})
+SELECT team AS "Team", yr AS "Year", error, count(*) AS n FROM e GROUP BY team, yr, error"""
+_LOST_PAGES = f"count(DISTINCT CASE WHEN {_LOST} THEN {_PAGE} END)"
+_REPORT = {
+    "pages": f"count(DISTINCT {_PAGE})",
+    "records": f"count_if(NOT {_LOST} AND NOT {_UNREAD})",
+    "errors": f"count_if(NOT {_LOST} AND {_UNREAD}) + {_LOST_PAGES}",
+    "no table": _LOST_PAGES,
+    "name cell": f"count_if(NOT {_LOST} AND no LIKE '%7') + {_LOST_PAGES}",
+    "wrong type": f"count_if(NOT {_LOST} AND no LIKE '%3')",
+    "no rows": "0", "no column": "0", "column twice": "0", "no team": "0", "unreadable": "0",
+}
+ORACLES["load_report"] = f"{PLAYER_H} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS measure, CAST({n} AS BIGINT) AS n" + (" FROM v" if n != "0" else "")
+    for name, n in _REPORT.items()
+)
+
+
+def _season_view(base: str, players: str, teams: str, cols: dict[str, str], low: tuple[str, ...], profiled: str) -> str:
+    """Players, teams, ranks and league values of every season in one long table."""
+    return f"""WITH {base}, pv AS {players}, v AS {teams}, q AS {_placed("yr, stat", _long("yr", cols, profiled))},
+m AS (SELECT yr, stat, {_round(_MEAN, 3)} AS mean, {_round(_quantile(0.5), 3)} AS median FROM q GROUP BY yr, stat),
+r AS {_ranked("yr, team", cols, low)}
+SELECT 'player' AS part, yr AS "Year", team AS "Team", concat('P', no) AS "Name", no AS "No", stat AS "Stat", val AS "Value"
+FROM {_long(_PK, cols, "pv")}
+UNION ALL SELECT 'team', yr, team, NULL, NULL, stat, val FROM r
+UNION ALL SELECT 'rank', yr, team, NULL, NULL, stat, CAST(rk AS DOUBLE) FROM r
+UNION ALL SELECT 'mean', yr, NULL, NULL, NULL, stat, mean FROM m
+UNION ALL SELECT 'median', yr, NULL, NULL, NULL, stat, median FROM m"""
+
+
+ORACLES["season_view_batting"] = _season_view(BAT, _h_rates("bat"), _h_rates(_h_group("yr, team")), H_COLS, _H_LOW, "pv")
+ORACLES["season_view_pitching"] = _season_view(
+    PIT, _p_rates("pit"), _p_rates(_p_group("yr, team")), P_COLS, _P_LOW, f"(SELECT * FROM pv WHERE {_COMPLETE})"
+)
+_MORE_WINS = "CASE WHEN yr = 1995 THEN w + 1 ELSE w END"
+ORACLES["snapshot_versions"] = f"""{PLAYER_P} SELECT {YK}, w AS "W", l AS "L", ip AS "IP", CAST(1 AS INT) AS version FROM v
+UNION ALL SELECT yr, team, name, no, {_MORE_WINS}, l, ip, CAST(2 AS INT) FROM v"""
+
+
+def _later(sql: str) -> str:
+    """The pitchers with one season replaced."""
+    return sql.replace("pit AS (SELECT *,", f"pit AS (SELECT * REPLACE ({_MORE_WINS} AS w),")
+
+
+ORACLES["career_from_partials"] = f"{_later(CAREER_P)} SELECT {KEY}, {_as(P_COLS)} FROM v"
+ORACLES["career_from_buckets"] = ORACLES["career_from_partials"]
+ORACLES["snapshot_sketches"] = f"""{_later(PLAYER_P)} SELECT team AS "Team", stat AS "Stat", count(*) AS count, min(val) AS min, max(val) AS max
+FROM {_long("team", _P_RECORD)} WHERE val IS NOT NULL GROUP BY team, stat"""

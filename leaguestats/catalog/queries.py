@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import standins
 from ..checkpoints import durable, shared_folder
 from ..functions.exprs import format_stat, innings_to_decimal, np_round, repair_innings
-from ..functions.registry import CAREER, ranked_metrics
-from ..functions.schemas import HITTER, PITCHER, header_names
-from ..operators import compare, frames, profile, ranks, schedule, totals
+from ..functions.registry import CAREER, LOW_IS_GOOD, ranked_metrics
+from ..functions.schemas import COLUMNS, HITTER, PITCHER, header_names
+from ..operators import compare, distribution, frames, profile, ranks, schedule, sketches, totals
 from ..plans import workflows
 from ..sources import ingest, store
+from ..sources.page_folder import PageFolder
 from ..sources.pages import extract_tables
+from ..sources.quarantine import Quarantine
+from ..sources.snapshots import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +140,17 @@ def rank_players_pitching(spark, sf_dir):
     return ranks.rank_metrics(durable(_pitchers(spark, sf_dir)), PITCHER, ids=PLAYER, within=["Year"])
 
 
+@query
+def top_ranks_batting(spark, sf_dir):
+    """The first ten players of each metric and season, equal ones included."""
+    return ranks.rank_long(_hitters(spark, sf_dir), SHEET_H, LOW_IS_GOOD[HITTER], PLAYER, ["Year"], top=10)
+
+
+@query
+def top_ranks_pitching(spark, sf_dir):
+    return ranks.rank_long(_pitchers(spark, sf_dir), SHEET_P, LOW_IS_GOOD[PITCHER], PLAYER, ["Year"], top=10)
+
+
 def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.when(F.col("n_regionkey") != 0, F.concat(F.lit("T"), F.col("n_nationkey").cast("string")))
     return standins.table(spark, sf_dir, "nation").select(F.col("n_name").alias("Team"), short.alias("team_eng"))
@@ -235,6 +249,57 @@ def describe_pitching(spark, sf_dir):
     return _described(_pitchers(spark, sf_dir), PROFILE_P, ["Year"])
 
 
+@query
+def describe_by_team(spark, sf_dir):
+    """All numeric columns of the players, per season and team."""
+    players = _hitters(spark, sf_dir).select("Year", "Team", "No", *PROFILE_H)
+    made = profile.describe_stats(players, by=["Year", "Team"])
+    return _rounded(_rounded(made, ["std", "q25", "q50", "q75"]), ["mean"], 8)
+
+
+@query
+def boxplot_by_team(spark, sf_dir):
+    made = profile.boxplots(_hitters(spark, sf_dir), PROFILE_H, by=["Team"])
+    return _rounded(made, ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+
+@query
+def histogram_by_team(spark, sf_dir):
+    made = profile.histograms(_hitters(spark, sf_dir), ["AVG", "OPS", "PA"], bins=10, by=["Team"])
+    return _rounded(made, ["lo", "hi"])
+
+
+def _near_rank(exact: DataFrame, sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether the sketched quartiles lie at their ranks, within the stated error, among the exactly placed values."""
+    off = 1.5 * sketches.rank_error()
+    placed = exact.join(sketched, keys)
+    checks = []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        below = F.sum(F.when(F.col("Value") < F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        upto = F.sum(F.when(F.col("Value") <= F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        slack = off + 1 / F.sum("n")
+        checks.append(((below <= q + slack) & (upto >= q - slack)).alias(f"{name}_near"))
+    kept = [F.first(c).alias(c) for c in ("count", "min", "max")]
+    return placed.groupBy(*keys).agg(*kept, *checks)
+
+
+@query
+def approx_quartiles(spark, sf_dir):
+    """Quartiles of each metric over all seasons, merged from sketches per season and team."""
+    players = _pitchers(spark, sf_dir)
+    merged = sketches.merge_sketches(durable(sketches.sketch_values(players, PROFILE_P, ["Year", "Team"])))
+    exact = distribution.counted_values(frames.to_long(players, [], PROFILE_P), ["Stat"])
+    return _near_rank(exact, sketches.sketched_description(merged), ["Stat"])
+
+
+@query
+def approx_facts(spark, sf_dir):
+    """The same for the table of facts, one sketch a column."""
+    facts = standins.table(spark, sf_dir, "lineitem").select(*FACTS)
+    exact = distribution.counted_values(frames.to_long(facts, [], FACTS), ["Stat"])
+    return _near_rank(exact, profile.describe_stats(facts, approx=True), ["Stat"])
+
+
 @query
 def describe_facts(spark, sf_dir):
     return _described(standins.table(spark, sf_dir, "lineitem"), FACTS, [])
@@ -308,6 +373,18 @@ def compare_all(spark, sf_dir):
     return _compared(spark, sf_dir, None)[1]
 
 
+@query
+def compare_two_pitching(spark, sf_dir):
+    values = durable(_team_pitchers(spark, sf_dir))
+    return compare.compare_teams(values, PITCHER, [OWN, OTHER], within=["Year"])[1]
+
+
+@query
+def compare_two_pitching_table(spark, sf_dir):
+    values = durable(_team_pitchers(spark, sf_dir))
+    return compare.compare_teams(values, PITCHER, [OWN, OTHER], within=["Year"])[0]
+
+
 @query
 def compare_all_pitching(spark, sf_dir):
     values = durable(_team_pitchers(spark, sf_dir))
@@ -339,34 +416,64 @@ def team_digest(spark, sf_dir):
     return compare.team_digest(_sheet(spark, sf_dir, HITTER), HITTER, ["Year"])
 
 
+@query
+def team_digest_pitching(spark, sf_dir):
+    return compare.team_digest(_sheet(spark, sf_dir, PITCHER), PITCHER, ["Year"])
+
+
+def _league(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Mean and median of every ordered metric per season."""
+    players = _hitters(spark, sf_dir) if kind == HITTER else _pitchers(spark, sf_dir)
+    return profile.league_profile(players, ranked_metrics(kind), by=["Year"], complete_rows=kind == PITCHER)
+
+
 @query
 def league_digest(spark, sf_dir):
-    made = profile.league_profile(_hitters(spark, sf_dir), ["AVG", "OBP", "SLG", "OPS", "PA", "H", "SO"], by=["Year"])
-    return compare.profile_digest(made, HITTER, ["Year"])
+    return compare.profile_digest(_league(spark, sf_dir, HITTER), HITTER, ["Year"])
+
+
+@query
+def league_digest_pitching(spark, sf_dir):
+    return compare.profile_digest(_league(spark, sf_dir, PITCHER), PITCHER, ["Year"])
 
 
-_CONTEXT = ["No", "Name", "PA", "AVG", "AB", "H", "HR", "BB", "SO"]
+def _context_order(kind: str) -> list[Column]:
+    return [*ranks.leader_order(kind), F.col("Year")]
 
 
-def _context_order() -> list[Column]:
-    return [*ranks.leader_order(HITTER), F.col("Year")]
+def _context(spark: SparkSession, sf_dir: str, kind: str, by: list[str]) -> DataFrame:
+    players = _hitters(spark, sf_dir) if kind == HITTER else _pitchers(spark, sf_dir)
+    return compare.team_context(players, by, _context_order(kind), ["No", "Name", *ranked_metrics(kind)], n=30)
 
 
 @query
 def team_context(spark, sf_dir):
-    return compare.team_context(_hitters(spark, sf_dir), ["Team"], _context_order(), _CONTEXT, n=30)
+    return _context(spark, sf_dir, HITTER, ["Team"])
+
+
+@query
+def team_context_pitching(spark, sf_dir):
+    return _context(spark, sf_dir, PITCHER, ["Team"])
 
 
 @query
 def league_context(spark, sf_dir):
-    return compare.team_context(_hitters(spark, sf_dir), [], _context_order(), _CONTEXT, n=30)
+    return _context(spark, sf_dir, HITTER, [])
+
+
+@query
+def league_context_pitching(spark, sf_dir):
+    return _context(spark, sf_dir, PITCHER, [])
 
 
 @query
 def median_context(spark, sf_dir):
-    columns = ["AVG", "OBP", "SLG", "OPS", "PA", "H", "SO"]
-    made = profile.league_profile(_hitters(spark, sf_dir), columns, by=["Year"])
-    return compare.profile_context(made, HITTER, columns, ["Year"])
+    return compare.profile_context(_league(spark, sf_dir, HITTER), HITTER, ranked_metrics(HITTER), ["Year"])
+
+
+@query
+def median_context_pitching(spark, sf_dir):
+    return compare.profile_context(_league(spark, sf_dir, PITCHER), PITCHER, ranked_metrics(PITCHER), ["Year"])
 
 
 # --- schedule ---------------------------------------------------------------
@@ -446,8 +553,7 @@ def conform(spark, sf_dir):
         }
     )
     typed = ingest.conform(ingest.normalize_headers(records, HITTER), HITTER, keep=["Year"])
-    # Every declared column exists except these two, so each row says so.
-    return typed.select(*PLAYER, "Year", "AVG", "G", "PA", "H", "2B", "SLG", "error")
+    return typed.select(*[name for _, name, _ in COLUMNS[HITTER]], "Year", "error")
 
 
 @query
@@ -505,10 +611,27 @@ def _hitter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def extract_hitter_pages(spark, sf_dir):
     rows = extract_tables(_hitter_pages(spark, sf_dir), "html", ["Team", "Year"])
-    shown = ["이름", "타율", "게임수", "타석", "총안타", "도실 (도루자)", "출루율", "OPS"]
+    shown = ["순위", "이름", *_hitter_headers()]
     return rows.select("Team", "Year", "table_no", *[F.col("cells")[h].alias(h) for h in shown], "error")
 
 
+def _hitter_headers() -> list[str]:
+    """Headers of the rendered pages: the declared ones, two of them in a variant."""
+    variants = {"경기": "게임수", "도실(도루자)": "도실 (도루자)"}
+    return [variants.get(h, h) for h, _, type_ in COLUMNS[HITTER] if type_ != "string"]
+
+
+@query
+def folder_of_pages(spark, sf_dir):
+    """The same pages saved as files and read back by the data source."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    _hitter_pages(spark, sf_dir).select("Year", "Team", "html").write.partitionBy("Year", "Team").text(folder)
+    spark.dataSource.register(PageFolder)
+    rows = spark.read.format("record_pages").schema("Team string, Year int, cells map<string,string>, error string").load(folder)
+    shown = ["순위", "이름", *_hitter_headers()]
+    return rows.select("Team", "Year", *[F.col("cells")[h].alias(h) for h in shown], "error")
+
+
 @query
 def extract_raw_pages(spark, sf_dir):
     pages = standins.table(spark, sf_dir, "pages")
@@ -548,3 +671,97 @@ def career_from_snapshots(spark, sf_dir):
     return workflows.career_view(spark, root, HITTER)
 
 
+def _pitcher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standins.pitcher_pages(totals.add_metrics(standins.pitching(spark, sf_dir), PITCHER, CAREER))
+
+
+@query
+def typed_pitcher_pages(spark, sf_dir):
+    """Dashes for an ERA, innings in notation and the games header on the way."""
+    return workflows.page_records(_pitcher_pages(spark, sf_dir), PITCHER).records
+
+
+@query
+def load_errors(spark, sf_dir):
+    """What a refresh from damaged pages could not read."""
+    pages = standins.damaged_pages(_hitter_pages(spark, sf_dir))
+    return workflows.refresh(pages, _snapshot_root(spark), HITTER).errors.select("Team", "Year", "Name", "No", "error")
+
+
+@query
+def load_errors_pitching(spark, sf_dir):
+    pages = standins.damaged_pages(_pitcher_pages(spark, sf_dir))
+    return workflows.refresh(pages, _snapshot_root(spark), PITCHER).errors.select("Team", "Year", "Name", "No", "error")
+
+
+@query
+def load_report(spark, sf_dir):
+    """Pages, rows and errors by reason, counted while the rows are written."""
+    pages = standins.damaged_pages(_hitter_pages(spark, sf_dir))
+    return workflows.report_frame(spark, workflows.page_records(pages, HITTER).report)
+
+
+@query
+def quarantined_errors(spark, sf_dir):
+    """After a load of damaged pages and one in which the lost pages are mended: what stays in quarantine."""
+    root = _snapshot_root(spark)
+    sound = durable(_hitter_pages(spark, sf_dir))
+    damaged = durable(standins.damaged_pages(sound))
+    workflows.refresh_pending(damaged, root, HITTER)
+    lost = F.startswith(F.col("html"), F.lit("<html><body>moved"))
+    mended = sound.join(damaged.where(lost).select("Team", "Year", "block"), ["Team", "Year", "block"], "left_semi")
+    workflows.refresh_pending(damaged.where(~lost).unionByName(mended), root, HITTER)
+    return Quarantine(spark, root, HITTER).errors().select("Team", "Year", "error", "n")
+
+
+def _view(spark: SparkSession, pages: DataFrame, kind: str) -> DataFrame:
+    root = _snapshot_root(spark)
+    workflows.refresh(pages, root, kind)
+    return workflows.view_rows(workflows.season_view(spark, root, kind, None), kind)
+
+
+@query
+def season_view_batting(spark, sf_dir):
+    """From pages to the players, teams, ranks and league values of every season."""
+    return _view(spark, _hitter_pages(spark, sf_dir), HITTER)
+
+
+@query
+def season_view_pitching(spark, sf_dir):
+    return _view(spark, _pitcher_pages(spark, sf_dir), PITCHER)
+
+
+def _stored_pitchers(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """Snapshots of all seasons, one of them then replaced with more wins."""
+    stored = SnapshotStore(spark, _snapshot_root(spark), PITCHER)
+    records = durable(_pitchers(spark, sf_dir).withColumn("WPCT", F.lit(None).cast("double")))
+    stored.commit(records)
+    stored.commit(records.where("Year = 1995").withColumn("W", F.col("W") + 1))
+    return stored
+
+
+@query
+def snapshot_versions(spark, sf_dir):
+    """Records of the version before and after one season was replaced."""
+    stored = _stored_pitchers(spark, sf_dir)
+    old, new = [stored.records(version=v).select(*PLAYER, "Year", "W", "L", "IP").withColumn("version", F.lit(v)) for v in (1, 2)]
+    return old.unionByName(new)
+
+
+@query
+def career_from_partials(spark, sf_dir):
+    """Careers merged from the seasons' partial totals after one season was replaced."""
+    return _stored_pitchers(spark, sf_dir).careers()
+
+
+@query
+def career_from_buckets(spark, sf_dir):
+    """The same from the records, which lie together by player."""
+    return totals.career_totals(_stored_pitchers(spark, sf_dir).records(), PITCHER)
+
+
+@query
+def snapshot_sketches(spark, sf_dir):
+    """Limits and counts per team over all seasons, merged from the stored sketches."""
+    merged = _stored_pitchers(spark, sf_dir).sketches(["Team"])
+    return sketches.sketched_description(merged).select("Team", "Stat", "count", "min", "max")

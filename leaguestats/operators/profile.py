@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..checkpoints import durable
 from ..functions.exprs import np_round
 from .distribution import counted_values, group_sums, join_by_value, order_statistics, positions, with_statistics
-from .frames import to_long
+from .frames import numeric_columns, to_long
+from .sketches import RANK_ERROR_K, sketch_values, sketched_description, sketched_profile, sketched_quartiles
 
 
 def _counted(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -49,16 +50,30 @@ def _complete(columns: Sequence[str]) -> Column:
     return F.expr(f"not exists(array({values}), x -> x is null or isnan(x))")
 
 
+def _numbers(df: DataFrame, by: Sequence[str]) -> list[str]:
+    return numeric_columns(df, exclude=("No", *by))
+
+
 def league_profile(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), complete_rows: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    complete_rows: bool = False,
+    approx: bool = False,
+    k: int = RANK_ERROR_K,
 ) -> DataFrame:
     """Mean and median per metric, three places: (by..., Stat, mean, median).
 
     With ``complete_rows`` a row with any missing metric is left out.  The mean
     adds billionths as whole numbers, so it does not depend on the order in
-    which partitions arrive and ties round the same way every time.
+    which partitions arrive and ties round the same way every time.  With
+    ``approx`` one aggregation of sketches of size ``k`` takes the place of counting
+    values: the median lies within ``sketches.rank_error(k)``.
     """
     keys = [*by, "Stat"]
+    if approx:
+        rows = df.withColumn("_complete", _complete(columns)).where("_complete") if complete_rows else df
+        return sketched_profile(sketch_values(rows, columns, by, k))
     if complete_rows:
         # The flag goes through the long form beside the values: a filter before it would be pushed under every formula.
         long = to_long(df.withColumn("_complete", _complete(columns)), [*by, "_complete"], columns)
@@ -75,12 +90,18 @@ def league_profile(
     )
 
 
-def describe_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., Stat, count, mean, std, min, q25, q50, q75, max).
+def describe_stats(
+    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), approx: bool = False, k: int = RANK_ERROR_K
+) -> DataFrame:
+    """(by..., Stat, count, mean, std, min, q25, q50, q75, max), of all numeric columns unless some are named.
 
     The sample deviation is taken around the mean in a second pass over the
-    counts, which loses no digits to cancellation.
+    counts, which loses no digits to cancellation.  With ``approx`` the quartiles
+    come from sketches of size ``k``, within ``sketches.rank_error(k)``.
     """
+    columns = _numbers(df, by) if columns is None else columns
+    if approx:
+        return sketched_description(sketch_values(df, columns, by, k))
     counted, keys = _counted(df, columns, by)
     scaled = F.col("Value") * 1e9
     # What the whole billionths leave over; too small for its order to matter.
@@ -130,7 +151,7 @@ def _bin_of(value: Column) -> Column:
 
 def histograms(
     df: DataFrame,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     bins: int | str = "auto",
     by: Sequence[str] = (),
     unit_bins: bool = False,
@@ -140,8 +161,10 @@ def histograms(
     ``auto`` takes the narrower of the Sturges width and the Freedman-Diaconis
     width, the latter floored so that there are at most two bins per square
     root of the count; with ``unit_bins`` a bin of an integer column is at least
-    1 wide.  A constant column gets one bin around its value.
+    1 wide.  A constant column gets one bin around its value.  All numeric columns
+    unless some are named.
     """
+    columns = _numbers(df, by) if columns is None else columns
     counted, keys = _counted(df, columns, by)
     limits = [F.min("Value").alias("start"), F.max("Value").alias("stop")]
     if bins == "auto":
@@ -172,7 +195,10 @@ def histograms(
 
 
 def _boxes(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    quartiles = order_statistics(positions(counted, keys), keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return _boxes_from(counted, order_statistics(positions(counted, keys), keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys)
+
+
+def _boxes_from(counted: DataFrame, quartiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("Value").between(F.col("q1") - reach, F.col("q3") + reach)
     joined, spread = with_statistics(counted, quartiles, keys)
@@ -197,12 +223,23 @@ def _boxes(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def boxplots(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., Stat, q1, median, q3, whisker_lo, whisker_hi, outliers).
+def boxplots(
+    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), approx: bool = False, k: int = RANK_ERROR_K
+) -> DataFrame:
+    """(by..., Stat, q1, median, q3, whisker_lo, whisker_hi, outliers), of all numeric columns unless some are named.
 
-    Whiskers end at the last value within one and a half box lengths.
+    Whiskers end at the last value within one and a half box lengths.  With
+    ``approx`` the box comes from sketches of size ``k``, within
+    ``sketches.rank_error(k)``, and whiskers and outliers are exact for that box.
     """
-    return _boxes(*_counted(df, columns, by))
+    columns = _numbers(df, by) if columns is None else columns
+    if not approx:
+        return _boxes(*_counted(df, columns, by))
+    quartiles = durable(sketched_quartiles(sketch_values(df, columns, by, k)))
+    # Rows are dealt over ranges of a hash: a group too large for one task meets its box in many.
+    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = to_long(df, by, columns).where("Value is not null").withColumns({"n": F.lit(1), "range": F.pmod(F.xxhash64("Value"), F.lit(shares))})
+    return _boxes_from(values, quartiles, [*by, "Stat"])
 
 
 def outliers(df: DataFrame, columns: Sequence[str], ids: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.exprs import innings_to_decimal
-from .functions.schemas import HITTER, SCHEDULE, labels
+from .functions.schemas import COLUMNS, HITTER, PITCHER, SCHEDULE, labels
 
 # Rows per rendered page at most: players and games are paged by number.
 PAGE_SPAN = 200
@@ -188,22 +188,40 @@ _RENDERED = ["AVG", "G", "PA", "AB", "R", "H", "1B", "2B", "3B", "HR", "TB", "RB
              "IBB", "HBP", "SO", "DP", "SLG", "OBP", "SB%", "MHit", "OPS", "BB/K", "XBH/H"]
 
 
-def hitter_pages(records: DataFrame) -> DataFrame:
-    """Hitter seasons with rates to pages (Team, Year, kind, html).
-
-    A page covers one team, season and block of numbers.
-    """
-    names = labels(HITTER) | {"G": "게임수", "CS": "도실 (도루자)"}
+def _record_pages(records: DataFrame, kind: str, rendered: list[str], headings: list[str], texts: dict[str, Column]) -> DataFrame:
+    """Records to pages (Team, Year, block, kind, html); a page covers one team, season and block of numbers."""
     cells = [F.lit("1"), F.concat(F.lit("P"), F.col("No"), F.lit("("), F.col("No"), F.lit(")"))]
     rows = records.select(
         "Team",
         "Year",
         F.floor(F.col("No").cast("bigint") / PAGE_SPAN).alias("block"),
         F.col("No").cast("bigint").alias("at"),
-        _row(cells + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _RENDERED]).alias("row"),
+        _row(cells + [texts.get(c, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rendered]).alias("row"),
     )
-    pages = _page(rows, ["Team", "Year", "block"], ["순위", "이름", *[names[c] for c in _RENDERED]], "record")
-    return pages.withColumn("kind", F.lit(HITTER))
+    return _page(rows, ["Team", "Year", "block"], ["순위", "이름", *headings], "record").withColumn("kind", F.lit(kind))
+
+
+def hitter_pages(records: DataFrame) -> DataFrame:
+    """Hitter seasons with rates to pages."""
+    names = labels(HITTER) | {"G": "게임수", "CS": "도실 (도루자)"}
+    return _record_pages(records, HITTER, _RENDERED, [names[c] for c in _RENDERED], {})
+
+
+def pitcher_pages(records: DataFrame) -> DataFrame:
+    """Pitcher seasons with rates and innings in notation to pages; an ERA without innings is a dash."""
+    rendered = [name for _, name, type_ in COLUMNS[PITCHER] if type_ != "string"]
+    headings = [header for header, _, type_ in COLUMNS[PITCHER] if type_ != "string"]
+    headings = ["게임수" if h == "경기수" else h for h in headings]
+    texts = {"ERA": F.col("ERA").cast("string"), "IP": F.col("notation").cast("string"), "WPCT": F.lit("")}
+    return _record_pages(records, PITCHER, rendered, headings, texts)
+
+
+def damaged_pages(pages: DataFrame) -> DataFrame:
+    """The pages with what goes wrong on the way: a third of the seasons' teams without a table, names without a number, a rate that is no number."""
+    html = F.regexp_replace("html", r"<td>P(\d*7)\(\d+\)</td>", "<td>P$1</td>")
+    html = F.regexp_replace(html, r"<td>P(\d*3)\((\d+)\)</td><td>[^<]*</td>", "<td>P$1($2)</td><td>x</td>")
+    lost = F.col("Team").endswith("1") & (F.col("Year") % 3 == 0)
+    return pages.withColumn("html", F.when(lost, "<html><body>moved</body></html>").otherwise(html))
 
 
 def schedule_pages(schedule: DataFrame) -> DataFrame:

@@ -130,3 +130,37 @@ def test_rank_matrix(spark):
     made = ranks.rank_matrix(ranked, dimension, HITTER, "own")
     assert made.columns == ["team_eng", "AVG", "SO"]
     assert [tuple(r) for r in made.collect()] == [("OWN", 1, 3), (None, 2, 1)]
+
+
+@pytest.mark.parametrize("top", [1, 3, 50])
+def test_top_ranks_equal_the_first_of_all_ranks(spark, top, many_ranges):
+    draw = spark.range(4_000).select(
+        F.concat(F.lit("t"), (F.col("id") % 9).cast("string")).alias("Team"),
+        F.col("id").cast("string").alias("No"),
+        (F.col("id") % 2 + 2000).cast("int").alias("Year"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 3 == 0, 700.0).otherwise(F.col("id") * 31 % 701 + 0.0).alias("PA"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("SO"),
+    )
+    ids, low = ("Team", "No"), ["SO"]
+    everything = ranks.rank_long(draw, ["PA", "SO"], low, ids, ["Year"])
+    expected = sorted(map(tuple, everything.where(F.col("Rank") <= top).collect()))
+    found = ranks.rank_long(draw, ["PA", "SO"], low, ids, ["Year"], top=top)
+    assert found.columns == everything.columns and sorted(map(tuple, found.collect())) == expected
+    # A third of all rows share the best value of a metric, and all of them are first.
+    assert sum(r[-1] == 1 for r in expected) > 2_000
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:  # as for a top beyond what a task limits by itself
+        assert sorted(map(tuple, ranks.rank_long(draw, ["PA", "SO"], low, ids, ["Year"], top=top).collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_top_ranks_count_no_whole_metric(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("No"), (F.col("id") * 7919 % 20_011 + 0.0).alias("PA"))
+    written = []
+    keep = ranks.durable
+    monkeypatch.setattr(ranks, "durable", lambda df: written.append(keep(df)) or written[-1])
+    found = ranks.rank_long(rows, ["PA"], [], ("No",), top=25)
+    assert found.count() == 25 and all(df.count() <= 25 for df in written)
+    with pytest.raises(ValueError):
+        ranks.rank_long(rows, ["PA"], [], ("No",), top=0)
