@@ -35,6 +35,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def hashed_stretch(name: str, length: int) -> Column:
+    """Up to ``length`` characters in a row of a text, from a place its hash chooses anywhere in it."""
+    room = f"greatest(char_length(`{name}`) - {length} + 1, 1)"
+    return F.expr(f"substring(`{name}`, cast(pmod(xxhash64(`{name}`, 1), {room}) as int) + 1, {length})")
+
+
 def literals(values: Sequence, kind: str) -> Column:
     """An array column of plain values."""
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")

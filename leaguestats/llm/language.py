@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import or_
@@ -13,18 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from leaguestats.llm.common import small_arrow_batches
+from leaguestats.llm.common import hashed_stretch, small_arrow_batches
 from leaguestats.llm.tokens import small_batches
 
-ALPHABET = 60  # letters told apart; rarer ones match nothing
+DENSE = 1 << 23  # cells of a whole table of transitions; a larger one is kept as the list of its edges
 CHUNK = 256  # a phrase ends at the latest where a chunk of so many characters does
 RUN = 5  # words in a row that sampled texts may share
 RANKED = 512  # first rows of a language at a time; Spark limits ranks of up to 1000 before it shuffles
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings of ``text``: a (states, symbols) table, -1 for none.
+def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """The automaton of all substrings of ``text``: for each state, the next one by symbol.
 
     From state 0 it follows exactly the strings that occur in ``text``.
     """
@@ -54,37 +53,73 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[state] = split
         last = state
-    table = np.full((len(length), symbols), -1, np.int32)
-    for state, edges in enumerate(following):
-        table[state, list(edges)] = list(edges.values())
-    return table
+    return following
+
+
+class Automaton:
+    """The automaton of a sample over its own letters, ready to follow many texts at once.
+
+    Symbols: 0 a gap between words, 1 a letter that the sample has not, then its
+    letters, last the padding, which stays where it is.  No state goes on by 1, and
+    from the dead state none goes on at all.
+    """
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        """``codes``: the sample as numbers that all languages share, of which there are ``symbols``."""
+        letters = np.unique(codes[codes > 1])
+        self.own = np.ones(symbols + 1, np.int32)
+        self.own[0] = 0
+        self.own[letters] = np.arange(2, len(letters) + 2)
+        self.pad = self.own[symbols] = len(letters) + 2
+        self.width = self.pad + 1
+        following = suffix_automaton(self.own[codes])
+        self.dead = len(following)
+        state = np.repeat(np.arange(len(following)), [len(f) for f in following])
+        symbol = np.array([c for f in following for c in f], np.int64)
+        target = np.array([t for f in following for t in f.values()], np.int32)
+        state, symbol, target = (x[symbol != 1] for x in (state, symbol, target))
+        self.keys = self.table = None
+        if (self.dead + 1) * self.width <= DENSE:
+            self.table = np.full((self.dead + 1, self.width), -1, np.int32)
+            self.table[state, symbol] = target
+            self.table[:, self.pad] = np.arange(self.dead + 1)
+            self.table = self.table.ravel()
+        else:  # many letters, few of them after any state
+            keys = state * self.width + symbol
+            order = np.argsort(keys)
+            self.keys, self.targets = keys[order], target[order]
+        first = self.step(np.zeros(self.width, np.int32), np.arange(self.width))
+        self.first = np.where(first < 0, self.dead, first).astype(np.int32)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after one symbol each, -1 where there is none."""
+        if self.table is not None:
+            return self.table[state * self.width + symbol]
+        wanted = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        found = self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+        return np.where(symbol == self.pad, state, np.where(found, self.targets[at] if len(self.keys) else -1, -1))
 
 
 class Parser:
-    """Automata of several languages over one alphabet; it parses batches of texts in step."""
+    """Automata of several languages; it parses batches of texts in step.
+
+    Every letter of any sample has a number, whatever the script; each automaton
+    knows its own letters only.
+    """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-        # 0 is a gap between words, 1 a letter of no sample, then the letters; the last is padding.
-        self.symbols = min(ALPHABET, len(letters)) + 3
-        self.code = np.zeros(0x110000, np.uint8)
+        letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
+        # 0 is no letter, 1 a letter of no sample.
+        self.symbols = len(letters) + 2
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        for i, (letter, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
-            self.code[ord(letter)] = i + 2
-        self.pad = self.symbols - 1
-        self.tables, lengths = [], []
-        for _, text in samples:
-            text = self.normal(text)
-            table = suffix_automaton(text, self.symbols)
-            table[:, 1] = -1
-            # A letter of no sample is a phrase of its own: from the last state nothing follows.
-            table = np.vstack([table, np.full((1, self.symbols), -1, np.int32)])
-            table[:, self.pad] = np.arange(len(table))
-            self.tables.append(table.ravel())
-            lengths.append(len(text))
+        self.code[[ord(c) for c in letters]] = np.arange(2, self.symbols)
+        normal = [self.normal(text) for _, text in samples]
+        self.automata = [Automaton(text, self.symbols) for text in normal]
         # One price for all, that of the longest sample: by its own length a tiny sample's phrases would cost next to nothing.
-        self.bits = np.log2(max(2, *lengths)) if lengths else 1.0
+        self.bits = np.log2(max(2, *map(len, normal))) if normal else 1.0
 
     def normal(self, text: str) -> np.ndarray:
         """Codes of the letters of a text in lower case, with one gap for whatever lies between words."""
@@ -98,21 +133,21 @@ class Parser:
         normal = [self.normal(t) for t in texts]
         lengths = np.array([len(t) for t in normal])
         owner = np.repeat(np.arange(len(texts)), -(-lengths // CHUNK))
-        chunks = np.full((len(owner), CHUNK), self.pad, np.uint8)
+        chunks = np.full((len(owner), CHUNK), self.symbols, np.int32)
         first = np.concatenate(([0], np.cumsum(-(-lengths // CHUNK))))
         for i, text in enumerate(normal):
             chunks[first[i] : first[i + 1]].reshape(-1)[: len(text)] = text
-        columns = np.ascontiguousarray(chunks.T).astype(np.int32)
-        counts = np.zeros((len(self.tables), len(texts)), np.int64)
-        for k, table in enumerate(self.tables):
-            start = np.where(table[: self.symbols] < 0, len(table) // self.symbols - 1, table[: self.symbols])
-            found = (columns[0] != self.pad).astype(np.int32)
-            state = start[columns[0]]
+        shared = np.ascontiguousarray(chunks.T)
+        counts = np.zeros((len(self.automata), len(texts)), np.int64)
+        for k, automaton in enumerate(self.automata):
+            columns = automaton.own[shared]
+            found = (columns[0] != automaton.pad).astype(np.int32)
+            state = automaton.first[columns[0]]
             for column in columns[1:]:
-                after = table[state * self.symbols + column]
+                after = automaton.step(state, column)
                 missed = after < 0
                 found += missed
-                state = np.where(missed, start[column], after)
+                state = np.where(missed, automaton.first[column], after)
             counts[k] = np.bincount(owner, found, len(texts))
         return counts, lengths
 
@@ -125,8 +160,9 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def training_samples(labelled: DataFrame, sample_chars: int, sample_docs: int) -> tuple[tuple[str, str], ...]:
     """For each language, up to ``sample_chars`` of the texts of its rows, taken in order of a hash.
 
-    ``labelled``: lang, text.  Of a text the first ``sample_chars`` // 8 characters
-    serve, so that one long text is not the whole sample.  Runs of words that
+    ``labelled``: lang, text.  Of a text ``sample_chars`` // 8 characters in a row
+    serve, from a place that its hash chooses anywhere in it, so that neither one
+    long text nor what texts start with is the whole sample.  Runs of words that
     another language's texts have as well go; of runs that texts of one language
     share a copy stays.  ``sample_docs`` different texts a language are read first,
     then, for languages whose sample is not full, more of them down the order, until
@@ -136,7 +172,7 @@ def training_samples(labelled: DataFrame, sample_chars: int, sample_docs: int) -
     share = max(1, sample_chars // 8)
     texts = (
         labelled.where("lang is not null and text is not null")
-        .select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, share).alias("text"))
+        .select(F.col("lang").cast("string").alias("lang"), hashed_stretch("text", share).alias("text"))
         .select("lang", F.xxhash64("text").alias("hash"), "text")
     )
     order = Window.partitionBy("lang").orderBy("hash")

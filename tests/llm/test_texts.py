@@ -9,13 +9,13 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from leaguestats.llm import chat, language, packing, quality, sharding, toxicity
+from leaguestats.llm import chat, common, language, packing, quality, sharding, toxicity
 from leaguestats.llm.queries import fertility, packed
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-ODD = [None, "", " ", "\n\n", "a  b\n \nc", "it's  we'll x²'s", "<|endoftext|> ok", "é" * 300, "word " * 3000, "日本語 текст", "퟿€\t!", "same", "same"]
+ODD = [None, "", " ", "\n\n", "a  b\n \nc", "it's  we'll x²'s", "<|endoftext|> ok", "a <|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "<|ENDOFTEXT|>", "é" * 300, "word " * 3000, "日本語 текст", "퟿€\t!", "same", "same"]
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,6 @@ def docs_of(spark, texts):
 def test_packing_round_trip(spark):
     docs = docs_of(spark, ODD)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in ODD]
     pieces = packed(docs).collect()
     for doc, own in enumerate(ids):
@@ -94,13 +93,13 @@ def test_few_clean_rows_of_another_script_stay(spark, documents, lang, first, la
 
 def test_automaton_matches_all_substrings_and_no_others():
     text = np.array([random.Random(2).randrange(3) for _ in range(40)])
-    table = language.suffix_automaton(text, 3)
+    following = language.suffix_automaton(text)
 
     def known(word):
         state = 0
         for symbol in word:
-            state = table[state, symbol]
-            if state < 0:
+            state = following[state].get(int(symbol))
+            if state is None:
                 return False
         return True
 
@@ -129,6 +128,41 @@ def test_phrases_match_a_greedy_parse():
     assert counts[:, 1].tolist() == [0, 0] and lengths.tolist() == [len(parser.normal(text)), 0, 3]
 
 
+def test_a_list_of_edges_parses_as_the_whole_table_does(monkeypatch):
+    samples = (("x", "the cat sat on the mat "), ("y", "ein hund lief im wald "), ("z", "한국어 문장 한국 사람"))
+    texts = ["the hund sat im wald", "", "한국어 사람 the cat", "q" * 700, "日本"]
+    whole, lengths = language.Parser(samples).phrases(texts)
+    monkeypatch.setattr(language, "DENSE", 0)
+    edges = language.Parser(samples)
+    assert edges.automata[0].table is None and (edges.phrases(texts)[0] == whole).all()
+
+
+def test_languages_of_seven_scripts(spark):
+    draw = random.Random(12)
+    alphabets = {
+        "de": "abcdefghijklmnopqrstuvwxyzäöüß", "fr": "abcdefghijklmnopqrstuvwxyzéèçà", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+        "ko": "".join(map(chr, range(0xAC00, 0xAC00 + 900))), "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1200))), "ja": "".join(map(chr, range(0x3041, 0x3090))),
+    }
+    vocabulary = {lang: ["".join(draw.choice(a) for _ in range(draw.randrange(1, 7))) for _ in range(300)] for lang, a in alphabets.items()}
+    said = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) for _ in range(n))
+    labelled = spark.createDataFrame([(lang, said(lang, 300)) for lang in alphabets for _ in range(6)], "lang string, text string")
+    asked = [(lang, said(lang, 20)) for lang in alphabets for _ in range(5)]
+    found = {r.doc_id: r.lang_pred for r in language.identify_languages(docs_of(spark, [t for _, t in asked]), labelled).collect()}
+    assert [found[i] for i in range(len(asked))] == [lang for lang, _ in asked]
+
+
+def test_samples_come_from_anywhere_in_a_text(spark):
+    head = "this header stands before every text " * 400
+    tail = {"aa": "grzegorz brzmi w trzcinie ", "bb": "el perro come la carne "}
+    rows = [(lang, head + text * 600) for lang, text in tail.items()]
+    samples = dict(language.training_samples(spark.createDataFrame(rows, "lang string, text string"), 24_000, 64))
+    assert all("header" not in samples[lang] or any(w in samples[lang] for w in text.split()) for lang, text in tail.items() if lang in samples)
+    stretches = spark.createDataFrame([(f"{i} " + "x" * 50 + "y" * 50,) for i in range(40)], "text string")
+    found = {r.s for r in stretches.select(common.hashed_stretch("text", 10).alias("s")).collect()}
+    assert all(len(x) == 10 for x in found) and len(found) > 5 and any("y" in x for x in found)
+    assert spark.createDataFrame([("ab",), ("",), (None,)], "text string").select(common.hashed_stretch("text", 10).alias("s")).collect() == [("ab",), ("",), (None,)]
+
+
 def test_languages_of_held_out_rows(spark, documents):
     found = language.identify_languages(documents, documents.where("doc_id % 3 <> 0").select("lang", "text"))
     held_out = found.join(documents.select("doc_id", "lang"), "doc_id").where("doc_id % 3 = 0")
