@@ -52,7 +52,7 @@ def hilbert_key(levels: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, text: str, doc_id: str) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, specials: tuple[tuple[str, int], ...], text: str, doc_id: str) -> DataFrame:
     """(doc_id, ids, n, x0..x2): 16-bit ids with the end id, and the projected document vector.
 
     A vector holds signed counts of hashed token ids, has length one, and is
@@ -60,7 +60,7 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, text:
     """
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern, specials)
         feature, sign, directions = _projection(1 << 16)
         end = np.asarray([end_id], "<u2").tobytes()
         for batch in batches:
@@ -95,12 +95,14 @@ def pack_along_curve(
     length: int = 1024,
     end_id: int = 0,
     part_tokens: int = 16_000_000,
+    specials: tuple[tuple[str, int], ...] = (),
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """Pack the token ids of all documents into sequences of ``length``, neighbours on the curve together.
 
-    ``vocabulary`` is the path of a file of ranks on every worker, ``pattern`` its rule for cutting words.
+    ``vocabulary`` is the path of a file of ranks on every worker, ``pattern`` its rule for cutting words,
+    ``specials`` the strings that have an id of their own in texts.
 
     Each document's ids, then ``end_id``, are laid end to end in the order of a
     Hilbert curve through the projected document vectors (each dimension levelled
@@ -118,7 +120,7 @@ def pack_along_curve(
     """
     spark = docs.sparkSession
     small_arrow_batches(docs.sparkSession)
-    tokens = durable(tokenized(docs, vocabulary, pattern, end_id, text, doc_id))
+    tokens = durable(tokenized(docs, vocabulary, pattern, end_id, specials, text, doc_id))
     fractions = [i / (1 << LEVEL_BITS) for i in range(1, 1 << LEVEL_BITS)]
     found = tokens.agg(*[F.percentile_approx(f"x{d}", fractions, 20_000) for d in range(DIMS)]).first()
     cuts = [np.asarray(found[d] or fractions) for d in range(DIMS)]

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leaguestats.llm import chat, exact, jaccard, kneser, language, mixing, packing, phrases, quality, sharding, spelling, substrings, toxicity
 from leaguestats.llm.common import documents, id_hash
+from leaguestats.llm.tokens import added_tokens
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """Packing with the public byte-level vocabulary; pieces with the checksum of their ids."""
-    pieces = packing.pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=1024, end_id=0)
+    path = public_tokenizers.path
+    pieces = packing.pack_along_curve(
+        docs, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=1024, end_id=0, specials=added_tokens(path("byte_bpe_50k.json"))
+    )
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
