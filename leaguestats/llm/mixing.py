@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from leaguestats.checkpoints import durable
-from leaguestats.llm.common import literals, small_arrow_batches
+from leaguestats.llm.common import hashed_stretch, literals, small_arrow_batches
 from leaguestats.llm.shingles import word_hashes
 from leaguestats.llm.tokens import small_batches
 
@@ -24,8 +24,10 @@ def _buckets(text: str) -> np.ndarray:
 def word_log_shares(labelled: DataFrame, sample_rows: int, sample_chars: int) -> tuple[list[str], np.ndarray]:
     """Domains and, for each, the log of the smoothed share of each hashed word.
 
-    ``labelled``: text, label.  A sample of at most ``sample_rows`` texts of each
-    label in order of a hash, ``sample_chars`` of each, is counted in Spark.
+    ``labelled``: text, label.  A sample of at most ``sample_rows`` different texts
+    of each label in order of a hash, ``sample_chars`` in a row of each from a place
+    its hash chooses, is counted in Spark.  Hashes are ranked without their texts,
+    in each task before they shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,14 +36,12 @@ def word_log_shares(labelled: DataFrame, sample_rows: int, sample_chars: int) ->
                 bucket, n = np.unique(_buckets(text), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(n), pa.string()), pa.array(bucket), pa.array(n)], ["label", "bucket", "n"])
 
-    order = Window.partitionBy("label").orderBy("hash", "text")
-    sample = (
-        labelled.where("label is not null and text is not null")
-        .select(F.col("label").cast("string").alias("label"), F.xxhash64("text").alias("hash"), F.substring("text", 1, sample_chars).alias("text"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= sample_rows)
-        .select("label", "text")
-    )
+    order = Window.partitionBy("label").orderBy("hash")
+    told = labelled.where("label is not null and text is not null").select(F.col("label").cast("string").alias("label"), F.xxhash64("text").alias("hash"), "text")
+    first = told.select("label", "hash").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows).drop("rank")
+    # At most ``sample_rows`` hashes a label go to the texts, and of equal texts each task sends one.
+    texts = told.join(F.broadcast(durable(first)), ["label", "hash"]).select("label", "hash", hashed_stretch("text", sample_chars).alias("text"))
+    sample = texts.groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
     counted = sample.mapInArrow(count, "label string, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     domains = sorted({row["label"] for row in counted})
     counts = np.full((len(domains), 1 << BUCKET_BITS), 0.1)
