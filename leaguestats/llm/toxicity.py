@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from leaguestats.checkpoints import Scratch
 from leaguestats.llm.common import small_arrow_batches
@@ -46,7 +45,7 @@ class NGrams:
 def sampled_grams(docs: DataFrame, labels: DataFrame, sample_rows: int, text: str, doc_id: str) -> DataFrame:
     """(label, grams) of up to ``sample_rows`` ids of each label, taken in order of a hash; the n-grams are found in the workers.
 
-    The rank keeps its first rows in each task before it shuffles, and no text does.
+    Each task sends the first ``sample_rows`` ids of a label it has, and no text.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,14 +57,10 @@ def sampled_grams(docs: DataFrame, labels: DataFrame, sample_rows: int, text: st
                     [batch.column("label").slice(a, b - a), pa.array([n_grams.of(t) for t in texts[a:b]], pa.list_(pa.int32()))], ["label", "grams"]
                 )
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labels.where("label in (0, 1)")
-        .select("doc_id", F.col("label").cast("int").alias("label"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= sample_rows)
-        .select(F.col("doc_id").alias("_labelled"), "label")
-    )
+    told = labels.select(F.col("doc_id").alias("_labelled"), F.col("label").cast("int").alias("label"))
+    order = [F.xxhash64("_labelled"), F.col("_labelled")]
+    none, one = [told.where(F.col("label") == label).orderBy(*order).limit(sample_rows) for label in (0, 1)]
+    chosen = none.unionByName(one)
     given = docs.select(F.col(f"`{doc_id}`").alias("_labelled"), F.col(f"`{text}`").alias("text")).where("text is not null")
     # The sample has a bounded number of rows, so it is sent to the texts.
     return given.join(F.broadcast(chosen), "_labelled").select("label", "text").mapInArrow(grams, "label int, grams array<int>")
