@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import pytest
 from leaguestats.llm.exact import mark_exact_copies
@@ -98,12 +99,30 @@ def test_near_copies_of_an_empty_table(spark):
 
 
 def test_compact_windows_hold_every_long_stretch():
-    values = np.array([random.Random(5).randrange(50) for _ in range(40)], np.uint64)
-    windows = compact_windows(values, 6)
-    for i in range(len(values)):
-        for j in range(i + 5, len(values)):
-            holding = [c for left, c, right in windows if left <= i <= c <= j <= right]
-            assert len(holding) == 1 and values[holding[0]] == values[i : j + 1].min()
+    draw = random.Random(5)
+    for most in (2, 50, 10**9):
+        lists = [np.array([draw.randrange(most) for _ in range(n)], np.uint64) for n in (40, 0, 5, 6, 25)]
+        ends = np.cumsum([len(x) for x in lists])
+        starts = ends - [len(x) for x in lists]
+        found = list(zip(*(x.tolist() for x in compact_windows(np.concatenate(lists), starts, ends, 6))))
+        for k, values in enumerate(lists):
+            for i in range(len(values)):
+                for j in range(i + 5, len(values)):
+                    stretch = values[i : j + 1]
+                    a, b, at = i + starts[k], j + starts[k], i + starts[k] + int(stretch.argmin())
+                    holding = [w for w in found if w[0] == k and w[2] <= a and b <= w[4] and w[1] == stretch.min() and (w[3] == at or w[3] == -1)]
+                    assert len(holding) == 1
+
+
+def test_windows_of_texts_that_repeat_are_few_and_quick():
+    draw = np.random.default_rng(3)
+    again = np.tile(draw.integers(0, 1 << 63, 61), 16_400).astype(np.uint64)
+    for values in (np.zeros(1_000_000, np.uint64), again, draw.integers(0, 1 << 63, 1_000_000).astype(np.uint64)):
+        began = time.perf_counter()
+        _, value, left, centre, right = compact_windows(values, np.array([0]), np.array([len(values)]), 46)
+        kinds = np.arange(len(value)) % 4
+        joint_windows(value, kinds, left, centre, right, 2, 46)
+        assert time.perf_counter() - began < 20 and len(value) < 100_000
 
 
 def test_repeated_passages_are_found_and_others_left_alone(spark):
@@ -148,7 +167,8 @@ def test_a_passage_of_phrases_common_to_other_texts_is_found(spark):
 def test_joint_windows_stand_for_every_long_stretch():
     draw = np.random.default_rng(5)
     values = draw.permutation(3 * 60).reshape(3, 60).astype(np.uint64)
-    windows = [(values[k, c], k, left, c, right) for k in range(3) for left, c, right in compact_windows(values[k], 8)]
+    whole = np.array([0]), np.array([60])
+    windows = [(v, k, left, c, right) for k in range(3) for _, v, left, c, right in zip(*(x.tolist() for x in compact_windows(values[k], *whole, 8)))]
     columns = [np.array(c) for c in zip(*windows)]
     key, left, centre, right = joint_windows(columns[0].astype(np.uint64), *columns[1:], 2, 8)
     single = {(a, b): joint_windows(np.array([a, b], np.uint64), np.array([0, 1]), *[np.array([x, x]) for x in (0, 5, 59)], 2, 8)[0][0] for a in values.ravel() for b in values.ravel() if a != b}
