@@ -36,9 +36,13 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def hashed_stretch(name: str, length: int) -> Column:
-    """Up to ``length`` characters in a row of a text, from a place its hash chooses anywhere in it."""
+    """``length`` characters in a row of a text, from a place its hash chooses anywhere in it.
+
+    A text of up to twice as many stays whole.
+    """
     room = f"greatest(char_length(`{name}`) - {length} + 1, 1)"
-    return F.expr(f"substring(`{name}`, cast(pmod(xxhash64(`{name}`, 1), {room}) as int) + 1, {length})")
+    stretch = f"substring(`{name}`, cast(pmod(xxhash64(`{name}`, 1), {room}) as int) + 1, {length})"
+    return F.expr(f"if(char_length(`{name}`) <= {2 * length}, `{name}`, {stretch})")
 
 
 def literals(values: Sequence, kind: str) -> Column:

@@ -161,8 +161,9 @@ def training_samples(labelled: DataFrame, sample_chars: int, sample_docs: int) -
     """For each language, up to ``sample_chars`` of the texts of its rows, taken in order of a hash.
 
     ``labelled``: lang, text.  Of a text ``sample_chars`` // 8 characters in a row
-    serve, from a place that its hash chooses anywhere in it, so that neither one
-    long text nor what texts start with is the whole sample.  Runs of words that
+    serve (a text up to twice as long whole), from a place that its hash chooses
+    anywhere in it, so that neither one long text nor what texts start with is the
+    whole sample.  Runs of words that
     another language's texts have as well go; of runs that texts of one language
     share a copy stays.  ``sample_docs`` different texts a language are read first,
     then, for languages whose sample is not full, more of them down the order, until
