@@ -60,9 +60,19 @@ def _beside(docs: DataFrame, side: DataFrame, how: str, doc_id: str, text: str)
 
     A table of at most ``SMALL_ROWS`` rows is broadcast; a larger one joins by shuffle.
     """
-    side = F.broadcast(side) if is_small(side) else side
-    keyed = docs.withColumns({"_k_own_id": F.col(f"`{doc_id}`"), "_k_own_text": F.xxhash64(F.col(f"`{text}`"))})
-    return keyed.join(side, F.col("_k_own_id").eqNullSafe(F.col("_k_id")) & (F.col("_k_own_text") == F.col("_k_text")), how)
+    named = side.select(*[F.col(c).alias(_free(c, docs)) for c in side.columns])
+    named = F.broadcast(named) if is_small(side) else named
+    own_id, own_text = _free("_k_own_id", docs), _free("_k_own_text", docs)
+    keyed = docs.withColumns({own_id: F.col(f"`{doc_id}`"), own_text: F.xxhash64(F.col(f"`{text}`"))})
+    return keyed.join(named, F.col(own_id).eqNullSafe(F.col(_free("_k_id", docs))) & (F.col(own_text) == F.col(_free("_k_text", docs))), how)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def less(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,8 +80,14 @@ def less(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str
     return _beside(docs, dropped, "left_anti", doc_id, text).select(*[f"`{c}`" for c in docs.columns])
 
 
+def only(docs: DataFrame, named: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``named`` names."""
+    return _beside(docs, named, "left_semi", doc_id, text).select(*[f"`{c}`" for c in docs.columns])
+
+
 def replicated(docs: DataFrame, counted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each row that ``counted`` names ``_k_copies`` times, and all others once."""
-    times = _beside(docs, counted, "left", doc_id, text).withColumn("_k_copies", F.coalesce("_k_copies", F.lit(1)))
-    repeated = times.where("_k_copies > 0").withColumn("_k_copy", F.explode(F.sequence(F.lit(1), F.col("_k_copies").cast("int"))))
+    copies, copy = _free("_k_copies", docs), _free("_k_copy", docs)
+    times = _beside(docs, counted, "left", doc_id, text).withColumn(copies, F.coalesce(copies, F.lit(1)))
+    repeated = times.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])
