@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaguestats.functions.schemas import HITTER, PITCHER
-from leaguestats.operators import ranks
+from leaguestats.operators import distribution, ranks
 from leaguestats.operators.distribution import counted_values, positions
 
 
@@ -51,8 +51,8 @@ def test_ranks_over_many_value_ranges(spark, many_ranges):
 @pytest.mark.parametrize("share", [1, 5, 10_000])
 def test_ranks_by_shuffle_join(spark, monkeypatch, many_ranges, share):
     """Beyond the broadcast size, with no, some and all values counting as frequent."""
-    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
-    monkeypatch.setattr(ranks, "_SHARE", share)
+    monkeypatch.setattr(distribution, "SMALL_ROWS", 0)
+    monkeypatch.setattr(distribution, "_SHARE", share)
     frame = _random(3)
     _same(ranks.rank_metrics(spark.createDataFrame(frame), HITTER), _expected(frame))
 
