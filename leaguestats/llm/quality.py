@@ -44,17 +44,34 @@ SCRIPTS = (
 )
 
 
+class Fallback:
+    """The share of byte pieces among the pieces a vocabulary with byte fallback makes of a text."""
+
+    def __init__(self, path: str):
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = range(self.pieces.vocab_size())
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in ids])
+        # Characters with a piece of their own never come to bytes.
+        self.known = np.zeros(0x110000, bool)
+        self.known[[ord(p) for p in map(self.pieces.id_to_piece, ids) if len(p) == 1]] = True
+        self.known[[ord(c) for c in SPACES]] = True
+
+    def share(self, text: str, codes: np.ndarray) -> float:
+        """``codes``: the code points of the text.  White space counts as spaces; a text of known characters alone need not be cut."""
+        if self.known[codes].all():
+            return 0.0
+        text = text.translate(_BLANKS).encode("utf-8", "replace").decode()  # a lone surrogate is a question mark
+        made = np.concatenate([self.pieces.encode(text[i : i + 100_000]) for i in range(0, len(text), 100_000)]).astype(np.int64)
+        return float(self.is_byte[made].mean()) if len(made) else 0.0
+
+
+_BLANKS = {ord(c): " " for c in SPACES}
+
+
 @lru_cache(maxsize=2)
-def known_characters(path: str) -> np.ndarray:
-    """Whether the vocabulary has a piece for each code point; others fall back to bytes."""
-    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-    known = np.zeros(0x110000, bool)
-    for i in range(pieces.vocab_size()):
-        piece = pieces.id_to_piece(i)
-        if len(piece) == 1:
-            known[ord(piece)] = True
-    known[[ord(c) for c in SPACES]] = True
-    return known
+def fallback(path: str) -> Fallback:
+    """A worker loads a vocabulary once."""
+    return Fallback(path)
 
 
 def repeated_windows(words: list[bytes], window: int = WINDOW) -> int:
@@ -105,7 +122,7 @@ def script_of(codes: np.ndarray) -> str:
     return unicodedata.name(max(letters, key=lambda c: (letters[c], c)), "none").split()[0].lower() if letters else "none"
 
 
-def token_measures(text: str, bpe, known: np.ndarray) -> tuple[int, float, float, float, np.ndarray]:
+def token_measures(text: str, bpe, pieces: Fallback) -> tuple[int, float, float, float, np.ndarray]:
     """Tokens, characters per token, token entropy over its bound at this length, byte-fallback share."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     ids = encode(bpe, text)
@@ -116,21 +133,21 @@ def token_measures(text: str, bpe, known: np.ndarray) -> tuple[int, float, float
     counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
     entropy = np.log2(n) - float((counts * np.log2(counts)).sum()) / n
     bound = np.log2(max(2, min(n, ENTROPY_TOKENS)))
-    return n, len(codes) / n, entropy / bound, 1.0 - float(known[codes].mean()), codes
+    return n, len(codes) / n, entropy / bound, pieces.share(text, codes), codes
 
 
 def measured(docs: DataFrame, vocabulary: str, pattern: str, pieces: str, text: str, doc_id: str, lang: str) -> DataFrame:
     """Base counts and token measures of every whole text, with the band it is judged by and its script."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = byte_bpe(vocabulary, pattern), known_characters(pieces)
+        bpe, byte_pieces = byte_bpe(vocabulary, pattern), fallback(pieces)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs = batch.column("lang").to_pylist()
             for a, b in small_batches(texts):
                 rows, bands, scripts = [], [], []
                 for i in range(a, b):
-                    *numbers, codes = token_measures(texts[i], bpe, known)
+                    *numbers, codes = token_measures(texts[i], bpe, byte_pieces)
                     rows.append((*base_counts(texts[i]), *numbers))
                     scripts.append(script_of(codes))
                     bands.append(langs[i] if langs[i] is not None else "script " + scripts[-1])

@@ -63,6 +63,18 @@ def test_base_counts_match_brute_force(documents):
         assert quality.base_counts(text) == expected
 
 
+def test_fallback_share_is_that_of_the_tokenizer():
+    made = quality.fallback(public_tokenizers.path("piece_bpe_32k.model"))
+    wide = "".join(chr(0xFF21 + i % 26) for i in range(60))
+    for text in [*ODD, wide, "plain words\n", "mixed ퟿ and 🜁 words", "ᚠᚢᚦ " * 50_000]:
+        text = text or ""
+        ids = made.pieces.encode(re.sub("[\t-\r]", " ", text))
+        expected = np.mean([made.pieces.is_byte(i) for i in ids]) if ids else 0.0
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        assert made.share(text, codes) == pytest.approx(expected, abs=1e-4)
+    assert made.share(wide, np.frombuffer(wide.encode("utf-32-le"), "<u4")) > 0.5
+
+
 def test_quality_rules(spark, documents):
     found = fertility(docs_of(spark, ODD)).collect()
     assert len(found) == len(ODD) and not any(r.kept for r in found)  # all are too short or repeat themselves
