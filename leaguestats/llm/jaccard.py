@@ -210,46 +210,63 @@ class JaccardJoin:
         union = F.size("sa") + F.size("sb") - shared
         return self.scratch.keep(whole.where(self.whole * shared >= self.part * union).select("a", "b").distinct())
 
+    def open_regions(self, regions: DataFrame, links: DataFrame) -> DataFrame:
+        """(s, row, n, held, label) of the regions that hold several of the parts that ``links`` connect."""
+        parts = components(links, self.scratch)
+        parted = regions.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        parted = self.scratch.keep(parted.select("s", "row", "n", "held", "label"))
+        several = parted.groupBy("s").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("s")
+        return self.scratch.keep(parted.join(several, "s"))
+
+    def compared(self, x: DataFrame, y: DataFrame, on: list[str], once: Column) -> DataFrame:
+        """Candidate pairs (a, b) of two sides that meet in a region: of different parts, sizes and sketches close enough."""
+        x, y = (side.select(*on, *[F.col(c).alias(f"{c}_{end}") for c in side.columns if c not in on]) for side, end in ((x, "x"), (y, "y")))
+        likely = (
+            (F.col("label_x") != F.col("label_y"))
+            & once
+            & self.similar_sizes(F.col("n_x"), F.col("n_y"))
+            & F.coalesce(self.close_sketches(F.col("n_x"), F.col("n_y"), F.col("sketch_x"), F.col("sketch_y")), F.lit(True))
+        )
+        pairs = x.join(y, on).where(likely)
+        return pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct()
+
     def links(self, posts: DataFrame) -> DataFrame:
         """Links enough to connect whatever links connect.
 
         Regions join recursively.  Each takes two of its sets as inner pivots and
         compares all others with them: one pair a member, however large the region.
-        What that connects is one part.  Only regions that still hold several
-        parts go on, and only pairs from different parts are compared, within
-        windows: by the triangle inequality towards the empty set, linked sets
-        are at most one step apart when sizes are cut in steps of the threshold.
+        What that connects is one part.  Regions of over ``crowd`` sets that still
+        hold several parts are dealt out to blocks of about as many by a hash of the
+        set, in which all are compared: a group whose sets mostly link hangs
+        together by then, and its links need not be found one by one.  Only pairs
+        from different parts are left, and regions that hold some, and they are
+        compared within windows: by the triangle inequality towards the empty set,
+        linked sets are at most one step apart when sizes are cut in steps of the
+        threshold.
         """
         sizes = posts.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("low"), F.max("row").alias("high")).where("held > 1")
         regions = self.scratch.keep(posts.join(sizes, "s"))
         stars = regions.select(F.explode(F.array("low", "high")).alias("p"), "row").where("p <> row")
         stars = stars.select(F.least("p", "row").alias("a"), F.greatest("p", "row").alias("b")).distinct()
         links = self.verified(stars)
-        parts = components(links, self.scratch)
-        parted = regions.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        parted = self.scratch.keep(parted.select("s", "row", "n", "label", "held"))
-        several = parted.groupBy("s").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("s")
-        rest = parted.join(several, "s")
+        rest = self.open_regions(regions.select("s", "row", "n", "held"), links)
         sketches = self.sets.select("row", "sketch")
+        crowded = rest.where(F.col("held") > self.crowd)
+        if not crowded.isEmpty():
+            # The same sets share a block in all regions of about one size, so their pairs are the same pairs.
+            power = F.ceil(F.log2(F.col("held") / F.lit(float(self.crowd)))).cast("int")
+            block = F.xxhash64("row").bitwiseAND(F.expr("shiftleft(1L, power)") - 1)
+            blocks = self.scratch.keep(crowded.withColumn("power", power).withColumn("block", block).join(sketches, "row").select("s", "block", "row", "n", "label", "sketch"))
+            links = self.scratch.keep(links.unionByName(self.verified(self.compared(blocks, blocks, ["s", "block"], F.col("row_x") < F.col("row_y")))))
+            rest = self.open_regions(rest.select("s", "row", "n", "held"), links)
         large = rest.where(F.col("held") > 32).join(sketches, "row")
         small = rest.where(F.col("held") <= 32).withColumn("sketch", F.lit(None).cast("array<bigint>"))
         step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.whole / self.part)) + 1e-9)
-        rest = self.scratch.keep(
-            large.select("s", "row", "n", "label", "sketch").unionByName(small.select("s", "row", "n", "label", "sketch")).withColumn("ring", step)
-        )
-        x = rest.select("s", "ring", *[F.col(c).alias(f"{c}_x") for c in ("row", "n", "label", "sketch")], F.col("ring").alias("own_x"))
-        y = rest.select(
-            "s", F.explode(F.array("ring", F.col("ring") - 1)).alias("ring"), *[F.col(c).alias(f"{c}_y") for c in ("row", "n", "label", "sketch")], F.col("ring").alias("own_y")
-        )
-        window = (
-            (F.col("label_x") != F.col("label_y"))
-            & ((F.col("own_x") != F.col("own_y")) | (F.col("row_x") < F.col("row_y")))
-            & self.similar_sizes(F.col("n_x"), F.col("n_y"))
-            & F.coalesce(self.close_sketches(F.col("n_x"), F.col("n_y"), F.col("sketch_x"), F.col("sketch_y")), F.lit(True))
-        )
-        pairs = x.join(y, ["s", "ring"]).where(window)
-        pairs = pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct()
-        return links.unionByName(self.verified(pairs))
+        rest = large.select("s", "row", "n", "label", "sketch").unionByName(small.select("s", "row", "n", "label", "sketch"))
+        rest = self.scratch.keep(rest.withColumn("ring", step).withColumn("own", F.col("ring")))
+        inner = rest.withColumn("ring", F.explode(F.array("ring", F.col("ring") - 1)))
+        once = (F.col("own_x") != F.col("own_y")) | (F.col("row_x") < F.col("row_y"))
+        return links.unionByName(self.verified(self.compared(rest, inner, ["s", "ring"], once)))
 
 
 def near_copies(
