@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from leaguestats.sources import pages
 from leaguestats.sources.pages import NO_TABLE, _records, extract_tables
 
 CASES = {
@@ -76,3 +77,25 @@ def test_large_page_crosses_output_batches(spark):
     pages = spark.createDataFrame([(1, html), (2, html)], "id int, html string").coalesce(1)
     made = extract_tables(pages, "html", ["id"]).selectExpr("id", "row_no", "cast(cells['a'] as int) as a")
     assert made.count() == 18000 and made.where("row_no <> a").count() == 0
+
+
+def test_plain_cells_read_like_others():
+    """Rows of plain cells are cut in one go; attributes, missing ends and nested tables take the long way to the same rows."""
+    head = '<table class="record"><tr><th>a</th><th>b &amp; c</th><th>a</th></tr>'
+    rows = [["1", " x\n y ", "&lt;2&gt;"], ["", "p  q", "\xa03"], ["only"], ["4", "5", "6", "7"]]
+    plain = head + "".join("<tr>" + " ".join(f"<td>{t}</td >" for t in r) + "</TR>\n" for r in rows) + "</table>"
+    others = [
+        plain.replace("<td>", "<td title='>'>").replace("<th>", "<th id=h>"),
+        plain.replace("</td >", "").replace("</th>", ""),
+        plain.replace("<td>", "<TD >"),
+        plain.replace("</td >", "<!-- <td> --></td >"),
+    ]
+    for collapse in (True, False):
+        wanted = list(pages._records(plain, "record", collapse))
+        assert [list(r[2]) for r in wanted] == [["a", "b & c", "a.1"][: len(r)] + ["3"] * (len(r) > 3) for r in rows]
+        assert all(list(pages._records(page, "record", collapse)) == wanted for page in others)
+        assert wanted[0][2]["b & c"] == ("x  y" if collapse else "x\n y")
+    inner = "<table><tr><td>out" + plain + "</td><td>z</td></tr></table>"
+    assert [len(rows) for _, rows in pages._tables(inner)] == [1, 5]
+    # All of a page of plain cells takes the short way.
+    assert {type(c) for row in pages._tables(plain)[0][1] for c in row} == {str, pages._Heading}
