@@ -59,25 +59,25 @@ def spread_cells(df: DataFrame, kind: str, headers: Iterable[str] | None = None)
             key = F.when(key == old, new).otherwise(key)
         return F.replace(key, F.lit(" "), F.lit(""))
 
+    headers = list(headers)
     others = [c for c in df.columns if c not in ("cells", "table_no", "row_no", "error")]
-    entries = F.transform(F.map_entries("cells"), lambda e: F.struct(name(e["key"]).alias("key"), e["value"].alias("value")))
-    named = df.withColumn("cells", entries)
+    earlier = ["error"] if "error" in df.columns else []
+    named = df.select(*others, *earlier, F.transform(F.map_keys("cells"), name).alias("_names"), F.map_values("cells").alias("_texts"))
+    placed = named.select("*", F.array(*[F.array_position("_names", F.lit(h)).cast("int") for h in headers]).alias("_places"))
 
-    def held(header: str) -> Column:
-        return F.filter("cells", lambda e: e["key"] == header)
-
-    read = F.col("cells").isNotNull()
-    counts = F.transform(literal_list(headers), lambda h: F.size(F.filter("cells", lambda e: e["key"] == h)))
+    # A row with every header once, as most are, needs no look at each header.
+    counts = F.transform(literal_list(headers), lambda h: F.size(F.filter("_names", lambda n: n == h)))
     problems = F.zip_with(
         literal_list(headers),
         counts,
         lambda h, n: F.when(n == 0, F.concat(F.lit("no column "), h)).when(n > 1, F.concat(F.lit("column twice: "), h)),
     )
-    spread = named.select(
+    sound = ~F.array_contains("_places", 0) & (F.size(F.array_distinct("_names")) == F.size("_names"))
+    spread = placed.select(
         *others,
-        *(["error"] if "error" in df.columns else []),
-        F.when(read, F.nullif(F.array_join(problems, "; "), F.lit(""))).alias("_problems"),
-        *[F.get(held(h), F.lit(0))["value"].alias(h) for h in headers],
+        *earlier,
+        F.when(F.col("_names").isNotNull() & ~sound, F.nullif(F.array_join(problems, "; "), F.lit(""))).alias("_problems"),
+        *[F.get("_texts", F.col("_places")[at] - 1).alias(h) for at, h in enumerate(headers)],
     )
     return _add_error(spread, F.col("_problems")).drop("_problems")
 
@@ -123,28 +123,31 @@ def conform(df: DataFrame, kind: str, keep: Sequence[str] = ()) -> DataFrame:
     an error on each row.
     """
     present = set(df.columns)
-    made, problems = [], []
-    for header, name, type_ in COLUMNS[kind]:
+    read, made, problems = [], [], []
+    for at, (header, name, type_) in enumerate(COLUMNS[kind]):
         source = next((c for c in (header, name) if c in present), None)
         if source is None:
             made.append(F.lit(None).cast(type_).alias(name))
             problems.append(F.lit(f"no column {header}"))
             continue
         if type_ == "string":
-            made.append(F.col(f"`{source}`").alias(name))
+            read.append(F.col(f"`{source}`").alias(f"_value{at}"))
+            made.append(F.col(f"_value{at}").alias(name))
             continue
-        value = _typed(source, type_)
-        made.append(F.expr(f"{value} as `{name}`"))
+        # The value and its check are two steps, so a cell is read as a number once.
+        read += [F.expr(f"{_typed(source, type_)} as _value{at}"), F.col(f"`{source}`").alias(f"_text{at}")]
+        made.append(F.col(f"_value{at}").alias(name))
         # An empty cell or NaN is a missing fraction, not a wrong one.
-        missing = f"or lower(trim(`{source}`)) in ('', 'nan')" if type_ == "double" else ""
+        missing = f"or lower(trim(_text{at})) in ('', 'nan')" if type_ == "double" else ""
         problems.append(
             F.expr(
-                f"case when `{source}` is null or {value} is not null {missing} then null "
-                f"else concat('{header} is not {type_}: ', `{source}`) end"
+                f"case when _text{at} is null or _value{at} is not null {missing} then null "
+                f"else concat('{header} is not {type_}: ', _text{at}) end"
             )
         )
     earlier = [F.col("error")] if "error" in present else []
-    return df.select(*made, *keep, F.nullif(F.concat_ws("; ", *earlier, *problems), F.lit("")).alias("error"))
+    typed = df.select(*read, *keep, *earlier)
+    return typed.select(*made, *keep, F.nullif(F.concat_ws("; ", *earlier, *problems), F.lit("")).alias("error"))
 
 
 def typed_records(extracted: DataFrame, kind: str, team_col: str = "Team", keep: Sequence[str] = ("Year",)) -> DataFrame:

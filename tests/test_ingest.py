@@ -96,3 +96,11 @@ def test_spread_cells_names_absent_and_doubled_headers(spark):
     df = spark.sql("select 0 as table_no, 0 as row_no, map('경기', '3', '게임수', '4') as cells, cast(null as string) as error")
     made = ingest.spread_cells(df, HITTER, ["경기"]).first()
     assert (made["경기"], made["error"]) == ("3", "column twice: 경기")
+
+
+def test_a_cell_is_typed_once_and_headers_are_placed_once(spark):
+    """No look at every entry for every header, and no second reading of a number for its check."""
+    raw = spark.createDataFrame([("T", 1, None, None, {"이름": "A(1)", "게임수": "3"}, None)], "Team string, Year int, table_no int, row_no int, cells map<string,string>, error string")
+    plan = ingest.typed_records(raw, PITCHER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(replace(경기수") <= 2
+    assert plan.count("lambdafunction") <= 6
