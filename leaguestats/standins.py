@@ -154,11 +154,12 @@ def raw_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _row(cells: list[Column], tag: str = "td") -> Column:
+def _row(cells: list[Column], tag: str = "td", escape: bool = True) -> Column:
+    """One table row; cells of numbers need no ``escape``."""
     parts = [F.lit("<tr>")]
     for cell in cells:
         text = F.coalesce(cell, F.lit("-"))
-        for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")) if escape else ():
             text = F.replace(text, F.lit(plain), F.lit(escaped))
         parts += [F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>")]
     return F.concat(*parts, F.lit("</tr>\n"))
@@ -196,7 +197,7 @@ def _record_pages(records: DataFrame, kind: str, rendered: list[str], headings:
         "Year",
         F.floor(F.col("No").cast("bigint") / PAGE_SPAN).alias("block"),
         F.col("No").cast("bigint").alias("at"),
-        _row(cells + [texts.get(c, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rendered]).alias("row"),
+        _row(cells + [texts.get(c, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rendered], escape=False).alias("row"),
     )
     return _page(rows, ["Team", "Year", "block"], ["순위", "이름", *headings], "record").withColumn("kind", F.lit(kind))
 
